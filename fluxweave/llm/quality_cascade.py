@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words_of
+from .common import hashed_sample, words_of
 
 SYMBOLS = "#*$%&|<>"
 SPAN = 8
@@ -116,6 +116,6 @@ def judge(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words, so the base fails. Which of several failing rules is named depends on the measured
     order; kept does not. Other columns are not read; rows that repeat are judged each; an empty table gives an empty one.
     """
-    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("t"), F.xxhash64("doc_id").alias("h")).orderBy("h").limit(SAMPLE_DOCS)
+    sample = hashed_sample(docs, "doc_id", SAMPLE_DOCS, F.substring("text", 1, SAMPLE_CHARS).alias("t"))
     order = [name for name, _, _ in plan_order([r.t for r in sample.collect()])]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_judge(order), _OUT_DDL)

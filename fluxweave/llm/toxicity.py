@@ -22,9 +22,9 @@ from .common import materialise
 #: Labelled rows that the lexicon and the weights are learned from, at most (those with the smallest hashed doc_id).
 FIT_ROWS = 8_000
 #: Terms kept at most; documents a term or stem must be in; log-odds it must reach.
-TERMS, LEAST_DOCS, LEAST_ODDS = 400, 6, 2.5
-#: Stems have so many letters; a stem must begin so many different words of toxic documents.
-STEM, STEM_WORDS = (5, 9), 4
+TERMS, LEAST_DOCS, LEAST_ODDS = 200, 5, 2.5
+#: Stems have so many letters. A document has a stem if so many different words of it begin so; so many words of toxic ones must.
+STEM, STEM_TWICE, STEM_WORDS = (3, 8), 2, 6
 #: Terms of so many letters at least are also found misspelled, by one edit.
 FUZZY_LETTERS = 5
 WINDOW, PREDICT = 5, 0.7
@@ -85,77 +85,104 @@ def step(row: tuple[int, ...], word: str, letter: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+def _stems(words: Iterable[str]) -> dict[str, set[str]]:
+    """The words that begin with each stem and go on after it."""
+    found: dict[str, set[str]] = {}
+    for w in words:
+        for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1):
+            found.setdefault(w[:k], set()).add(w)
+    return found
+
+
 def lexicon(texts: list[str], toxic: list[int]) -> tuple[list[str], list[str]]:
     """(words, stems) that mark toxic documents, by smoothed log-odds of document counts."""
-    odds_of: dict[bool, dict[str, list[int]]] = {False: {}, True: {}}
-    starters: dict[str, set[str]] = {}
-    n = [0, 0]
+    n, words, stems, begun = [0, 0], {}, {}, {}
     for text, y in zip(texts, toxic, strict=True):
         n[y] += 1
-        words = {w.lower() for w in _word.findall(text)}
-        stems = {w[:k] for w in words for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1)}
-        for is_stem, terms in ((False, words), (True, stems)):
-            for t in terms:
-                odds_of[is_stem].setdefault(t, [0, 0])[y] += 1
-        if y:
-            for w in words:
-                for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1):
-                    starters.setdefault(w[:k], set()).add(w)
-
-    def odds(c: list[int]) -> float:
-        return math.log((c[1] + 0.5) / (n[1] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1))
-
-    def strong(is_stem: bool) -> list[str]:
-        good = [(odds(c), c[1], t) for t, c in odds_of[is_stem].items() if c[1] >= LEAST_DOCS and odds(c) >= LEAST_ODDS and (not is_stem or len(starters.get(t, ())) >= STEM_WORDS)]
-        return [t for _, _, t in sorted(good, key=lambda x: (-x[0] * math.sqrt(x[1]), x[2]))[:TERMS]]
-
-    words = strong(False)
-    stems = [s for s in strong(True) if not any(w.startswith(s) and len(w) <= len(s) + 1 for w in words)]
-    stems = [s for s in stems if not any(s != t and s.startswith(t) for t in stems)]
-    return words, stems
+        mine = {w.lower() for w in _word.findall(text)}
+        for w in mine:
+            words.setdefault(w, [0, 0])[y] += 1
+        for stem, found in _stems(mine).items():
+            if len(found) >= STEM_TWICE:
+                stems.setdefault(stem, [0, 0])[y] += 1
+                if y and len(known := begun.setdefault(stem, set())) < STEM_WORDS:
+                    known |= found
+
+    def strong(counts: dict[str, list[int]]) -> list[str]:
+        odds = lambda c: math.log((c[1] + 0.5) / (n[1] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1))
+        good = [(odds(c) * math.sqrt(c[1]), t) for t, c in counts.items() if c[1] >= LEAST_DOCS and odds(c) >= LEAST_ODDS]
+        return [t for _, t in sorted(good, key=lambda x: (-x[0], -len(x[1]), x[1]))]
+
+    kept: list[str] = []
+    for stem in strong(stems):
+        if len(begun.get(stem, ())) >= STEM_WORDS and not any(stem.startswith(k) or k.startswith(stem) for k in kept):
+            kept.append(stem)
+    kept = kept[:TERMS]
+    return [w for w in strong(words) if not w.startswith(tuple(kept))][:TERMS], kept
 
 
 class Scanner:
     """Finds terms in texts; remembers words it has seen."""
 
     def __init__(self, words: list[str], stems: list[str], plain: Iterable[str] = ()) -> None:
-        self.trie, self.known, self.plain = Trie(words, stems), {}, frozenset(plain)
+        self.trie, self.known, self.plain, self.stems = Trie(words, stems), {}, frozenset(plain), frozenset(stems)
+        long = [w for w in words if len(w) >= FUZZY_LETTERS]
+        #: One edit leaves the first or the last half of a term as it is.
+        self.halves = frozenset(w[: len(w) // 2] for w in long), frozenset(w[len(w) // 2 :] for w in long)
+        self.sizes = [sorted({len(h) for h in half}) for half in self.halves]
+
+    def may_be_bent(self, word: str) -> bool:
+        return any(word[:k] in self.halves[0] for k in self.sizes[0]) or any(word[-k:] in self.halves[1] for k in self.sizes[1])
 
-    def term(self, word: str) -> tuple[str | None, bool]:
+    def look(self, word: str) -> tuple[str, bool] | None:
         """(term, whether misspelled) of a word as written."""
-        if (hit := self.known.get(word)) is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            low = word.lower()
-            found = self.trie.exact(low)
-            bent = found is None
-            if bent and len(low) >= FUZZY_LETTERS - 1 and low not in self.plain:
-                plain = low.translate(_like)
-                found = self.trie.exact(plain) if plain != low else None
-                found = found or self.trie.fuzzy(plain)
-            hit = self.known[word] = (found, bent and found is not None)
-        return hit
+        low = word.lower()
+        if found := self.trie.exact(low):
+            return found, False
+        if len(low) < FUZZY_LETTERS - 1 or low in self.plain:
+            return None
+        plain = low.translate(_like)
+        found = (self.trie.exact(plain) if plain != low else None) or (self.trie.fuzzy(plain) if self.may_be_bent(plain) else None)
+        return (found, True) if found else None
+
+    def term(self, word: str) -> tuple[str, bool] | None:
+        known = self.known
+        if word not in known:
+            if len(known) > REMEMBERED:
+                known.clear()
+            known[word] = self.look(word)
+        return known[word]
 
     def counts(self, text: str | None) -> np.ndarray:
-        """What the score is made from: hits in abuse and in quotation, misspelled hits, different terms, their share, bias."""
-        matches = [*_word.finditer(text)] if text else []
-        hits = [(k, *self.term(m[0])) for k, m in enumerate(matches)]
-        hits = [(k, term, bent) for k, term, bent in hits if term]
-        plain = quoted = bent_hits = 0.0
-        for k, _, bent in hits:
-            lo, hi = matches[max(0, k - WINDOW)], matches[min(len(matches) - 1, k + WINDOW)]
-            before, after = text[lo.start() : matches[k].start()], text[matches[k].end() : hi.end() + 1]
-            said = any(m[0].lower() in REPORT for m in matches[max(0, k - WINDOW) : k])
-            if said or (_quote.search(before) and _quote.search(after)):
+        """What the score is made from: hits of words, of stems, misspelled and quoted ones, their kinds, shares and nearness."""
+        out = np.zeros(SIGNS)
+        out[-1] = 1.0
+        words = _word.findall(text) if text else []
+        found = [*map(self.term, words)]
+        at = [k for k, f in enumerate(found) if f]
+        if not at:
+            return out
+        spans = [m.span() for m in _word.finditer(text)]
+        plain = stem = bent = quoted = 0
+        for k in at:
+            lo, hi = max(0, k - WINDOW), min(len(spans) - 1, k + WINDOW)
+            before, after = text[spans[lo][0] : spans[k][0]], text[spans[k][1] : spans[hi][1] + 1]
+            if any(w.lower() in REPORT for w in words[lo:k]) or (_quote.search(before) and _quote.search(after)):
                 quoted += 1
-            elif bent:
-                bent_hits += 1
+            elif found[k][1]:
+                bent += 1
+            elif found[k][0] in self.stems:
+                stem += 1
             else:
                 plain += 1
-        kinds = len({t for _, t, _ in hits})
-        near = sum(b[0] - a[0] <= WINDOW for a, b in zip(hits, hits[1:], strict=False))
-        share = len(hits) / max(1, len(matches))
-        return np.array([plain > 0, min(plain, 4.0), quoted > 0, bent_hits > 0, kinds >= 2, min(kinds, 5.0), min(1.0, 20 * share), near > 0, 1.0], dtype=np.float64)
+        kinds = len({found[k][0] for k in at if found[k][0] not in self.stems})
+        near = sum(b - a <= WINDOW for a, b in zip(at, at[1:], strict=False))
+        out[:-1] = [plain > 0, min(plain, 4), plain > 1, min(stem, 6), stem > 1, stem > 2, min(1.0, 25 * stem / len(words)), bent > 0, bent > 1, quoted > 0, min(quoted, 3), kinds > 1, min(1.0, 20 * plain / len(words)), near > 0]
+        return out
+
+
+#: Length of Scanner.counts().
+SIGNS = 15
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
@@ -174,16 +201,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
 def learn(texts: list[str], toxic: list[int]) -> dict:
     """Lexicon, the frequent words that are not to be taken for misspellings, and weights."""
     words, stems = lexicon(texts, toxic)
-    seen: dict[str, int] = {}
+    scan, seen = Scanner(words, stems), {}
     for text, y in zip(texts, toxic, strict=True):
         if not y:
             for w in {w.lower() for w in _word.findall(text)}:
-                seen[w] = seen.get(w, 0) + 1
-    scan = Scanner(words, stems)
-    plain = sorted(w for w, k in seen.items() if k >= 2 and w not in words and scan.trie.fuzzy(w))
+                if (hit := scan.term(w)) and hit[1]:
+                    seen[w] = seen.get(w, 0) + 1
+    plain = sorted(w for w, k in seen.items() if k >= 2)
     scan = Scanner(words, stems, plain)
-    x = np.array([scan.counts(t) for t in texts]).reshape(len(texts), 9)
-    w = logistic(x, np.asarray(toxic, dtype=np.float64)) if len(texts) else np.zeros(9)
+    x = np.array([scan.counts(t) for t in texts]).reshape(len(texts), SIGNS)
+    w = logistic(x, np.asarray(toxic, dtype=np.float64)) if len(texts) else np.zeros(SIGNS)
     return {"words": words, "stems": stems, "plain": plain, "weights": w.tolist()}
 
 
@@ -201,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
         return pd.DataFrame({k: [v] for k, v in learn(pdf["text"].tolist(), pdf["toxic"].tolist()).items()})
 
     model = sample.groupBy(F.lit("all")).applyInPandas(fitted, "words array<string>, stems array<string>, plain array<string>, weights array<double>").first()
-    return model.asDict() if model else {"words": [], "stems": [], "plain": [], "weights": [0.0] * 9}
+    return model.asDict() if model else {"words": [], "stems": [], "plain": [], "weights": [0.0] * SIGNS}
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
@@ -220,7 +247,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scanner(model["words"], model["stems"], model["plain"])
         for batch in batches:
-            x = np.array([scan.counts(t.as_py()) for t in batch.column(2)]).reshape(batch.num_rows, 9)
+            x = np.array([scan.counts(t.as_py()) for t in batch.column(2)]).reshape(batch.num_rows, SIGNS)
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= PREDICT).astype(np.int32))], schema=_OUT)
 

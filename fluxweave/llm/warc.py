@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch_path
+from .common import hashed_sample, materialise, scratch_path
 
 SKIPPABLE = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
@@ -181,7 +181,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    sample = pages.select(F.substring(payload, 1, SAMPLE_BYTES).alias("x"), F.xxhash64("page_id").alias("h")).orderBy("h").limit(SAMPLE_RECORDS)
+    sample = hashed_sample(pages, "page_id", SAMPLE_RECORDS, F.substring(payload, 1, SAMPLE_BYTES).alias("x"))
     dictionary = train([bytes(r.x) for r in sample.collect()])
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("sha"), F.octet_length(payload).alias("n"))
     groups = keyed.filter(F.col("n") >= min_revisit_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("sha", "n", "first")
