@@ -1,4 +1,480 @@
 """Query catalogue: name to plan, and name to the equivalent SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scores as S
+from ..model import NetGraph, ends, side
+from ..operators import checks as Q
+from ..operators import features as D
+from ..operators import graph as G
+from ..operators import results as R
+from ..operators import traverse as T
+from ..sources import formats as IO
+from . import views as V
+
+Plan = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Plan] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Plan) -> Plan:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def vs(spark: SparkSession, *names: str) -> DataFrame:
+    return spark.createDataFrame([(n,) for n in names], "v string")
+
+
+def trade_edges(spark: SparkSession, d: str, edge_type: str = "directed") -> DataFrame:
+    """Edges whose index is 100 * source + target, so that no numbering is needed."""
+    t = V.trade(spark, d)
+    return t.select((F.col("s").cast("long") * 100 + F.col("t").cast("long")).alias("eix"), side(F.col("s")).alias("src"), side(F.col("t")).alias("tgt"), F.lit(edge_type).alias("edge_type"), "weight", F.when(F.col("weight") % 2 == 0, 1).otherwise(-1).alias("interaction"))
+
+
+def trade_graph(spark: SparkSession, d: str, edge_type: str = "directed") -> NetGraph:
+    from ..model import conform
+
+    edges = conform(trade_edges(spark, d, edge_type))
+    v = G.incidence(edges).select("v").distinct()
+    return NetGraph(edges, v.select(F.col("v").cast("long").alias("vix"), "v", F.lit(None).cast("map<string,string>").alias("attrs")))
+
+
+EIX = "CAST(s AS BIGINT) * 100 + CAST(t AS BIGINT) AS eix"
+REACH = "r AS (SELECT {start} AS v, 0 AS d UNION SELECT {to}, d + 1 FROM r JOIN {arcs} ON {on} WHERE d < {depth})"
+
+# --- traversal ---------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {V.TRADE}, {REACH.format(start=chr(39) + '0' + chr(39), to='t', arcs='trade', on='s = v', depth=30)} SELECT v, CAST(min(d) AS INTEGER) AS dist FROM r GROUP BY v")
+def bfs_trade(spark, d):
+    """Hops from nation 0 over the trade network."""
+    return T.bfs(V.trade(spark, d), vs(spark, "0"))
+
+
+@query(f"WITH RECURSIVE {V.TRADE}, r AS (SELECT '0' AS v, 0 AS d UNION SELECT s, d + 1 FROM r JOIN trade ON t = v WHERE d < 30) SELECT v, CAST(min(d) AS INTEGER) AS dist FROM r GROUP BY v")
+def bfs_reverse(spark, d):
+    return T.bfs(V.trade(spark, d), vs(spark, "0"), reverse=True)
+
+
+@query(f"WITH RECURSIVE {V.TRADE}, both_ways AS (SELECT s, t FROM trade UNION SELECT t, s FROM trade), r AS (SELECT '0' AS v, 0 AS d UNION SELECT t, d + 1 FROM r JOIN both_ways ON s = v WHERE d < 12) SELECT v, CAST(min(d) AS INTEGER) AS dist FROM r GROUP BY v")
+def bfs_undirected(spark, d):
+    return T.bfs(V.trade(spark, d), vs(spark, "0"), undirected=True)
+
+
+@query(f"WITH RECURSIVE {V.HIER}, r AS (SELECT 'r:0' AS v, 0 AS d UNION ALL SELECT t, d + 1 FROM r JOIN hier ON s = v) SELECT CAST(d AS INTEGER) AS dist, count(*) AS n FROM r GROUP BY d")
+def bfs_hier_depth(spark, d):
+    return T.bfs(V.hier(spark, d), vs(spark, "r:0")).groupBy("dist").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {V.HIER}, f AS (SELECT 'n:3' AS v UNION SELECT t FROM f JOIN hier ON s = v),
+    b AS (SELECT 'o:' || o_orderkey AS v FROM orders WHERE o_orderstatus = 'F' UNION SELECT s FROM b JOIN hier ON t = v),
+    k AS (SELECT v FROM f INTERSECT SELECT v FROM b) SELECT s, t FROM hier WHERE s IN (SELECT v FROM k) AND t IN (SELECT v FROM k)""")
+def prune_paths(spark, d):
+    """What lies between one nation and all finished orders."""
+    arcs = V.hier(spark, d)
+    done = V.read(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("v"))
+    kept = T.between(arcs, vs(spark, "n:3"), done)
+    return arcs.join(kept.withColumnRenamed("v", "s"), "s", "left_semi").join(kept.withColumnRenamed("v", "t"), "t", "left_semi").select("s", "t")
+
+
+@query(f"""WITH RECURSIVE {V.TRADE}, ends AS (SELECT CAST(n_regionkey AS VARCHAR) AS condition, CAST(min(n_nationkey) AS VARCHAR) AS a, CAST(max(n_nationkey) AS VARCHAR) AS b FROM nation GROUP BY 1),
+    f AS (SELECT condition, a AS v FROM ends UNION SELECT condition, t FROM f JOIN trade ON s = v), b AS (SELECT condition, b AS v FROM ends UNION SELECT condition, s FROM b JOIN trade ON t = v)
+    SELECT condition, v FROM f INTERSECT SELECT condition, v FROM b""")
+def prune_paths_by_condition(spark, d):
+    """Per region, what lies between its first and its last nation; all regions in one loop."""
+    n = V.read(spark, d, "nation").groupBy(F.col("n_regionkey").cast("string").alias("condition")).agg(F.min("n_nationkey").alias("a"), F.max("n_nationkey").alias("b"))
+    pick = lambda c: n.select("condition", F.col(c).cast("string").alias("v"))
+    return T.between(V.trade(spark, d), pick("a"), pick("b"), ("condition",))
+
+
+@query(f"WITH {V.HIER} SELECT CAST(layer AS INTEGER) AS layer, count(*) AS n FROM (SELECT DISTINCT v, CASE substr(v, 1, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 WHEN 'c' THEN 2 ELSE 3 END AS layer FROM (SELECT s AS v FROM hier UNION SELECT t FROM hier)) GROUP BY layer")
+def toposort_hier(spark, d):
+    arcs = V.hier(spark, d)
+    vertices = arcs.select(F.col("s").alias("v")).union(arcs.select("t")).distinct()
+    return T.topological_layers(arcs, vertices).groupBy("layer").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH RECURSIVE {V.TRADE}, r AS (SELECT '0' AS v, 0 AS d UNION SELECT t, d + 1 FROM r JOIN trade ON s = v WHERE d < 30), dist AS (SELECT v, min(d) AS d FROM r GROUP BY v)
+    SELECT {EIX}, CAST(b.d AS INTEGER) AS layer FROM trade JOIN dist a ON s = a.v JOIN dist b ON t = b.v WHERE b.d = a.d + 1""")
+def reachability_edges(spark, d):
+    return T.reaching_edges(trade_edges(spark, d), vs(spark, "0"))
+
+
+PATHS = """p AS (SELECT '0' AS v, 0.0::DOUBLE AS c, 0 AS h UNION ALL SELECT t, c + weight, h + 1 FROM p JOIN rtrade ON s = v WHERE h < 5)"""
+
+
+@query(f"WITH RECURSIVE {V.REGION_TRADE}, {PATHS} SELECT v, min(c) AS dist FROM p GROUP BY v")
+def shortest_path_region(spark, d):
+    arcs = V.region_trade(spark, d).withColumn("eix", F.col("s").cast("long") * 10 + F.col("t").cast("long"))
+    return T.shortest_paths(arcs, vs(spark, "0")).select("v", "dist")
+
+
+@query(f"""WITH RECURSIVE {V.TRADE}, p AS (SELECT DISTINCT s AS pair, s AS v, 0.0::DOUBLE AS c, 0 AS h FROM trade WHERE CAST(s AS INTEGER) < 5
+    UNION ALL SELECT pair, t, min(c + weight), any_value(h) + 1 FROM p JOIN trade ON s = v WHERE h < 24 GROUP BY pair, t) SELECT pair, v, min(c) AS dist FROM p GROUP BY pair, v""")
+def shortest_paths_multi(spark, d):
+    """From five nations at once, each its own problem in one loop."""
+    arcs = V.trade(spark, d).withColumn("eix", F.col("s").cast("long") * 100 + F.col("t").cast("long"))
+    starts = arcs.filter(F.col("s").cast("int") < 5).select(F.col("s").alias("pair"), F.col("s").alias("v")).distinct()
+    return T.shortest_paths(arcs, starts, ("pair",)).select("pair", "v", "dist")
+
+
+# --- scans and projections -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {V.TRADE} SELECT {EIX}, kind FROM (SELECT s, t, 'in' AS kind FROM trade WHERE t IN ('1', '2') UNION ALL SELECT s, t, 'out' FROM trade WHERE s IN ('1', '2'))")
+def in_out_edges(spark, d):
+    e, two = trade_edges(spark, d), vs(spark, "1", "2")
+    pick = lambda into, kind: G.directed_edges(e, two, into).select("eix", F.lit(kind).alias("kind"))
+    return pick(True, "in").unionByName(pick(False, "out"))
+
+
+@query(f"WITH {V.TRADE} SELECT {EIX} FROM trade WHERE s IN ('1', '2') OR t IN ('1', '2')")
+def incident_edges(spark, d):
+    return G.incident_edges(trade_edges(spark, d), vs(spark, "1", "2")).select("eix")
+
+
+@query(f"WITH {V.TRADE} SELECT {EIX} FROM trade WHERE s IN ('1', '2') OR t IN ('1', '2')")
+def undirected_in_edges(spark, d):
+    """Undirected edges count as incoming wherever they touch."""
+    return G.directed_edges(trade_edges(spark, d, "undirected"), vs(spark, "1", "2"), into=True).select("eix")
+
+
+@query(f"WITH {V.HYPER} SELECT DISTINCT b.v FROM hyper a JOIN hyper b USING (eix) WHERE a.side = 's' AND b.side = 't' AND a.v IN ('p:1', 'p:2', 'p:3')")
+def successors(spark, d):
+    return G.successors(V.hyper(spark, d), vs(spark, "p:1", "p:2", "p:3"))
+
+
+@query(f"WITH {V.HYPER} SELECT DISTINCT a.v FROM hyper a JOIN hyper b USING (eix) WHERE a.side = 's' AND b.side = 't' AND b.v IN ('c:1', 'c:2')")
+def predecessors(spark, d):
+    return G.predecessors(V.hyper(spark, d), vs(spark, "c:1", "c:2"))
+
+
+@query(f"WITH {V.HYPER} SELECT DISTINCT v FROM hyper WHERE eix IN (SELECT eix FROM hyper WHERE v = 'p:7')")
+def neighbors(spark, d):
+    return G.neighbors(V.hyper(spark, d), vs(spark, "p:7"))
+
+
+@query(f"WITH {V.HYPER}, top AS (SELECT eix, v FROM hyper WHERE side = 's') SELECT eix FROM top WHERE v IN ('p:1', 'p:2') GROUP BY eix HAVING count(DISTINCT v) = 2")
+def common_incident(spark, d):
+    return G.common_incident_edges(V.hyper(spark, d), ["p:1", "p:2"]).select("eix")
+
+
+@query(f"WITH {V.TRADE} SELECT {EIX} FROM trade WHERE s NOT IN ('3', '4') AND t NOT IN ('3', '4') AND weight > 100")
+def filter_graph(spark, d):
+    return G.filter_graph(trade_graph(spark, d), ~F.col("v").isin("3", "4"), F.col("weight") > 100).edges.select("eix")
+
+
+@query(f"WITH {V.TRADE}, n AS (SELECT CAST(n_nationkey AS VARCHAR) AS v FROM nation WHERE n_regionkey < 3) SELECT {EIX} FROM trade WHERE s IN (SELECT v FROM n) AND t IN (SELECT v FROM n)")
+def vertex_subgraph(spark, d):
+    n = V.read(spark, d, "nation").filter("n_regionkey < 3").select(F.col("n_nationkey").cast("string").alias("v"))
+    return G.subgraph(trade_graph(spark, d), n).edges.select("eix")
+
+
+@query(f"WITH {V.TRADE}, k AS (SELECT s, t FROM trade WHERE weight % 3 = 0) SELECT DISTINCT v FROM (SELECT s AS v FROM k UNION SELECT t FROM k)")
+def edge_subgraph(spark, d):
+    g = trade_graph(spark, d)
+    return G.edge_subgraph(g, g.edges.filter("weight % 3 = 0").select("eix")).vertices.select("v")
+
+
+@query(f"""WITH {V.TRADE}, k AS (SELECT '5' AS v UNION SELECT s FROM trade WHERE weight % 5 = 0 UNION SELECT t FROM trade WHERE weight % 5 = 0)
+    SELECT {EIX} FROM trade WHERE s IN (SELECT v FROM k) AND t IN (SELECT v FROM k)""")
+def extract_subgraph(spark, d):
+    g = trade_graph(spark, d)
+    return G.extract_subgraph(g, vs(spark, "5"), g.edges.filter("weight % 5 = 0").select("eix")).edges.select("eix")
+
+
+@query(f"WITH {V.HYPER} SELECT eix FROM hyper GROUP BY eix HAVING bool_or(side = 's' AND v IN ('p:1', 'p:2', 'p:3', 'p:4')) AND bool_or(side = 't' AND v IN ('c:1', 'c:2', 'c:4', 'c:5', 'c:7', 'c:8', 'c:10'))")
+def touching_subgraph(spark, d):
+    return G.touching_subgraph(V.hyper(spark, d), ["p:1", "p:2", "p:3", "p:4", "c:1", "c:2", "c:4", "c:5", "c:7", "c:8", "c:10"]).select("eix")
+
+
+@query(f"WITH {V.HYPER} SELECT (SELECT count(DISTINCT v) FROM hyper) AS n_vertices, (SELECT count(DISTINCT eix) FROM hyper) AS n_edges")
+def graph_shape(spark, d):
+    e = V.hyper(spark, d)
+    return G.shape(NetGraph(e, G.incidence(e).select("v").distinct()))
+
+
+@query(f"WITH {V.HYPER} SELECT bool_or(n > 1) AS is_hypergraph FROM (SELECT count(*) AS n FROM hyper GROUP BY eix, side)")
+def is_hypergraph(spark, d):
+    return G.is_hypergraph(V.hyper(spark, d))
+
+
+@query(f"WITH {V.TRADE} SELECT {EIX}, t AS a, s AS b FROM trade")
+def reverse_graph(spark, d):
+    return G.reverse(trade_edges(spark, d)).select("eix", F.get(ends("src"), 0).alias("a"), F.get(ends("tgt"), 0).alias("b"))
+
+
+@query(f"""WITH {V.TRADE}, top AS (SELECT max(CAST(s AS BIGINT) * 100 + CAST(t AS BIGINT)) AS m FROM trade), b AS (SELECT 0 AS kind, v FROM (VALUES ('0'), ('7')) x(v) UNION ALL SELECT 1, v FROM (VALUES ('3')) y(v))
+    SELECT m + row_number() OVER (ORDER BY kind, v) AS eix, CASE WHEN kind = 0 THEN '' ELSE v END AS a, CASE WHEN kind = 0 THEN v ELSE '' END AS b FROM b, top""")
+def boundary_edges(spark, d):
+    g = trade_graph(spark, d)
+    edges = G.with_boundaries(g, vs(spark, "0", "7"), vs(spark, "3")).edges
+    return edges.filter((F.size("src") == 0) | (F.size("tgt") == 0)).select("eix", F.array_join(ends("src"), "").alias("a"), F.array_join(ends("tgt"), "").alias("b"))
+
+
+@query(f"WITH {V.TRADE} SELECT row_number() OVER (ORDER BY s, t) - 1 AS eix, s, t FROM trade")
+def arcs_to_graph(spark, d):
+    """A graph numbered by a total order, without one task numbering all."""
+    g = NetGraph.of_arcs(V.trade(spark, d), order=["s", "t"])
+    return g.edges.select("eix", F.get(ends("src"), 0).alias("s"), F.get(ends("tgt"), 0).alias("t"))
+
+
+@query(f"WITH {V.TRADE} SELECT {EIX} FROM trade WHERE weight % 2 = 0")
+def edges_by_attribute(spark, d):
+    return G.edges_by_attribute(trade_edges(spark, d), "interaction", 1).select("eix")
+
+
+# --- incidence -----------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {V.HYPER} SELECT v, sum(a) AS total, count(*) AS n FROM hyper GROUP BY v")
+def incidence_coo(spark, d):
+    return G.incidence(V.hyper(spark, d), values=True).groupBy("v").agg(F.sum("a").alias("total"), F.count("*").alias("n"))
+
+
+@query("""WITH loops AS (SELECT l_orderkey * 10 + l_linenumber AS eix, 'n' || (l_partkey % 7) AS s, 'n' || (l_suppkey % 7) AS t FROM lineitem), i AS (SELECT eix, s AS v, 's' AS side, -1.0 AS a FROM loops UNION ALL SELECT eix, t, 't', 1.0 FROM loops)
+    SELECT v, CAST(sum(dense) AS DOUBLE) AS dense, CAST(sum(summed) AS DOUBLE) AS summed FROM (SELECT v, eix, arg_max(a, side) AS dense, sum(a) AS summed FROM i GROUP BY v, eix) GROUP BY v""")
+def incidence_dense_vs_sparse(spark, d):
+    """A self-loop is +1 in a dense matrix and 0 in a sparse one."""
+    li = V.read(spark, d, "lineitem")
+    e = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("eix"), side(F.concat(F.lit("n"), F.col("l_partkey") % 7)).alias("src"), side(F.concat(F.lit("n"), F.col("l_suppkey") % 7)).alias("tgt"), F.lit("directed").alias("edge_type"))
+    dense = G.incidence_matrix(e, sparse=False).groupBy("v").agg(F.sum("a").alias("dense"))
+    return dense.join(G.incidence_matrix(e).groupBy("v").agg(F.sum("a").alias("summed")), "v")
+
+
+@query(f"WITH {V.TRADE} SELECT {EIX}, s AS source, t AS target FROM trade")
+def directed_incidence(spark, d):
+    return G.directed_incidence(trade_edges(spark, d))
+
+
+@query(f"WITH {V.HYPER} SELECT v, CAST(count(*) FILTER (WHERE side = 't') AS DOUBLE) AS head, CAST(count(*) FILTER (WHERE side = 's') AS DOUBLE) AS tail FROM hyper GROUP BY v")
+def heads_and_tails(spark, d):
+    return G.heads_and_tails(V.hyper(spark, d)).groupBy("v").agg(F.sum("head").alias("head"), F.sum("tail").alias("tail"))
+
+
+GATES = """sif AS (SELECT 'p' || (l_partkey % 50) AS s, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS interaction, 'AND' || o AS t FROM (SELECT DISTINCT l_partkey % 50 AS l_partkey, min(l_returnflag) AS l_returnflag, l_orderkey % 40 AS o FROM lineitem WHERE l_orderkey < 200 GROUP BY 1, 3)),
+    gates AS (SELECT t AS g, list_sort(list(DISTINCT s) FILTER (WHERE interaction > 0)) AS pos, list_sort(list(DISTINCT s) FILTER (WHERE interaction < 0)) AS neg FROM sif GROUP BY t HAVING count(DISTINCT s) > 1)"""
+
+
+@query(f"WITH {GATES} SELECT product, coalesce(array_to_string(pos, ','), '') AS pos, coalesce(array_to_string(neg, ','), '') AS neg FROM (SELECT DISTINCT pos, neg, 'y' || (CAST(substr(g, 4) AS INTEGER) % 5) AS product FROM gates)")
+def and_gate_compile(spark, d):
+    """AND gates written as vertices, compiled to reactions."""
+    li = V.read(spark, d, "lineitem").filter("l_orderkey < 200")
+    rows = li.groupBy((F.col("l_partkey") % 50).alias("p"), (F.col("l_orderkey") % 40).alias("o")).agg(F.min("l_returnflag").alias("f"))
+    into = rows.select(F.concat(F.lit("p"), "p").alias("s"), F.when(F.col("f") == "R", -1).otherwise(1).alias("interaction"), F.concat(F.lit("AND"), "o").alias("t"))
+    into = into.join(into.groupBy("t").agg(F.countDistinct("s").alias("n")).filter("n > 1").select("t"), "t", "left_semi").select("s", "interaction", "t")
+    out = into.select(F.col("t").alias("s"), F.lit(1).alias("interaction"), F.concat(F.lit("y"), F.substring("t", 4, 9).cast("int") % 5).alias("t")).distinct()
+    return G.dependency_reactions(into.unionByName(out)).select("product", F.array_join("pos", ",").alias("pos"), F.array_join("neg", ",").alias("neg"))
+
+
+# --- features --------------------------------------------------------------------------------------------------------
+
+
+def features(spark, d) -> D.FeatureSet:
+    return D.FeatureSet.of(V.feat(spark, d))
+
+
+@query(f"WITH {V.FEAT} SELECT s.sample, count(f.fid) AS n_features FROM (SELECT DISTINCT sample FROM feat) s LEFT JOIN (SELECT * FROM feat WHERE value > 100 AND mapping <> 'none') f USING (sample) GROUP BY 1")
+def features_filter(spark, d):
+    """Samples that a filter empties stay."""
+    return features(spark, d).filter((F.col("value") > 100) & (F.col("mapping") != "none")).counts().select("sample", "n_features")
+
+
+@query(f"WITH {V.FEAT} SELECT sample, fid, round(value * 2 + k, 6) AS value FROM feat")
+def features_map(spark, d):
+    return features(spark, d).map(value=F.round(F.col("value") * 2 + F.col("extra")["k"].cast("int"), 6)).features.select("sample", "fid", "value")
+
+
+@query(f"WITH {V.FEAT} SELECT DISTINCT fid || ':' || role AS value FROM feat")
+def features_pluck(spark, d):
+    return features(spark, d).pluck(F.concat_ws(":", "fid", "role"))
+
+
+@query(f"WITH {V.FEAT} SELECT fid, role, sample, value FROM (SELECT *, row_number() OVER (PARTITION BY fid, role ORDER BY sample_ix, pos) AS rn FROM feat) WHERE rn = 1")
+def features_unique(spark, d):
+    return features(spark, d).unique("fid", "role").select("fid", "role", "sample", "value")
+
+
+@query(f"WITH {V.FEAT} SELECT sample, mapping, fid FROM (SELECT *, row_number() OVER (PARTITION BY sample, mapping ORDER BY pos) AS rn FROM feat) WHERE rn = 1")
+def features_unique_by_sample(spark, d):
+    return features(spark, d).unique_by_sample("mapping").select("sample", "mapping", "fid")
+
+
+@query(f"WITH {V.FEAT} SELECT fid, count(*) AS n FROM feat WHERE sample_ix % 10 = 0 GROUP BY fid")
+def samples_filter(spark, d):
+    return features(spark, d).filter_samples(F.col("sample_ix") % 10 == 0).features.groupBy("fid").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {V.FEAT} SELECT sample, count(*) AS n_features FROM feat GROUP BY sample")
+def sample_counts(spark, d):
+    return features(spark, d).counts().select("sample", "n_features")
+
+
+@query(f"WITH {V.FEAT} SELECT fid, CASE WHEN min(role) = max(role) THEN min(role) ELSE 'mixed' END AS role FROM feat WHERE mapping = 'vertex' GROUP BY fid")
+def infer_roles(spark, d):
+    return features(spark, d).roles()
+
+
+@query(f"WITH {V.FEAT} SELECT sample, fid, value, CASE WHEN value <> 0 THEN (row_number() OVER (PARTITION BY sample ORDER BY fid) - 1) % 3 END::INTEGER AS fold FROM feat WHERE value <> 0 UNION ALL SELECT sample, fid, value, NULL FROM feat WHERE value = 0")
+def kfold_cells(spark, d):
+    return D.ranked_folds(V.feat(spark, d).select("sample", "fid", "value"), ["sample", "fid"], "value", 3)
+
+
+@query(f"WITH {V.FEAT} SELECT DISTINCT fid AS v FROM feat WHERE fid NOT IN ('click', 'view')")
+def validate_unknown_vertices(spark, d):
+    return Q.unknown_vertices(V.feat(spark, d).select(F.col("fid").alias("v")).distinct(), vs(spark, "click", "view"))
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_tax > l_discount AND l_quantity > 45")
+def validate_bounds(spark, d):
+    li = V.read(spark, d, "lineitem").filter("l_quantity > 45")
+    return Q.bad_bounds(li.withColumns({"lb": F.col("l_tax"), "ub": F.col("l_discount")})).select("l_orderkey", "l_linenumber")
+
+
+@query(f"WITH {V.TRADE} SELECT {EIX} FROM trade WHERE s NOT IN ('1', '2') AND t IN ('1', '2')")
+def validate_edge_costs(spark, d):
+    e = trade_edges(spark, d)
+    return Q.bad_edge_costs(G.directed_edges(e, vs(spark, "1", "2"), True).select("eix"), G.directed_edges(e, vs(spark, "1", "2"), False))
+
+
+# --- scores ----------------------------------------------------------------------------------------------------------
+
+RULES = [("r1", "click and (view or purchase)"), ("r2", "signup or error"), ("r3", "click and view and error or purchase"), ("r4", "missing or click"), ("r5", "click and (")]
+PIVOT = f"""{V.FEAT}, p AS (SELECT sample, max(value - 100) FILTER (WHERE fid = 'click') AS click, max(value - 100) FILTER (WHERE fid = 'view') AS view_, max(value - 100) FILTER (WHERE fid = 'purchase') AS purchase,
+    max(value - 100) FILTER (WHERE fid = 'signup') AS signup, max(value - 100) FILTER (WHERE fid = 'error') AS error_ FROM feat GROUP BY sample),
+    z AS (SELECT sample, coalesce(click, 0) AS c, coalesce(view_, 0) AS v, coalesce(purchase, 0) AS p, coalesce(signup, 0) AS s, coalesce(error_, 0) AS e FROM p)"""
+
+
+def _sql_rule(word: str, a: str, b: str) -> str:
+    inner, outer = ("greatest", "least") if word == "and" else ("least", "greatest")
+    return f"(CASE WHEN {a} < 0 AND {b} < 0 THEN {inner}({a}, {b}) ELSE {outer}({a}, {b}) END)"
+
+
+@query(f"""WITH {PIVOT} SELECT sample, id, round(score, 6) AS score FROM (SELECT sample, 'r1' AS id, {_sql_rule('and', 'c', _sql_rule('or', 'v', 'p'))} AS score FROM z
+    UNION ALL SELECT sample, 'r2', {_sql_rule('or', 's', 'e')} FROM z UNION ALL SELECT sample, 'r3', {_sql_rule('or', _sql_rule('and', _sql_rule('and', 'c', 'v'), 'e'), 'p')} FROM z
+    UNION ALL SELECT sample, 'r4', {_sql_rule('or', '0', 'c')} FROM z UNION ALL SELECT sample, 'r5', 0 FROM z)""")
+def gpr_scores(spark, d):
+    f = V.feat(spark, d)
+    samples = f.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("fid", F.col("value") - 100))).alias("values"))
+    return S.evaluate_rules(RULES, samples).select("sample", "id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT p_type, count(*) AS n FROM (SELECT DISTINCT p_type, unnest(regexp_extract_all(upper(p_type) || ' AND B' || p_size, '[A-Z0-9]+')) AS gene FROM part) WHERE gene NOT IN ('AND', 'OR') GROUP BY p_type")
+def gene_extract(spark, d):
+    rule = F.concat(F.upper("p_type"), F.lit(" and B"), F.col("p_size").cast("string"))
+    return V.read(spark, d, "part").select("p_type", F.explode(S.genes(rule, "symbol_simple")).alias("gene")).distinct().groupBy("p_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {V.FEAT} SELECT sample, fid, CAST(CASE WHEN value >= 200 THEN 1 ELSE -1 END AS INTEGER) AS score FROM feat WHERE value >= 200 OR value <= 50")
+def discretise_scores(spark, d):
+    return V.feat(spark, d).select("sample", "fid", S.discretise(F.col("value"), 50, 200).alias("score")).filter("score IS NOT NULL")
+
+
+@query(f"WITH {V.FEAT} SELECT sample, fid, round(value / sum(abs(value)) OVER (PARTITION BY sample) * 100, 6) AS weight FROM feat")
+def rescale_weights(spark, d):
+    return V.feat(spark, d).select("sample", "fid", F.round(S.rescaled(F.col("value"), ["sample"]), 6).alias("weight"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_returnflag, greatest(l_discount, 2.2250738585072014e-308) AS p, l_tax - 0.04 AS fc FROM lineitem WHERE l_discount > 0),
+    y AS (SELECT *, CASE WHEN p < 0.05 AND fc >= 0.01 THEN -abs(log2(p / 0.05)) ELSE abs(log2(p / 0.05)) END AS s FROM x)
+    SELECT l_orderkey, l_linenumber, round(CASE WHEN s < 0 THEN s / max(CASE WHEN s < 0 THEN -s END) OVER w WHEN s > 0 THEN s / max(CASE WHEN s > 0 THEN s END) OVER w ELSE s END, 6) AS score FROM y WINDOW w AS (PARTITION BY l_returnflag)""")
+def phospho_scores(spark, d):
+    li = V.read(spark, d, "lineitem").filter("l_discount > 0").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_discount").alias("p"), (F.col("l_tax") - 0.04).alias("fold_change"))
+    return S.site_scores(li, 0.05, "up", 0.01, ["l_returnflag"]).select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {V.FEAT}, x AS (SELECT sample, fid, ln(1 + CASE WHEN abs(value) > 20 THEN abs(value) ELSE 0 END) AS m FROM feat), q AS (SELECT fid, quantile_cont(m, 0.95) AS top FROM x WHERE m > 0 GROUP BY fid),
+    c AS (SELECT sample, x.fid, CASE WHEN top IS NULL THEN m ELSE least(m, top) END AS m FROM x LEFT JOIN q USING (fid)) SELECT sample, fid, round(CASE WHEN max(m) OVER w > 0 THEN m / max(m) OVER w ELSE 0 END, 6) AS scaled FROM c WINDOW w AS (PARTITION BY fid)""")
+def scaled_magnitudes(spark, d):
+    f = V.feat(spark, d).select("sample", "fid", "value")
+    return S.scaled_magnitude(f, "value", ["fid"], "log", 20, 0.05).select("sample", "fid", F.round("scaled", 6).alias("scaled"))
+
+
+@query(f"WITH {V.FEAT}, q AS (SELECT fid, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM feat GROUP BY fid) SELECT sample, fid, round(greatest(least(value, hi), lo), 6) AS clipped FROM feat JOIN q USING (fid)")
+def clip_quantiles(spark, d):
+    return S.clipped(V.feat(spark, d).select("sample", "fid", "value"), "value", ["fid"], 0.1).select("sample", "fid", F.round("clipped", 6).alias("clipped"))
+
+
+@query("SELECT l_returnflag, round(sum(CAST(round(abs(m) * (1 - v * sign(m)), 6) AS DECIMAL(18,6))), 4)::DOUBLE AS error FROM (SELECT l_returnflag, l_tax - 0.04 AS m, CASE l_linestatus WHEN 'F' THEN 1 ELSE -1 END AS v FROM lineitem) GROUP BY 1")
+def signed_error(spark, d):
+    li = V.read(spark, d, "lineitem")
+    e = S.signed_error(F.col("l_tax") - 0.04, F.when(F.col("l_linestatus") == "F", 1).otherwise(-1))
+    return li.groupBy("l_returnflag").agg(F.round(F.sum(F.round(e, 6).cast("decimal(18,6)")), 4).cast("double").alias("error"))
+
+
+@query(f"WITH {GATES} SELECT DISTINCT array_to_string(list_concat(coalesce(pos, []), list_transform(coalesce(neg, []), lambda x: 'NOT ' || x)), ' AND ') || ' -> y' AS reaction FROM gates")
+def reaction_text(spark, d):
+    rows = V.read(spark, d, "lineitem").filter("l_orderkey < 200").groupBy((F.col("l_partkey") % 50).alias("p"), (F.col("l_orderkey") % 40).alias("o")).agg(F.min("l_returnflag").alias("f"))
+    name, bad = F.concat(F.lit("p"), "p"), F.col("f") == "R"
+    gates = rows.groupBy("o").agg(F.collect_set(F.when(~bad, name)).alias("pos"), F.collect_set(F.when(bad, name)).alias("neg")).filter(F.size("pos") + F.size("neg") > 1)
+    return gates.select(S.reaction_text(F.col("pos"), F.col("neg"), F.lit("y")).alias("reaction")).distinct()
+
+
+@query(f"WITH {V.FEAT} SELECT sample, CAST(max(CAST(value > 100 AS INTEGER)) AS INTEGER) AS or_, CAST(min(CAST(value > 100 AS INTEGER)) AS INTEGER) AS and_, CAST(sum(CAST(value > 100 AS INTEGER)) % 2 AS INTEGER) AS xor_, sum(CASE WHEN (value > 100) <> (role = 'output') THEN 1 ELSE 0 END)::BIGINT AS hamming FROM feat GROUP BY sample")
+def or_and_xor_by_user(spark, d):
+    b = (F.col("value") > 100).cast("int")
+    return V.feat(spark, d).groupBy("sample").agg(F.max(b).alias("or_"), F.min(b).alias("and_"), (F.sum(b) % 2).cast("int").alias("xor_"), F.sum(F.when((F.col("value") > 100) != (F.col("role") == "output"), 1).otherwise(0)).alias("hamming"))
+
+
+# --- results ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {V.FEAT}, u AS (SELECT fid || (sample_ix % 9) AS item, count(DISTINCT role) AS active_in FROM feat GROUP BY 1)
+    SELECT CASE WHEN active_in = 3 THEN 'shared core' WHEN active_in > 1 THEN 'partially shared' ELSE 'context-specific' END AS category, active_in, count(*) AS size, array_to_string((list(item ORDER BY item))[1:6], ',') AS first FROM u GROUP BY active_in""")
+def usage_categories(spark, d):
+    active = V.feat(spark, d).select(F.concat("fid", (F.col("sample_ix") % 9).cast("string")).alias("item"), F.col("role").alias("condition"))
+    return R.usage_categories(active, 3)
+
+
+@query("SELECT c_nationkey, c_custkey, rank FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(c_acctbal) DESC, c_custkey) AS rank FROM customer) WHERE rank <= 3")
+def topk_balance(spark, d):
+    return R.top_by_size(V.read(spark, d, "customer"), ["c_nationkey"], "c_acctbal", 3, "c_custkey").select("c_nationkey", "c_custkey", F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT p_brand, round(avg(p_size), 6) AS mean FROM part GROUP BY 1 ORDER BY avg(p_size) DESC, 1 LIMIT 10")
+def group_mean_rank(spark, d):
+    return R.group_means(V.read(spark, d, "part"), "p_brand", "p_size", 10).select("p_brand", F.round("mean", 6).alias("mean"))
+
+
+@query(f"WITH {V.HYPER} SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'vertex' AS kind, v FROM hyper UNION ALL SELECT 'centre', CAST(eix AS VARCHAR) FROM hyper GROUP BY eix HAVING count(*) > 2) GROUP BY kind")
+def plot_model(spark, d):
+    e = V.hyper(spark, d).withColumn("interaction", F.lit(None).cast("int"))
+    nodes, _ = R.plot_model(NetGraph(e, G.incidence(e).select("v").distinct()))
+    return nodes.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {V.TRADE} SELECT '  "' || s || '" -> "' || t || '" [arrowhead=' || CASE WHEN weight % 2 = 0 THEN 'normal' ELSE 'tee' END || '];' AS line FROM trade UNION ALL SELECT '  "' || v || '";' FROM (SELECT s AS v FROM trade UNION SELECT t FROM trade)""")
+def dot_text(spark, d):
+    return IO.dot_lines(trade_graph(spark, d)).select("line")
+
+
+@query(f"WITH {V.TRADE} SELECT v, CASE WHEN bool_and(k = 's') THEN 'input' WHEN bool_and(k = 't') THEN 'output' ELSE 'inner' END AS kind FROM (SELECT s AS v, 's' AS k FROM trade UNION ALL SELECT t, 't' FROM trade) GROUP BY v")
+def graph_ends(spark, d):
+    return R.ends_of(V.trade(spark, d))
+
+
+@query(f"WITH {V.HYPER} SELECT v, count(*) FILTER (WHERE side = 's') AS out_degree, count(*) FILTER (WHERE side = 't') AS in_degree FROM hyper GROUP BY v")
+def degrees(spark, d):
+    return R.degrees(NetGraph(V.hyper(spark, d), spark.createDataFrame([], "v string")))
+
+
+@query(f"WITH {V.TRADE}, m AS (SELECT max(weight) AS m FROM trade) SELECT {EIX}, CASE WHEN weight % 2 = 0 THEN 'red' ELSE 'blue' END AS colour, round(0.5 + 4.5 * weight / m, 6) AS width FROM trade, m")
+def edge_styles(spark, d):
+    return R.edge_styles(trade_edges(spark, d).select("eix", (F.col("weight") * F.col("interaction")).alias("value"))).select("eix", "colour", F.round("width", 6).alias("width"))
+
+
+@query("SELECT o_orderstatus AS condition, round(sum(o_totalprice) FILTER (WHERE p = '1'), 2) AS o_1, round(sum(o_totalprice) FILTER (WHERE p = '2'), 2) AS o_2 FROM (SELECT *, substr(o_orderpriority, 1, 1) AS p FROM orders) GROUP BY 1")
+def observed_series(spark, d):
+    o = V.read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("condition"), F.substring("o_orderpriority", 1, 1).alias("v")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
+    return R.observed_and_predicted(o, o.limit(0), ["1", "2"]).select("condition", "o_1", "o_2")
