@@ -66,5 +66,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def row_of(df: DataFrame) -> Column:
+    """The whole row as one column named `row`, so that no name of its own can clash; rows_of() takes it apart again."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+
+
+def rows_of(df: DataFrame) -> DataFrame:
+    return df.select("row.*")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

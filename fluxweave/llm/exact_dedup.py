@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions
+from .common import materialise, row_of, rows_of, shuffle_partitions
 
 SLOTS = 4
 MAX_KICKS = 96
@@ -192,11 +192,12 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup() keeps, whole and with all their columns."""
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     groups = live_groups(digests(docs))
-    multi = groups.filter("group_size > 1")
-    keyed = docs.withColumn("__sha", F.unhex(F.sha2(raw, 256)))
-    hit = keyed.join(multi.select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("n_keep").alias("__n")), "__sha", "left")
-    stays = F.col("__n").isNull() | F.col("doc_id").eqNullSafe(F.col("__keep"))
+    multi = groups.filter("group_size > 1").select("sha", "keep_id", "n_keep")
+    keyed = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(raw, 256)).alias("sha"))
+    hit = keyed.join(multi, "sha", "left")
+    alone = F.col("n_keep").isNull()
+    last = ~alone & F.col("id").eqNullSafe(F.col("keep_id"))
     if multi.filter("n_keep > 1").isEmpty():
-        return hit.filter(stays).select(docs.columns)
-    tied = F.coalesce(F.col("__n") > 1, F.lit(False))
-    return hit.filter(stays & ~tied).select(docs.columns).unionByName(hit.filter(stays & tied).dropDuplicates(["__sha"]).select(docs.columns))
+        return rows_of(hit.filter(alone | last))
+    tied = F.coalesce(F.col("n_keep") > 1, F.lit(False))
+    return rows_of(hit.filter((alone | last) & ~tied)).unionByName(rows_of(hit.filter(last & tied).dropDuplicates(["sha"])))

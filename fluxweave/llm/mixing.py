@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import materialise, row_of, rows_of, word_count
 
 SEED = 20_240_601
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -23,6 +23,8 @@ MAX_REPEAT = 2
 RANKED_TOGETHER = 512
 #: The dynamic program covers this many times the longest document.
 WINDOW_LENGTHS = 2
+#: Documents of a short length that are taken back for it at most.
+HANDED_BACK = 16
 
 _PLAN = "source string, size long, n long, base long, extra long, source_size long, target double"
 
@@ -49,7 +51,12 @@ def fill(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
             more = min(int(counts[i] - take[i]), (left - window) // int(lengths[i]) + 1, left // int(lengths[i]))
             take[i] += more
             left -= more * int(lengths[i])
-    return take + knapsack(lengths, counts - take, left)
+    given = 0  # short documents are handed back, so that the program has both taken and untaken ones to choose from
+    for i in np.argsort(lengths, kind="stable"):
+        if lengths[i] > 0 and (back := min(int(take[i]), HANDED_BACK, (window - given) // int(lengths[i]))) > 0:
+            take[i] -= back
+            given += back * int(lengths[i])
+    return take + knapsack(lengths, counts - take, left + given)
 
 
 def knapsack(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -137,12 +144,12 @@ def take_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed corpus: each row of docs as often as mix() takes it, with all its columns."""
     judged = materialise(mix(docs, **how).select("doc_id", "source", "size", "copies"), "mix-copies")
     keys = ["doc_id", "source", "size"]
-    keyed = docs.withColumn("__size", word_count(F.col("text")))
+    keyed = docs.select(row_of(docs), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))
     nth_left, nth_right = F.lit(1), F.lit(1)
     if not judged.groupBy(keys).count().filter("count > 1").isEmpty():
-        nth_left = F.row_number().over(Window.partitionBy("doc_id", "source", "__size").orderBy(F.xxhash64("text")))
+        nth_left = F.row_number().over(Window.partitionBy(*keys).orderBy("th"))
         nth_right = F.row_number().over(Window.partitionBy(*keys).orderBy("copies"))
-    left, right = keyed.withColumn("__nth", nth_left).alias("l"), judged.withColumn("__nth", nth_right).alias("r")
-    on = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("__size") == F.col("r.size")) & (F.col("l.__nth") == F.col("r.__nth"))
-    taken = left.join(right.filter("copies > 0"), on).select(*[F.col(f"l.{c}") for c in docs.columns], F.col("copies").alias("__copies"))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(docs.columns)
+    left, right = keyed.withColumn("nth", nth_left).alias("l"), judged.withColumn("nth", nth_right).filter("copies > 0").alias("r")
+    on = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.size") == F.col("r.size")) & (F.col("l.nth") == F.col("r.nth"))
+    taken = left.join(right, on).select("l.row", "r.copies")
+    return rows_of(taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, words_of
+from .common import materialise, row_of, rows_of, shuffle_partitions, words_of
 from .components import components
 
 WORDS = 5
@@ -311,6 +311,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     first = grouped.groupBy("root").agg(F.min("rep_id").alias("class_id"))
     linked = grouped.join(first, "root").select(F.col("node").alias("key"), "class_id").join(counts, "key", "left")
     table = sets.select("key", "rep_id", "copies").join(linked, "key", "left").select("key", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    table = materialise(table, "join-table")  # as plain files on both sides, a hot set's rows can be split
     told = full.select("doc_id", "key").join(table, "key").select("doc_id", "class_id", "rep_id", "n_links", F.col("key").alias("set_key"))
     alone = embedded.filter("key IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("set_key"))
     return told.unionByName(alone)
@@ -341,10 +342,10 @@ def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     stays = judged.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "set_key", "rep_id")
     stays = materialise(stays, "join-stays")
     ids = stays.groupBy("doc_id").agg(F.count("*").alias("rows"))
-    one = ids.filter("rows = 1").select(F.col("doc_id").alias("__id"))
-    left = docs.join(one, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
-    many = ids.filter("rows > 1").select(F.col("doc_id").alias("__id"))
-    if many.isEmpty():
-        return left.select(docs.columns)
-    again = docs.join(many, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.select(docs.columns).unionByName(again.select(docs.columns))
+    keyed = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
+    pick = lambda n: ids.filter(n).select("doc_id")
+    one = keyed.join(pick("rows = 1"), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
+    if pick("rows > 1").isEmpty():
+        return rows_of(one)
+    again = keyed.join(pick("rows > 1"), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi").dropDuplicates(["id", "th"])
+    return rows_of(one).unionByName(rows_of(again))
