@@ -17,12 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, words_of
+from .ngram_join import shingles
 
 #: Labelled rows that the lexicon and the weights are learned from, at most (those with the smallest hashed doc_id).
-FIT_ROWS = 8_000
-#: Terms kept at most; documents a term or stem must be in; log-odds it must reach.
-TERMS, LEAST_DOCS, LEAST_ODDS = 200, 5, 2.5
+FIT_ROWS = 6_000
+#: Terms kept at most; toxic documents a term or stem must be in, at least and as a share; log-odds it must reach.
+TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 200, 4, 0.012, 2.5
 #: Stems have so many letters. A document has a stem if so many different words of it begin so; so many words of toxic ones must.
 STEM, STEM_TWICE, STEM_WORDS = (3, 8), 2, 6
 #: Terms of so many letters at least are also found misspelled, by one edit.
@@ -33,11 +34,15 @@ REMEMBERED = 300_000
 QUOTES = "\"“”«»„‘’"
 REPORT = {"said", "says", "quote", "quoted", "called", "wrote", "word", "term", "dit", "sagte", "dijo"}
 
-_word = re.compile(r"[^\W\d_]+(?:[0-9@$][^\W\d_]+)*")
+_word = re.compile(r"[\w@$]+")
 _quote = re.compile(f"[{QUOTES}]")
 _like = str.maketrans("013457@$", "oleastas")
 
 
+def plain_form(word: str) -> str:
+    return word.lower().strip("@$_")
+
+
 class Trie:
     """Terms by letter. A node is a dict of letters; the empty string marks a term's end, '*' a stem's."""
 
@@ -61,107 +66,169 @@ class Trie:
         return node.get("", node.get("*", found))
 
     def fuzzy(self, word: str, edits: int = 1) -> str | None:
-        """The first term, by letters, within `edits` of the word: the automaton's states are rows of edit distances, and a
-        branch of the trie is left as soon as every state is past `edits`."""
-        stack = [(self.root, tuple(range(len(word) + 1)))]
-        best: tuple[int, str] | None = None
+        """The nearest term, then the first by letters, within `edits` of the word. The automaton's states are the edit distances
+        near the diagonal; a branch of the trie is left as soon as all of them are past `edits`."""
+        n, best = len(word), None
+        stack = [(self.root, 0, tuple(k - edits if k >= edits else edits + 1 for k in range(2 * edits + 1)))]
         while stack:
-            node, row = stack.pop()
-            if "" in node and len(node[""]) >= FUZZY_LETTERS and row[-1] <= edits and (best is None or (row[-1], node[""]) < best):
-                best = (row[-1], node[""])
+            node, depth, state = stack.pop()
+            at = n - depth + edits
+            if "" in node and depth >= FUZZY_LETTERS and 0 <= at <= 2 * edits and state[at] <= edits and (best is None or (state[at], node[""]) < best):
+                best = (state[at], node[""])
             for letter, child in node.items():
-                if len(letter) == 1 and letter != "*":
-                    after = step(row, word, letter)
+                if letter and letter != "*":
+                    after = step(state, word, letter, depth, edits)
                     if min(after) <= edits:
-                        stack.append((child, after))
+                        stack.append((child, depth + 1, after))
         return best[1] if best else None
 
 
-def step(row: tuple[int, ...], word: str, letter: str) -> tuple[int, ...]:
-    """The Levenshtein automaton's state after one more letter of the term."""
-    out = [row[0] + 1]
-    for k, mine in enumerate(word, 1):
-        out.append(min(row[k] + 1, out[-1] + 1, row[k - 1] + (mine != letter)))
+def step(state: tuple[int, ...], word: str, letter: str, depth: int, edits: int) -> tuple[int, ...]:
+    """The Levenshtein automaton after one more letter of the term: state[k] is the distance of the term's first `depth` letters
+    from the word's first depth - edits + k ones, edits + 1 standing for more."""
+    past, n, out, left = edits + 1, len(word), [], edits + 1
+    for k in range(2 * edits + 1):
+        j = depth + 1 - edits + k
+        if j < 0 or j > n:
+            left = past
+        elif j == 0:
+            left = min(depth + 1, past)
+        else:
+            left = min(left + 1, state[k] + (word[j - 1] != letter), state[k + 1] + 1 if k < 2 * edits else past, past)
+        out.append(left)
     return tuple(out)
 
 
-def _stems(words: Iterable[str]) -> dict[str, set[str]]:
-    """The words that begin with each stem and go on after it."""
+def families(texts: list[str], sketches: int = 4) -> list[bool]:
+    """Whether each text is the first of its kind: none before it shares one of a few min-hashes of five-word shingles. Copies
+    and near copies would otherwise make all their words look like signs of their label."""
+    known: dict[str, int] = {}
+    seen: set[tuple[int, int]] = set()
+    first = []
+    for text in texts:
+        grams = shingles(words_of(text), known)
+        mine = {(k, int(((grams * _MIX[k]) >> np.uint64(11)).min())) for k in range(sketches)} if len(grams) else {(-1, 0)}
+        first.append(not mine & seen)
+        seen |= mine
+    return first
+
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def _stems(words: Iterable[str], wanted: dict | None = None) -> dict[str, set[str]]:
+    """The words that begin with each stem (of the wanted ones) and go on after it; only stems of STEM_TWICE words or more."""
     found: dict[str, set[str]] = {}
     for w in words:
         for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1):
-            found.setdefault(w[:k], set()).add(w)
-    return found
+            if wanted is None or w[:k] in wanted:
+                found.setdefault(w[:k], set()).add(w)
+    return {s: ws for s, ws in found.items() if len(ws) >= STEM_TWICE}
 
 
 def lexicon(texts: list[str], toxic: list[int]) -> tuple[list[str], list[str]]:
     """(words, stems) that mark toxic documents, by smoothed log-odds of document counts."""
-    n, words, stems, begun = [0, 0], {}, {}, {}
-    for text, y in zip(texts, toxic, strict=True):
-        n[y] += 1
-        mine = {w.lower() for w in _word.findall(text)}
-        for w in mine:
-            words.setdefault(w, [0, 0])[y] += 1
-        for stem, found in _stems(mine).items():
-            if len(found) >= STEM_TWICE:
-                stems.setdefault(stem, [0, 0])[y] += 1
-                if y and len(known := begun.setdefault(stem, set())) < STEM_WORDS:
+    first = families(texts)
+    texts, toxic = ([x for x, f in zip(xs, first, strict=True) if f] for xs in (texts, toxic))
+    n, begun = [toxic.count(0), toxic.count(1)], {}
+    enough = max(LEAST_DOCS, LEAST_SHARE * n[1])
+    words: dict[str, list[int]] = {}
+    stems: dict[str, list[int]] = {}
+    sets = [{plain_form(w) for w in set(_word.findall(text))} for text in texts]
+    for mine, y in zip(sets, toxic, strict=True):
+        if y:
+            for w in mine:
+                words.setdefault(w, [0, 0])[1] += 1
+            for stem, found in _stems(mine).items():
+                stems.setdefault(stem, [0, 0])[1] += 1
+                if len(known := begun.setdefault(stem, set())) < STEM_WORDS:
                     known |= found
+    words = {w: c for w, c in words.items() if c[1] >= enough}
+    stems = {s: c for s, c in stems.items() if c[1] >= enough and len(begun[s]) >= STEM_WORDS}
+    begins = {s[: STEM[0]] for s in stems}
+    for mine, y in zip(sets, toxic, strict=True):
+        if not y:
+            for w in mine & words.keys():
+                words[w][0] += 1
+            for stem in _stems((w for w in mine if w[: STEM[0]] in begins), stems):
+                stems[stem][0] += 1
 
     def strong(counts: dict[str, list[int]]) -> list[str]:
         odds = lambda c: math.log((c[1] + 0.5) / (n[1] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1))
-        good = [(odds(c) * math.sqrt(c[1]), t) for t, c in counts.items() if c[1] >= LEAST_DOCS and odds(c) >= LEAST_ODDS]
+        good = [(odds(c) * math.sqrt(c[1]), t) for t, c in counts.items() if odds(c) >= LEAST_ODDS]
         return [t for _, t in sorted(good, key=lambda x: (-x[0], -len(x[1]), x[1]))]
 
     kept: list[str] = []
     for stem in strong(stems):
-        if len(begun.get(stem, ())) >= STEM_WORDS and not any(stem.startswith(k) or k.startswith(stem) for k in kept):
+        if not any(stem.startswith(k) or k.startswith(stem) for k in kept):
             kept.append(stem)
     kept = kept[:TERMS]
     return [w for w in strong(words) if not w.startswith(tuple(kept))][:TERMS], kept
 
 
 class Scanner:
-    """Finds terms in texts; remembers words it has seen."""
+    """Finds terms in texts; remembers the words it has looked at, apart by whether they are a term."""
 
     def __init__(self, words: list[str], stems: list[str], plain: Iterable[str] = ()) -> None:
-        self.trie, self.known, self.plain, self.stems = Trie(words, stems), {}, frozenset(plain), frozenset(stems)
-        long = [w for w in words if len(w) >= FUZZY_LETTERS]
-        #: One edit leaves the first or the last half of a term as it is.
-        self.halves = frozenset(w[: len(w) // 2] for w in long), frozenset(w[len(w) // 2 :] for w in long)
-        self.sizes = [sorted({len(h) for h in half}) for half in self.halves]
+        self.trie, self.plain, self.stems = Trie(words, stems), frozenset(plain), frozenset(stems)
+        self.hits: dict[str, tuple[str, bool]] = {}
+        self.boring: set[str] = set()
+        self.begins = frozenset(t[:3] for t in (*words, *stems))
+        self.short = any(len(t) < 3 for t in (*words, *stems))
+        #: One edit leaves the first or the last half of a term as it is; by length of word, halves of the terms near it.
+        self.halves: dict[int, tuple[set[str], set[str], list[int], list[int]]] = {}
+        for w in words:
+            if len(w) >= FUZZY_LETTERS:
+                for n in range(len(w) - 1, len(w) + 2):
+                    first, last, a, b = self.halves.setdefault(n, (set(), set(), [], []))
+                    cut = len(w) // 2
+                    first.add(w[:cut])
+                    last.add(w[cut:])
+                    a[:] = sorted({*a, cut})
+                    b[:] = sorted({*b, len(w) - cut})
 
     def may_be_bent(self, word: str) -> bool:
-        return any(word[:k] in self.halves[0] for k in self.sizes[0]) or any(word[-k:] in self.halves[1] for k in self.sizes[1])
+        near = self.halves.get(len(word))
+        return near is not None and (any(word[:k] in near[0] for k in near[2]) or any(word[-k:] in near[1] for k in near[3]))
 
     def look(self, word: str) -> tuple[str, bool] | None:
         """(term, whether misspelled) of a word as written."""
-        low = word.lower()
-        if found := self.trie.exact(low):
+        low = plain_form(word)
+        if (self.short or low[:3] in self.begins) and (found := self.trie.exact(low)):
             return found, False
-        if len(low) < FUZZY_LETTERS - 1 or low in self.plain:
+        plain = low if low.isalpha() else low.translate(_like)
+        if plain is not low and (found := self.trie.exact(plain)):
+            return found, True
+        if not self.may_be_bent(plain) or low in self.plain:
             return None
-        plain = low.translate(_like)
-        found = (self.trie.exact(plain) if plain != low else None) or (self.trie.fuzzy(plain) if self.may_be_bent(plain) else None)
+        found = self.trie.fuzzy(plain)
         return (found, True) if found else None
 
-    def term(self, word: str) -> tuple[str, bool] | None:
-        known = self.known
-        if word not in known:
-            if len(known) > REMEMBERED:
-                known.clear()
-            known[word] = self.look(word)
-        return known[word]
+    def terms(self, words: set[str]) -> dict[str, tuple[str, bool]]:
+        """Those of a text's different words that are terms."""
+        for w in words - self.boring:
+            if w not in self.hits:
+                if hit := self.look(w):
+                    self.hits[w] = hit
+                else:
+                    self.boring.add(w)
+        found = {w: self.hits[w] for w in words & self.hits.keys()}
+        if len(self.boring) > REMEMBERED:
+            self.boring.clear()
+        if len(self.hits) > REMEMBERED:
+            self.hits.clear()
+        return found
 
     def counts(self, text: str | None) -> np.ndarray:
         """What the score is made from: hits of words, of stems, misspelled and quoted ones, their kinds, shares and nearness."""
         out = np.zeros(SIGNS)
         out[-1] = 1.0
         words = _word.findall(text) if text else []
-        found = [*map(self.term, words)]
-        at = [k for k, f in enumerate(found) if f]
-        if not at:
+        terms = self.terms(set(words))
+        if not terms:
             return out
+        found = [*map(terms.get, words)]
+        at = [k for k, f in enumerate(found) if f]
         spans = [m.span() for m in _word.finditer(text)]
         plain = stem = bent = quoted = 0
         for k in at:
@@ -204,9 +271,8 @@ def learn(texts: list[str], toxic: list[int]) -> dict:
     scan, seen = Scanner(words, stems), {}
     for text, y in zip(texts, toxic, strict=True):
         if not y:
-            for w in {w.lower() for w in _word.findall(text)}:
-                if (hit := scan.term(w)) and hit[1]:
-                    seen[w] = seen.get(w, 0) + 1
+            for w in {plain_form(w) for w, hit in scan.terms(set(_word.findall(text))).items() if hit[1]}:
+                seen[w] = seen.get(w, 0) + 1
     plain = sorted(w for w, k in seen.items() if k >= 2)
     scan = Scanner(words, stems, plain)
     x = np.array([scan.counts(t) for t in texts]).reshape(len(texts), SIGNS)
