@@ -148,6 +148,9 @@ def dress(kind: str, raw: str, surrogate: str) -> str:
         rest = iter(surrogate)
         out = "".join(next(rest, "") if c.isalnum() else c for c in raw)
         return out + "".join(rest)
+    if kind == "email" and raw.partition("@")[0].isupper() and not raw.isupper():
+        local, _, domain = surrogate.partition("@")
+        return f"{local.upper()}@{domain}"
     if raw.isupper():
         return surrogate.upper()
     if kind.startswith("name"):
