@@ -15,6 +15,9 @@ from ..operators import graph as G
 from ..operators import results as R
 from ..operators import traverse as T
 from ..sources import formats as IO
+from . import methods as C
+from . import model_tables as M
+from . import solve as L
 from . import views as V
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -165,9 +168,11 @@ def neighbors(spark, d):
     return G.neighbors(V.hyper(spark, d), vs(spark, "p:7"))
 
 
-@query(f"WITH {V.HYPER}, top AS (SELECT eix, v FROM hyper WHERE side = 's') SELECT eix FROM top WHERE v IN ('p:1', 'p:2') GROUP BY eix HAVING count(DISTINCT v) = 2")
+@query(f"WITH {V.HYPER}, want AS (SELECT v FROM hyper WHERE eix = 7) SELECT eix FROM hyper WHERE v IN (SELECT v FROM want) GROUP BY eix HAVING count(DISTINCT v) = (SELECT count(*) FROM want)")
 def common_incident(spark, d):
-    return G.common_incident_edges(V.hyper(spark, d), ["p:1", "p:2"]).select("eix")
+    """Edges that hold every end of order 7."""
+    e = V.hyper(spark, d)
+    return G.common_incident_edges(e, [r.v for r in G.incidence(e.filter("eix = 7")).collect()]).select("eix")  # the ends of one order
 
 
 @query(f"WITH {V.TRADE} SELECT {EIX} FROM trade WHERE s NOT IN ('3', '4') AND t NOT IN ('3', '4') AND weight > 100")
@@ -478,3 +483,146 @@ def edge_styles(spark, d):
 def observed_series(spark, d):
     o = V.read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("condition"), F.substring("o_orderpriority", 1, 1).alias("v")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
     return R.observed_and_predicted(o, o.limit(0), ["1", "2"]).select("condition", "o_1", "o_2")
+
+
+# --- models ----------------------------------------------------------------------------------------------------------
+
+
+def _sizes(variables: DataFrame, con: DataFrame, terms: DataFrame) -> DataFrame:
+    """(part, n, total): how many rows of each kind and block a model has, and what they sum to."""
+    v = variables.groupBy(F.concat(F.lit("variables "), "name").alias("part")).agg(F.count("*").alias("n"), F.sum("ub").alias("total"))
+    c = con.groupBy(F.concat(F.lit("constraints "), "block").alias("part")).agg(F.count("*").alias("n"), F.sum("rhs").alias("total"))
+    t = terms.groupBy(F.concat(F.lit("terms "), "block").alias("part")).agg(F.count("*").alias("n"), F.sum("coef").alias("total"))
+    return v.unionByName(c).unionByName(t).select("part", "n", F.round("total", 6).alias("total"))
+
+
+_EV = f"{V.TRADE}, e AS (SELECT count(*) AS e FROM trade), n AS (SELECT count(*) AS v FROM (SELECT s FROM trade UNION SELECT t FROM trade))"
+
+
+@query(f"""WITH {_EV} SELECT 'variables flow' AS part, 2 * e AS n, 2000.0 * e AS total FROM e UNION ALL SELECT 'constraints flow_balance', 2 * v, 0 FROM n UNION ALL SELECT 'terms flow_balance', 4 * e, 0 FROM e""")
+def flow_model_rows(spark, d):
+    g = trade_graph(spark, d)
+    return _sizes(*M.flow(g.edges, g.vertices, 2))
+
+
+@query(f"""WITH {_EV} SELECT 'variables on' AS part, e AS n, 1.0 * e AS total FROM e UNION ALL SELECT 'constraints on_lb', e, 0 FROM e UNION ALL SELECT 'constraints on_ub', e, 0 FROM e
+    UNION ALL SELECT 'terms on_lb', e, e FROM e UNION ALL SELECT 'terms on_ub', 2 * e, -999 * e FROM e""")
+def indicator_rows(spark, d):
+    g = trade_graph(spark, d)
+    return _sizes(*M.indicator(M.flow(g.edges, g.vertices)[0], "on"))
+
+
+@query(f"""WITH {_EV} SELECT 'variables on_pos' AS part, e AS n, 1.0 * e AS total FROM e UNION ALL SELECT 'variables on_neg', e, 0 FROM e UNION ALL SELECT 'constraints on_once', e, e FROM e UNION ALL SELECT 'constraints on_low', e, 0 FROM e
+    UNION ALL SELECT 'constraints on_high', e, 0 FROM e UNION ALL SELECT 'terms on_once', 2 * e, 2 * e FROM e UNION ALL SELECT 'terms on_low', 2 * e, 0.5 * e FROM e UNION ALL SELECT 'terms on_high', 3 * e, -998.5 * e FROM e""")
+def nonzero_rows(spark, d):
+    g = trade_graph(spark, d)
+    return _sizes(*M.nonzero_indicator(M.flow(g.edges, g.vertices)[0], "on", 0.5))
+
+
+@query(f"""WITH {_EV} SELECT 'variables layer' AS part, 2 * v AS n, 2.0 * v * 24 AS total FROM n UNION ALL SELECT 'constraints layer_fwd', 2 * e, -48 * e FROM e UNION ALL SELECT 'terms layer_fwd', 6 * e, -50 * e FROM e""")
+def acyclic_rows(spark, d):
+    g = trade_graph(spark, d)
+    return _sizes(*M.acyclic(g.edges, g.vertices, 2, "x", 25))
+
+
+@query(f"""WITH {V.FEAT}, u AS (SELECT sample_ix, count(*) AS k FROM feat GROUP BY 1) SELECT 'variables any' AS part, count(*) AS n, 1.0 * count(*) AS total FROM u UNION ALL SELECT 'constraints any_lo', count(*), 0 FROM u UNION ALL SELECT 'constraints any_hi', count(*), 0 FROM u
+    UNION ALL SELECT 'terms any_lo', sum(k + 1)::BIGINT, 0 FROM u UNION ALL SELECT 'terms any_hi', sum(k + 1)::BIGINT, sum(k - 1) FROM u""")
+def gate_rows(spark, d):
+    """The OR of each user's event types as linear rows."""
+    cells = V.feat(spark, d).select(F.lit("x").alias("name"), F.col("sample_ix").alias("r"), F.abs(F.hash("fid")).cast("long").alias("c"))
+    return _sizes(*M.gate(cells, "or", "any"))
+
+
+@query(f"""WITH {V.TRADE}, f AS (SELECT s, t, weight, (CAST(s AS BIGINT) * 100 + CAST(t AS BIGINT)) % 3 AS x FROM trade), b AS (SELECT v, sum(x) AS net FROM (SELECT s AS v, -x AS x FROM f UNION ALL SELECT t, x FROM f) GROUP BY v)
+    SELECT (SELECT CAST(sum(weight * x) AS DOUBLE) FROM f) AS objective, (SELECT CAST(sum(abs(net)) AS DOUBLE) FROM b) AS violation""")
+def evaluate_solution(spark, d):
+    """Objective and violation of a given flow, whoever made it."""
+    g = trade_graph(spark, d)
+    p = M.Problem.empty(spark)
+    v, con, terms = M.flow(g.edges, g.vertices)
+    p = p.add_variables(v).add((con, terms)).minimise(C.linear(g.edges.select(F.lit("flow").alias("name"), F.col("eix").alias("vr"), F.lit(0).alias("vc"), F.col("weight").alias("coef"))), name="cost")
+    solution = g.edges.select(F.lit("flow").alias("name"), F.col("eix").alias("r"), F.lit(0).cast("long").alias("c"), (F.col("eix") % 3).cast("double").alias("value"))
+    checked, values = M.evaluate(p, solution)
+    return values.select(F.col("value").alias("objective")).crossJoin(checked.agg(F.sum("violation").alias("violation")))  # one row by one row
+
+
+UND = "und AS (SELECT least(s, t) AS s, greatest(s, t) AS t, sum(weight) AS weight FROM rtrade GROUP BY 1, 2)"
+
+
+def _region_graph(spark, d):
+    return V.region_trade(spark, d).groupBy(F.least("s", "t").alias("s"), F.greatest("s", "t").alias("t")).agg(F.sum("weight").alias("weight")).withColumn("eix", F.col("s").cast("long") * 10 + F.col("t").cast("long"))
+
+
+@query(f"""WITH RECURSIVE {V.REGION_TRADE}, {UND}, e AS (SELECT *, row_number() OVER (ORDER BY s, t) - 1 AS i FROM und), masks AS (SELECT range AS mask FROM range(1024)),
+    chosen AS (SELECT mask, s, t, weight FROM masks, e WHERE (mask >> CAST(i AS INTEGER)) & 1 = 1), both_ways AS (SELECT mask, s, t FROM chosen UNION ALL SELECT mask, t, s FROM chosen),
+    r AS (SELECT mask, '0' AS v FROM masks UNION SELECT r.mask, b.t FROM r JOIN both_ways b ON b.mask = r.mask AND b.s = r.v)
+    SELECT min(cost) AS best FROM (SELECT mask FROM r WHERE v IN ('0', '2', '4') GROUP BY mask HAVING count(DISTINCT v) = 3) JOIN (SELECT mask, sum(weight) AS cost FROM chosen GROUP BY mask) USING (mask)""")
+def steiner_region(spark, d):
+    return C.steiner_by_enumeration(_region_graph(spark, d), ["0", "2", "4"])
+
+
+@query(f"""WITH RECURSIVE {V.REGION_TRADE}, {UND}, e AS (SELECT *, row_number() OVER (ORDER BY s, t) - 1 AS i FROM und), masks AS (SELECT range AS mask FROM range(1024)),
+    chosen AS (SELECT mask, s, t, weight FROM masks, e WHERE (mask >> CAST(i AS INTEGER)) & 1 = 1), both_ways AS (SELECT mask, s, t FROM chosen UNION ALL SELECT mask, t, s FROM chosen),
+    r AS (SELECT mask, '0' AS v FROM masks UNION SELECT r.mask, b.t FROM r JOIN both_ways b ON b.mask = r.mask AND b.s = r.v), prize AS (SELECT s AS v, sum(weight) / 3 AS prize FROM rtrade GROUP BY s)
+    SELECT round(min(coalesce(cost, 0) - gain), 4) AS best FROM (SELECT mask, sum(prize) AS gain FROM r JOIN prize USING (v) GROUP BY mask) LEFT JOIN (SELECT mask, sum(weight) AS cost FROM chosen GROUP BY mask) USING (mask)""")
+def pcst_region(spark, d):
+    """The prize-collecting tree from region 0 as a program, solved exactly."""
+    from ..model import conform
+
+    arcs = _region_graph(spark, d)
+    edges = conform(arcs.select("eix", side(F.col("s")).alias("src"), side(F.col("t")).alias("tgt"), F.lit("undirected").alias("edge_type"), "weight"))
+    vertices = G.incidence(edges).select("v").distinct().select(F.col("v").cast("long").alias("vix"), "v", F.lit(None).cast("map<string,string>").alias("attrs"))
+    prizes = V.region_trade(spark, d).groupBy(F.col("s").alias("v")).agg((F.sum("weight") / 3).alias("prize"))
+    p = C.steiner_tree(NetGraph(edges, vertices), prizes, "0", prizes)
+    solution = L.solve({"p": p})
+    return solution.agg(F.round(F.first("objective"), 4).alias("best"))
+
+
+@query(f"""WITH {V.FEAT}, p AS (SELECT sample AS condition, max(CAST(value > 100 AS INTEGER)) FILTER (WHERE fid = 'click') AS a, max(CAST(value > 100 AS INTEGER)) FILTER (WHERE fid = 'view') AS b, max(CAST(value > 100 AS INTEGER)) FILTER (WHERE fid = 'error') AS e FROM feat GROUP BY 1),
+    q AS (SELECT condition, coalesce(a, 0) AS a, coalesce(b, 0) AS b, coalesce(e, 0) AS e FROM p), w AS (SELECT *, CASE WHEN a = 1 AND e = 0 THEN 1 WHEN b = 1 THEN 1 ELSE 0 END AS x FROM q)
+    SELECT condition, CAST(x AS INTEGER) AS x, CAST(CASE WHEN x = 1 AND b = 1 THEN 1 ELSE 0 END AS INTEGER) AS y FROM w""")
+def boolean_simulate(spark, d):
+    """X <- click and not error, or view; Y <- X and view: each user a condition."""
+    reactions = spark.createDataFrame([(0, ["click"], ["error"], "x"), (1, ["view"], [], "x"), (2, ["x", "view"], [], "y")], "rid long, pos array<string>, neg array<string>, product string")
+    f = V.feat(spark, d)
+    stimuli = f.filter(F.col("fid").isin("click", "view", "error")).select(F.col("sample").alias("condition"), F.col("fid").alias("v"), (F.col("value") > 100).cast("int").alias("value"))
+    state = C.boolean_simulation(reactions, stimuli, f.select(F.col("sample").alias("condition")).distinct())
+    on = lambda v: F.max(F.when(F.col("v") == v, F.col("state")))
+    return state.groupBy("condition").agg(on("x").alias("x"), on("y").alias("y"))
+
+
+@query("SELECT c_mktsegment AS sample, round(least(10, 0.5 * least(count(*) / 40.0, 8)) , 6) AS growth FROM customer GROUP BY 1")
+def fba_lp(spark, d):
+    """Growth of a four-step network per market segment, whose size bounds its uptake."""
+    from ..model import literal_edges
+
+    rows = [((), {"A": 1.0}, {"id": "uptake", "default_lb": 0.0, "default_ub": 8.0}), ({"A": 2.0}, {"B": 1.0}, {"id": "convert", "default_lb": 0.0, "default_ub": 1000.0}), ({"B": 1.0}, (), {"id": "growth", "default_lb": 0.0, "default_ub": 10.0})]
+    g = NetGraph.of_edges(literal_edges(spark, rows))
+    segments = V.read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("sample")).agg(F.count("*").alias("k")).orderBy("sample").collect()  # five rows
+    table = spark.createDataFrame([(i, r["sample"], min(r["k"] / 40.0, 8.0)) for i, r in enumerate(segments)], "c long, sample string, ub double")
+    bounds = C.resolved_bounds(g.edges, table.select("c", F.lit("uptake").alias("id"), F.lit(0.0).alias("lb"), "ub"), table)
+    p = C.fba(g, bounds, table.select(F.lit("growth").alias("id"), "c", F.lit(None).cast("double").alias("weight")))
+    flux = L.solve({"fba": p}).filter("name = 'flow'").join(g.edges.filter("id = 'growth'").select(F.col("eix").alias("r")), "r")
+    return flux.join(table, "c").select("sample", F.round("value", 6).alias("growth"))
+
+
+@query()
+def carnival_small(spark, d):
+    """Signals from region 0 to two measured regions over the region network, signs by parity; a program, so no SQL."""
+    arcs = V.region_trade(spark, d).withColumn("interaction", F.when(F.col("weight") % 2 == 0, 1).otherwise(-1)).filter((F.col("s").cast("int") + F.col("t").cast("int")) % 2 == 1)
+    g = NetGraph.of_arcs(arcs, order=["s", "t"])
+    rows = [("c", "0", "input", 1.0), ("c", "1", "output", 1.0), ("c", "3", "output", -1.0)]
+    p, _ = C.carnival(g, spark.createDataFrame(rows, "condition string, v string, role string, value double"), 1e-3)
+    solution = L.solve({"carnival": p})
+    return M.evaluate(p, solution)[1].select("name", F.round("value", 6).alias("value"))
+
+
+@query()
+def phonemes_small(spark, d):
+    """Scored regions explained from region 0; a program, so no SQL."""
+    arcs = V.region_trade(spark, d).filter((F.col("s").cast("int") < F.col("t").cast("int")))
+    g = NetGraph.of_arcs(arcs, order=["s", "t"])
+    score = spark.createDataFrame([("c", "2", 1.0), ("c", "3", -2.0), ("c", "4", -1.0)], "condition string, v string, score double")
+    p, _ = C.phonemes(g, spark.createDataFrame([("c", "0")], "condition string, v string"), score, 1e-2)
+    solution = L.solve({"phonemes": p})
+    return M.evaluate(p, solution)[1].select("name", F.round("value", 6).alias("value"))
