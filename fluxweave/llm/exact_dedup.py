@@ -194,7 +194,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     groups = live_groups(digests(docs))
     multi = groups.filter("group_size > 1").select("sha", "keep_id", "n_keep")
     keyed = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("id"), F.unhex(F.sha2(raw, 256)).alias("sha"))
-    hit = keyed.join(multi, "sha", "left")
+    hit = keyed.join(multi.hint("merge"), "sha", "left")  # the same plan at every size
     alone = F.col("n_keep").isNull()
     last = ~alone & F.col("id").eqNullSafe(F.col("keep_id"))
     if multi.filter("n_keep > 1").isEmpty():

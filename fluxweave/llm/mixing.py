@@ -149,7 +149,7 @@ def take_mix(docs: DataFrame, **how) -> DataFrame:
     if not judged.groupBy(keys).count().filter("count > 1").isEmpty():
         nth_left = F.row_number().over(Window.partitionBy(*keys).orderBy("th"))
         nth_right = F.row_number().over(Window.partitionBy(*keys).orderBy("copies"))
-    left, right = keyed.withColumn("nth", nth_left).alias("l"), judged.withColumn("nth", nth_right).filter("copies > 0").alias("r")
+    left, right = keyed.withColumn("nth", nth_left).alias("l"), judged.withColumn("nth", nth_right).filter("copies > 0").hint("merge").alias("r")  # the same plan at every size
     on = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l.source").eqNullSafe(F.col("r.source")) & (F.col("l.size") == F.col("r.size")) & (F.col("l.nth") == F.col("r.nth"))
     taken = left.join(right, on).select("l.row", "r.copies")
     return rows_of(taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))

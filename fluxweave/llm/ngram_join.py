@@ -321,7 +321,7 @@ def _texts(docs: DataFrame, embedded: DataFrame, active: DataFrame) -> DataFrame
     """(key, text): a text of each set in `active`, found by doc_id and the hash of the set made anew."""
     ids = embedded.join(active.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("__id"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    near = rows.join(ids.select("__id").distinct(), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    near = rows.join(ids.select("__id").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     keyed = near.mapInArrow(_with_key, "key binary, text string")
     return keyed.join(ids.select("key"), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
 
@@ -343,7 +343,7 @@ def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
     stays = materialise(stays, "join-stays")
     ids = stays.groupBy("doc_id").agg(F.count("*").alias("rows"))
     keyed = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("th"))
-    pick = lambda n: ids.filter(n).select("doc_id")
+    pick = lambda n: ids.filter(n).select("doc_id").hint("merge")  # noqa: E731  the same plan at every size
     one = keyed.join(pick("rows = 1"), F.col("id").eqNullSafe(F.col("doc_id")), "left_semi")
     if pick("rows > 1").isEmpty():
         return rows_of(one)
