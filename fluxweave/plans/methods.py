@@ -49,6 +49,47 @@ def _any(variables: DataFrame, name: str) -> tuple[tuple, str]:
     return M.gate(variables, "or", name), name
 
 
+# --- inputs ------------------------------------------------------------------------------------------------------
+
+
+def conditions_of(spark, **roles: dict) -> DataFrame:
+    """(condition, v, role, value) from one mapping a role: {vertex: value} for a single condition, named "condition", or
+    {condition: {vertex: value}}. All roles must name the same conditions, and values must be finite numbers, not truth values."""
+    rows, named = [], {}
+    for role, given in roles.items():
+        many = given if given and all(isinstance(x, dict) for x in given.values()) else {"condition": given}
+        named[role] = set(many)
+        for condition, values in many.items():
+            for v, x in values.items():
+                if isinstance(x, bool) or not isinstance(x, (int, float)) or x != x or abs(x) == float("inf"):
+                    raise ValueError(f"{role} of {v} in {condition} is no finite number: {x!r}")
+                rows.append((str(condition), str(v), role, float(x)))
+    if not rows or len(set(map(frozenset, named.values()))) != 1:
+        raise ValueError(f"the roles don't name the same conditions, or none: {named}")
+    return spark.createDataFrame(rows, "condition string, v string, role string, value double")
+
+
+# --- paths -------------------------------------------------------------------------------------------------------
+
+
+def coupled_paths(g: NetGraph, pairs: DataFrame, coupling: float) -> M.Problem:
+    """One unit of flow from s to t of each of pairs(c, s, t), c from 0: least summed weight plus `coupling` for every edge that
+    any pair uses. Without coupling, traverse.shortest_paths() answers the same without a program."""
+    n = pairs.agg(F.max("c")).first()[0] + 1
+    ix = cut(g.vertices.select("vix", "v"), "paths")
+    edges = cut(g.edges.withColumns({"default_lb": F.lit(0.0), "default_ub": F.lit(1.0)}), "paths")
+    v, con, terms = M.flow(edges, ix, n)
+    at = lambda end, amount: pairs.select("c", F.col(end).alias("v"), F.lit(amount).alias("b"))
+    need = at("s", -1.0).unionByName(at("t", 1.0)).join(ix, "v").groupBy(F.col("vix").alias("r"), "c").agg(F.sum("b").alias("b"))
+    con = con.drop("rhs").join(need, ["r", "c"], "left").select("block", "r", "c", "sense", F.coalesce("b", F.lit(0.0)).alias("rhs"))
+    e = cut(edges.select(F.col("eix").alias("r"), F.lit(0).alias("c"), F.coalesce("weight", F.lit(0.0)).alias("w")), "paths")
+    each = cut(M._spread(e.drop("c"), n), "paths")
+    p = _problem((v, con, terms)).add_variables(_grid(e, "used", None, None, "binary"))
+    p = p.add(_rule(each, "any_use", "<=", F.lit(0.0), ("flow", F.col("r"), F.col("c"), F.lit(1.0)), ("used", F.col("r"), F.lit(0), F.lit(-1.0))))
+    p = p.minimise(linear(each.select(F.lit("flow").alias("name"), F.col("r").alias("vr"), F.col("c").alias("vc"), F.col("w").alias("coef"))), name="length")
+    return p.minimise(linear(e.select(F.lit("used").alias("name"), F.col("r").alias("vr"), F.lit(0).alias("vc"), F.lit(1.0).alias("coef"))), coupling, "edges")
+
+
 # --- trees -------------------------------------------------------------------------------------------------------
 
 
@@ -168,6 +209,27 @@ def carnival(g: NetGraph, features: DataFrame, edge_penalty: float = 0.0) -> tup
     return used, whole
 
 
+def carnival_by_condition(g: NetGraph, features: DataFrame, penalty: float, on: str = "edges") -> dict[str, tuple[M.Problem, NetGraph]]:
+    """The signalling program without a shared flow: every condition is a problem of its own, so they are solved side by side, and
+    the penalty counts its edges, vertices or both. Every edge needs a sign of 1 or -1."""
+    Q.require(Q.bad_signs(g.edges), "an edge has no sign")
+    out = {}
+    for row in features.select("condition").distinct().orderBy("condition").collect():  # a row a condition
+        p, whole = carnival(g, features.filter(F.col("condition") == row.condition))
+        no_flow = lambda df, c: df.filter(~F.col(c).isin("flow", "in_flow", "flow_balance"))
+        p = replace(p, variables=no_flow(p.variables, "name"), constraints=no_flow(p.constraints, "block"), terms=no_flow(p.terms, "block"))
+        inner = whole.edges.filter((F.size("src") > 0) & (F.size("tgt") > 0)).select("eix")
+        edges = [inner.select(F.lit(s).alias("name"), F.col("eix").alias("vr"), F.lit(0).alias("vc"), F.lit(1.0).alias("coef")) for s in ("act", "inh")]
+        if on in ("edges", "both"):
+            p = p.minimise(linear(edges[0].unionByName(edges[1])), penalty, "edges")
+        if on in ("nodes", "both"):  # a vertex is on if an edge into it is, as it has one parent at most
+            into = whole.edges.filter(F.size("tgt") > 0).select("eix")
+            nodes = [into.select(F.lit(s).alias("name"), F.col("eix").alias("vr"), F.lit(0).alias("vc"), F.lit(1.0).alias("coef")) for s in ("act", "inh")]
+            p = p.minimise(linear(nodes[0].unionByName(nodes[1])), penalty, "nodes")
+        out[row.condition] = (p, whole)
+    return out
+
+
 def boolean_simulation(reactions: DataFrame, stimuli: DataFrame, conditions: DataFrame, max_rounds: int = 1_000) -> DataFrame:
     """(condition, v, state) of a selected acyclic Boolean model, layer by layer.
 

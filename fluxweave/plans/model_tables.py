@@ -339,3 +339,45 @@ def hamming(variables: DataFrame, reference: DataFrame) -> Expr:
     linear = both.select(zero.alias("r"), zero.alias("c"), "name", F.col("r").alias("vr"), F.col("c").alias("vc"), F.when(one, -1.0).otherwise(1.0).alias("coef"))
     const = both.filter(one).agg(F.count("*").cast("double").alias("coef")).select(zero.alias("r"), zero.alias("c"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("long").alias("vr"), F.lit(None).cast("long").alias("vc"), "coef")
     return Expr(linear.unionByName(const), 1, 1)
+
+
+def acyclic_flow(edges: DataFrame, vertices: DataFrame, n_vertices: int, lb: float = 0.0, ub: float = 1000.0, tolerance: float = 1e-4) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """A flow, its non-zero indicators and the layers that keep what carries it from closing a cycle, as three parts."""
+    carried = flow(edges, vertices, 1, lb, ub)
+    on = nonzero_indicator(carried[0], "on", tolerance)
+    return [carried, on, acyclic(edges, vertices, 1, "on_pos", n_vertices, negative="on_neg")]
+
+
+def signed_edges(edges: DataFrame, n: int, name: str = "signal") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Two exclusive binaries an edge and column: its value is the first minus the second, and it is selected if either is."""
+    e = _spread(edges.select(F.col("eix").alias("r")), n)
+    made = None
+    for sign in ("_pos", "_neg"):
+        part = e.select(F.lit(name + sign).alias("name"), "r", "c", F.lit(0.0).alias("lb"), F.lit(1.0).alias("ub"), F.lit("binary").alias("vartype"))
+        made = part if made is None else made.unionByName(part)
+    block = f"{name}_once"
+    return made, _rows(e, block, "<=", F.lit(1.0)), _term(e, block, f"{name}_pos", F.lit(1.0)).unionByName(_term(e, block, f"{name}_neg", F.lit(1.0)))
+
+
+def vertex_selection(edges: DataFrame, vertices: DataFrame, n: int, selected: str, name: str = "vertex", required_in: DataFrame | None = None, required_out: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A binary a vertex and column that any selected edge at it switches on: in <= degree * V and out <= degree * V. Vertices of
+    required_in(vix) and required_out(vix) need a selected edge on that side while they are on."""
+    ix = vertices.select("vix", "v")
+    at = incidence(edges).join(ix, "v").select("eix", "side", F.col("vix").alias("r"))
+    grid = _spread(ix.select(F.col("vix").alias("r")), n)
+    made = grid.select(F.lit(name).alias("name"), "r", "c", F.lit(0.0).alias("lb"), F.lit(1.0).alias("ub"), F.lit("binary").alias("vartype"))
+    con, terms = None, None
+    for side, tag, must in (("t", "in", required_in), ("s", "out", required_out)):
+        mine = at.filter(F.col("side") == side)
+        degree = _spread(mine.groupBy("r").agg(F.count("*").alias("d")), n)
+        each = _spread(mine, n)
+        block = f"{name}_{tag}"
+        c = _rows(degree, block, "<=", F.lit(0.0))
+        t = _term(each, block, selected, F.lit(1.0), vr=F.col("eix")).unionByName(_term(degree, block, name, -F.col("d")))
+        if must is not None:
+            need = degree.join(must.select(F.col("vix").alias("r")), "r", "left_semi")
+            tight = f"{name}_needs_{tag}"
+            c = c.unionByName(_rows(need, tight, ">=", F.lit(0.0)))
+            t = t.unionByName(_term(each.join(need.select("r", "c"), ["r", "c"], "left_semi"), tight, selected, F.lit(1.0), vr=F.col("eix"))).unionByName(_term(need, tight, name, F.lit(-1.0)))
+        con, terms = (c, t) if con is None else (con.unionByName(c), terms.unionByName(t))
+    return made, con, terms.groupBy("block", "r", "c", "name", "vr", "vc").agg(F.sum("coef").alias("coef"))

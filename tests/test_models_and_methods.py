@@ -1,9 +1,6 @@
 from __future__ import annotations
 
 import itertools
-import json
-import random
-from pathlib import Path
 
 import numpy as np
 import pytest
@@ -292,4 +289,49 @@ def test_random_acyclic_selection_is_accepted_only_without_cycles(spark):
     p = p.add_variables(lv).add((lc, lt)).minimise(x.sum() * -1, name="n")
     _, values = solved(p)
     assert values["n"] == pytest.approx(-3)
-    assert json.dumps({"ok": True}) and Path(__file__).exists() and random.Random(1).random() < 1
+
+
+def test_acyclic_flow_and_selections(spark):
+    g = graph_of(spark, [((), ("u",)), (("u",), ("v",)), (("v",), ("w",)), (("w",), ("v",)), (("w",), ())])
+    parts = M.acyclic_flow(g.edges, g.vertices, 3, 0.0, 5.0)
+    p = M.Problem.empty(spark)
+    for v, c, t in parts:
+        p = p.add_variables(v).add((c, t))
+    cost = spark.createDataFrame([("flow", 4, 0, -1.0), ("flow", 3, 0, -1.0)], "name string, vr long, vc long, coef double")
+    s, values = solved(p.minimise(methods.linear(cost), name="out"))
+    assert values["out"] == pytest.approx(-5), "the loop between v and w carries nothing"
+    inner = g.edges.filter("size(src) = 1 AND size(tgt) = 1")
+    sv, sc, st = M.signed_edges(inner, 1, "sel")
+    vv, vc, vt = M.vertex_selection(inner, g.vertices, 1, "sel_pos", required_in=g.vertices.filter("v = 'w'"))
+    q = M.Problem.empty(spark).add_variables(sv).add((sc, st)).add_variables(vv).add((vc, vt))
+    pick = spark.createDataFrame([("vertex", 2, 0, -1.0), ("sel_pos", 1, 0, 0.1), ("sel_pos", 2, 0, 0.1), ("vertex", 0, 0, 0.01), ("vertex", 1, 0, 0.01)], "name string, vr long, vc long, coef double")
+    s, _ = solved(q.minimise(methods.linear(pick)))
+    on = {(r["name"], r.r) for r in s.filter("value > 0.5").collect()}
+    assert ("vertex", 2) in on and ("sel_pos", 2) in on and ("vertex", 1) in on and ("sel_pos", 1) not in on
+
+
+def test_coupled_paths_share_edges(spark):
+    rows = [(("a",), ("x",), {"weight": 1.0}), (("x",), ("z",), {"weight": 1.0}), (("b",), ("y",), {"weight": 1.0}), (("y",), ("z",), {"weight": 1.0}), (("b",), ("x",), {"weight": 1.5})]
+    g = graph_of(spark, rows)
+    pairs = spark.createDataFrame([(0, "a", "z"), (1, "b", "z")], "c long, s string, t string")
+    for coupling, want in ((0.0, 4.0), (1.0, 4.5)):
+        _, values = solved(methods.coupled_paths(g, pairs, coupling))
+        assert values["length"] == pytest.approx(want)
+    assert values["edges"] == pytest.approx(3)
+
+
+def test_conditions_and_separate_signalling(spark):
+    rows = methods.conditions_of(spark, input={"s1": {"r1": 1}, "s2": {"r2": 1}}, output={"s1": {"tf1": 1, "tf2": 1}, "s2": {"tf1": 1, "tf2": -1}})
+    g = graph_of(spark, [((s,), (t,), {"interaction": w}) for s, w, t in CARNIVAL])
+    problems = methods.carnival_by_condition(g, rows, 1e-3, "both")
+    found = solve.solve({k: p for k, (p, _) in problems.items()}).cache()
+    for k, (p, _) in problems.items():
+        checked, values = M.evaluate(p, found.filter(F.col("pid") == k))
+        assert checked.agg(F.max("violation")).first()[0] < 1e-6
+        inputs = {r.v: int(r.value) for r in rows.filter((F.col("condition") == k) & (F.col("role") == "input")).collect()}
+        outputs = {r.v: r.value for r in rows.filter((F.col("condition") == k) & (F.col("role") == "output")).collect()}
+        assert {r["name"]: r.value for r in values.collect()}["error"] == pytest.approx(brute_carnival(CARNIVAL, inputs, outputs))
+    assert methods.conditions_of(spark, input={"a": 1}, output={"b": 2}).filter("condition = 'condition'").count() == 2
+    for bad in ({"input": {"a": True}, "output": {"b": 1}}, {"input": {"x": {"a": 1}}, "output": {"y": {"b": 1}}}, {"input": {}, "output": {}}, {"input": {"a": float("nan")}, "output": {"b": 1}}):
+        with pytest.raises(ValueError):
+            methods.conditions_of(spark, **bad)
