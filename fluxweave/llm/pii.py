@@ -38,6 +38,7 @@ _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 PATTERNS = [
     ("email", r"(?<![\w.%+-])[\w.%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("secret", r"(?<![0-9A-Za-z])(?:(?=[0-9a-f]*\d)[0-9a-f]{32,}|(?=[0-9A-F]*\d)[0-9A-F]{32,}|(?:AKIA|ghp_|sk-|xox[bp]-)[0-9A-Za-z_-]{12,})(?![0-9A-Za-z])"),
+    ("keyed", r"(?<![A-Za-z])(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<keyed>(?=[^\s\"']*\d)[0-9A-Za-z+/_.~-]{6,}(?<![.~-]))"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ipv4", r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d]|\.\d)"),
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"),
@@ -57,7 +58,9 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
     for m in _find.finditer(text):
         kind = m.lastgroup if m.lastgroup and m.lastgroup.endswith("_") else "name_"
         kind, start, end = kind[:-1], m.start(), m.end()
-        if kind == "name":
+        if kind == "keyed":
+            kind, (start, end) = "secret", m.span("keyed")
+        elif kind == "name":
             start, end = m.span("name")
             kind = "name_" + TITLES[text[m.start() : start].rstrip(" .").lower()]
         found.append((start, end, kind, canonical(kind, text[start:end])))
@@ -235,7 +238,7 @@ def _replacer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def replace(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, n_entities, text for each row of docs(doc_id, text, ...): the whole text with every entity replaced.
 
-    Emails, secrets, IBANs, IPv4 addresses, card, social-security and phone numbers, and names after a title are entities. The
+    Emails, secrets (also what follows password=, token: and the like), IBANs, IPv4 addresses, card, social-security and phone numbers, and names after a title are entities. The
     same entity (up to case and separators) has the same surrogate in all documents, and different ones of a class never share
     one. Null text stays null; rows equal in doc_id and text are told apart only by their number; a null doc_id is fine. Other
     columns are not read. The same key gives the same surrogates; an empty table gives an empty one.

@@ -146,12 +146,13 @@ TEXTS = [
     "Mrs. Julia Weber met Herr Karl Braun and Mrs. Julia Weber; г-н Иван Петров too",
     "nothing at all, version 1.2 of 2024",
     "ssn 123-45-6789###",
+    'password=13c62e6ad807057713 and PASSWORD=13C62E6AD807057713!! api_key: "zz9-Ab12cd"; the word password=is no secret',
 ]
 
 
 def test_entities_are_found_whole():
     kinds = [[k for _, _, k, _ in pii.entities(t)] for t in TEXTS]
-    assert kinds == [["email", "email"], ["phone", "phone"], ["card", "card", "ipv4"], ["secret", "iban"], ["name_f", "name_m", "name_f", "name_m"], [], ["ssn"]]
+    assert kinds == [["email", "email"], ["phone", "phone"], ["card", "card", "ipv4"], ["secret", "iban"], ["name_f", "name_m", "name_f", "name_m"], [], ["ssn"], ["secret", "secret", "secret"]]
     assert pii.entities(None) == [] == pii.entities("")
 
 
