@@ -304,6 +304,62 @@ def phonemes(g: NetGraph, perturbed: DataFrame, scores: DataFrame, edge_cost: fl
     return p.minimise(linear(each.select(F.lit("edge_any").alias("name"), r.alias("vr"), F.lit(0).alias("vc"), one.alias("coef")).distinct()), edge_cost, "edges"), pruned
 
 
+def phonemes_both_ways(g: NetGraph, anchors: DataFrame, scores: DataFrame, edge_cost: float = 1e-5, policy: str = "either") -> tuple[M.Problem, NetGraph]:
+    """One network around anchors(condition, v): downstream paths from an anchor to a scored vertex and upstream paths from a
+    scored vertex to an anchor, chosen together.
+
+    A vertex is on if either side uses it, and its score(condition, v, score) counts once; an edge costs once over sides and
+    conditions; the union of both sides is acyclic in each condition. By `policy` an anchor must take part on either side, on both
+    or downstream.
+    """
+    Q.require(Q.not_plain(g.edges), "the network needs plain directed edges")
+    if policy not in ("either", "both", "downstream"):
+        raise ValueError(f"policy {policy!r} is none of either, both, downstream")
+    pairs, sites = G.arcs(g.edges), scores.select("condition", "v")
+    spans = {"down": cut(T.between(pairs, anchors, sites, ("condition",)), "both"), "up": cut(T.between(pairs, sites, anchors, ("condition",)), "both")}
+    near = spans["down"].select("v").union(spans["up"].select("v")).union(anchors.select("v")).distinct()
+    kept = G.subgraph(g, near)
+    kept = G.renumbered(NetGraph(cut(kept.edges, "both"), cut(kept.vertices, "both")))
+    edges, ix = cut(kept.edges, "both"), cut(kept.vertices.select("vix", "v"), "both")
+    conditions = anchors.select("condition").distinct().orderBy("condition").collect()  # one short row a condition
+    number = F.create_map(*(F.lit(x) for i, r in enumerate(conditions) for x in (r[0], i)))
+    place = lambda df: cut(df.join(ix, "v").withColumns({"r": F.col("vix"), "c": number[F.col("condition")]}), "both")
+    anchor, site = place(anchors), place(scores)
+    inside = {side: place(df).select("r", "c") for side, df in spans.items()}
+    n, n_vertices = len(conditions), ix.count()
+    ends = G.directed_incidence(edges).join(ix.select(F.col("vix").alias("a"), F.col("v").alias("source")), "source").join(ix.select(F.col("vix").alias("b"), F.col("v").alias("target")), "target")
+    each = cut(M._spread(ends.select(F.col("eix").alias("r"), "a", "b"), n), "both")
+    verts = cut(M._spread(ix.select(F.col("vix").alias("r")), n), "both")
+    r, c, one, zero = F.col("r"), F.col("c"), F.lit(1.0), F.lit(0)
+    p = _problem(M.acyclic(edges, ix, n, "edge", n_vertices))
+    for name, rows in (("edge", each), ("down", each), ("up", each), ("vertex", verts), ("v_down", verts), ("v_up", verts), ("edge_any", each.select("r", zero.alias("c")).distinct())):
+        p = p.add_variables(_grid(rows, name, None, None, "binary"))
+    p = p.add(_rule(each, "counted", "<=", F.lit(0.0), ("edge", r, c, one), ("edge_any", r, zero, -one)))
+    for side, start, stop in (("down", anchor, site), ("up", site, anchor)):
+        p = p.add(_rule(each, f"{side}_edge", "<=", F.lit(0.0), (side, r, c, one), ("edge", r, c, -one)))
+        p = p.add(_rule(verts, f"{side}_vertex", "<=", F.lit(0.0), (f"v_{side}", r, c, one), ("vertex", r, c, -one)))
+        for end in "ab":
+            p = p.add(_rule(each, f"{side}_{end}", "<=", F.lit(0.0), (side, r, c, one), (f"v_{side}", F.col(end), c, -one)))
+        out = cut(verts.join(inside[side], ["r", "c"], "left_anti"), "both")
+        p = p.add(_rule(out, f"{side}_out", "=", F.lit(0.0), (f"v_{side}", r, c, one)))
+        for block, end, free in ((f"{side}_needs_in", "b", start), (f"{side}_needs_out", "a", stop)):
+            must = cut(verts.join(free.select("r", "c"), ["r", "c"], "left_anti"), "both")
+            at = M._term(each.withColumn("e", r).withColumn("r", F.col(end)), block, side, one, vr=F.col("e")).join(must, ["r", "c"], "left_semi").select("block", "r", "c", "name", "vr", "vc", "coef")
+            p = p.add((M._rows(must, block, ">=", F.lit(0.0)), at.unionByName(M._term(must, block, f"v_{side}", -one))))
+    # a vertex is on only if a side uses it
+    p = p.add(_rule(verts, "on", "<=", F.lit(0.0), ("vertex", r, c, one), ("v_down", r, c, -one), ("v_up", r, c, -one)))
+    mine = anchor.select("r", "c").distinct()
+    leave = M._term(each.withColumn("e", r).withColumn("r", F.col("a")), "takes_part", "down", one, vr=F.col("e"))
+    enter = M._term(each.withColumn("e", r).withColumn("r", F.col("b")), "takes_part", "up", one, vr=F.col("e"))
+    for tag, parts in {"either": [("", [leave, enter])], "both": [("_down", [leave]), ("_up", [enter])], "downstream": [("_down", [leave])]}[policy]:
+        terms = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        block = f"takes_part{tag}"
+        terms = terms.withColumn("block", F.lit(block)).join(mine, ["r", "c"], "left_semi").select("block", "r", "c", "name", "vr", "vc", "coef")
+        p = p.add((M._rows(mine, block, ">=", one), terms))
+    p = p.minimise(linear(site.select(F.lit("vertex").alias("name"), r.alias("vr"), c.alias("vc"), F.col("score").alias("coef"))), name="score")
+    return p.minimise(linear(each.select(F.lit("edge_any").alias("name"), r.alias("vr"), zero.alias("vc"), one.alias("coef")).distinct()), edge_cost, "edges"), kept
+
+
 # --- metabolism --------------------------------------------------------------------------------------------------
 
 

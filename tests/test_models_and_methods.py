@@ -237,6 +237,46 @@ def test_phonemes_matches_brute_force(spark):
     assert values["score"] + 0.01 * values["edges"] == pytest.approx(brute_phonemes(arcs, "K", scores, 0.01))
 
 
+def brute_both_ways(arcs, anchors, scores, cost, policy):
+    def sides(kind):
+        for mask in range(1 << len(arcs)):
+            chosen = frozenset(a for k, a in enumerate(arcs) if mask >> k & 1)
+            used = {x for a in chosen for x in a}
+            heads, tails = {b for _, b in chosen}, {a for a, _ in chosen}
+            start, stop = (anchors, set(scores)) if kind == "down" else (set(scores), anchors)
+            if all(v in heads for v in used - start) and all(v in tails for v in used - stop):
+                yield chosen, heads, tails
+
+    def acyclic(chosen):
+        left = {x for a in chosen for x in a}
+        while left:
+            free = {v for v in left if not any(b == v and a in left for a, b in chosen)}
+            if not free:
+                return False
+            left -= free
+        return True
+
+    best = np.inf
+    ups = list(sides("up"))
+    for down, _, tails in sides("down"):
+        for up, heads, _ in ups:
+            ok = {"either": lambda v, t=tails, h=heads: v in t or v in h, "both": lambda v, t=tails, h=heads: v in t and v in h, "downstream": lambda v, t=tails: v in t}[policy]
+            both = down | up
+            if all(map(ok, anchors)) and acyclic(both):
+                best = min(best, sum(scores.get(v, 0) for v in {x for a in both for x in a}) + cost * len(both))
+    return best
+
+
+@pytest.mark.parametrize("policy", ["either", "both", "downstream"])
+def test_both_ways_matches_brute_force(spark, policy):
+    arcs = [("u", "k"), ("w", "u"), ("k", "d"), ("d", "s"), ("k", "s"), ("s", "w"), ("u", "d")]
+    scores = {"w": -1.0, "s": 0.5, "d": -2.0}
+    g = graph_of(spark, [((s,), (t,)) for s, t in arcs])
+    p, _ = methods.phonemes_both_ways(g, spark.createDataFrame([("c", "k")], "condition string, v string"), spark.createDataFrame([("c", v, x) for v, x in scores.items()], "condition string, v string, score double"), 0.01, policy)
+    _, values = solved(p)
+    assert values["score"] + 0.01 * values["edges"] == pytest.approx(brute_both_ways(arcs, {"k"}, scores, 0.01, policy))
+
+
 # --- metabolism
 
 
