@@ -12,13 +12,13 @@ MAX_ROUNDS = 60
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "components-least")
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(down.groupBy("a").agg(F.min("b").alias("m")), "components-least")
     moved = down.join(least, "a")
     return moved.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node that a path leads to.
 
     Edges count in both directions; loops and repeated edges are fine. Each half round only aggregates and joins, so a
-    node of any degree never meets its neighbours in one task. No edge, no row.
+    node of any degree never meets its neighbours in one task: the minima are written first, so that both sides of their join are
+    plain and a hot node's rows are split. No edge, no row.
     """
     now = materialise(edges.filter("a <> b").distinct(), "components")
     mark = None

@@ -42,6 +42,7 @@ def drop_repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     each = materialise(marked.select("doc_id", "th", _windows(F.col("marked"), width).alias("ws")).filter(F.size("ws") > 0), "line-windows")
     spread = each.select("doc_id", "th", F.explode("ws").alias("x")).select("doc_id", "th", "x.a", "x.b", "x.pos")
     repeated = spread.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "pos")).alias("first")).filter("n > 1")
+    repeated = materialise(repeated, "line-repeats")  # plain on both sides, the join can split a very common window
     later = spread.join(repeated.select("a", "b", "first"), ["a", "b"]).filter(~F.struct("doc_id", "th", "pos").eqNullSafe(F.col("first")))
     gone = later.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
     k, g = keyed.alias("k"), gone.alias("g")

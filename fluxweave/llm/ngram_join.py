@@ -115,8 +115,8 @@ def _split(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
     kid = lambda j: F.xxhash64(F.col("path"), F.lit(j), F.get(F.col("sig"), token(j)))
     held = live.join(sets.select("key", "sig"), "key")
     kids = materialise(held.select("path", "key", "size", F.explode(F.array(*map(kid, range(FAN)))).alias("kid")).distinct(), "join-split")
-    sizes = kids.groupBy("path", "size", "kid").agg(F.count("*").alias("n"))
-    like = sizes.groupBy("path", "size").agg(F.max("n").alias("most")).filter(F.col("most") > LIKE * F.col("size")).select("path")
+    sizes = materialise(kids.groupBy("path", "size", "kid").agg(F.count("*").alias("n")), "join-sizes")
+    like = materialise(sizes.groupBy("path", "size").agg(F.max("n").alias("most")).filter(F.col("most") > LIKE * F.col("size")).select("path"), "join-like")
     parts = kids.join(sizes.select("kid", "n").filter("n > 1"), "kid").join(like, "path", "left_anti").select(F.col("kid").alias("path"), "key", F.col("n").alias("size"))
     return live.join(like, "path", "left_semi"), parts
 
@@ -131,7 +131,7 @@ def buckets(sets: DataFrame, similarity: float = SIMILARITY, recall: float = REC
             run += 1
         paths = F.array(*(F.xxhash64(F.lit(run), F.lit(k), F.get(F.col("sig"), F.lit(k))) for k in sorted(set(fresh))))
         nodes = who.select("key", F.explode(paths).alias("path"))
-        sizes = nodes.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1")
+        sizes = materialise(nodes.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "join-sizes")
         open_ = materialise(nodes.join(sizes, "path"), "join-buckets")
         found.append(open_.filter(F.col("size") <= SMALL))
         live, depth, torn = open_.filter(F.col("size") > SMALL), 0, None
@@ -297,18 +297,18 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     where = leaves.groupBy("key").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     rich = materialise(where.join(sets, "key").select("key", "paths", "sig", "n", "copies"), "join-members")
     spread = rich.select("*", F.explode("paths").alias("path"))
-    sizes = spread.groupBy("path").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    sizes = materialise(spread.groupBy("path").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks")), "join-blocks")
     dealt = _blocked(spread.select("path", "key", "sig", "paths"), sizes).select("path", "i", "j", "key", "side", "sig", "paths")
     active = materialise(dealt.repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_sketched(least), "path long, key binary").distinct(), "join-active")
     members = active.join(rich, "key")
-    sizes = members.groupBy("path").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    sizes = materialise(members.groupBy("path").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "join-blocks")
     with_text = _texts(docs, embedded, active)
     dealt = _blocked(members.select("path", "key", "sig", "paths", "copies"), sizes).join(with_text, "key").select("path", "i", "j", "key", "side", "sig", "paths", "copies", "text")
     links = materialise(dealt.repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_verified(least, similarity), "key binary, root binary, links long"), "join-links")
     roots = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("key").agg(F.sum("links").alias("links"))
     grouped = roots.join(sets.select(F.col("key").alias("node"), "rep_id"), "node")
-    first = grouped.groupBy("root").agg(F.min("rep_id").alias("class_id"))
+    first = materialise(grouped.groupBy("root").agg(F.min("rep_id").alias("class_id")), "join-first")
     linked = grouped.join(first, "root").select(F.col("node").alias("key"), "class_id").join(counts, "key", "left")
     table = sets.select("key", "rep_id", "copies").join(linked, "key", "left").select("key", "rep_id", F.coalesce("class_id", "rep_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     table = materialise(table, "join-table")  # as plain files on both sides, a hot set's rows can be split

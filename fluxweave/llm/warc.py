@@ -185,6 +185,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
     dictionary = train([bytes(r.x) for r in sample.collect()])
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("sha"), F.octet_length(payload).alias("n"))
     groups = keyed.filter(F.col("n") >= min_revisit_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("sha", "n", "first")
+    groups = materialise(groups, "warc-groups")  # plain on both sides, the join can split a very common payload
     rows = keyed.join(groups, ["sha", "n"], "left").select("page_id", "url", "payload", "first")
     folder = folder or scratch_path(spark, "warc")
     return materialise(rows.mapInArrow(_writer(folder, dictionary, ROLL_BYTES), "path string, n_records long, n_bytes long"), "warc-list")
