@@ -626,3 +626,101 @@ def phonemes_small(spark, d):
     p, _ = C.phonemes(g, spark.createDataFrame([("c", "0")], "condition string, v string"), score, 1e-2)
     solution = L.solve({"phonemes": p})
     return M.evaluate(p, solution)[1].select("name", F.round("value", 6).alias("value"))
+
+
+# --- files and exchange ------------------------------------------------------------------------------------------------
+
+
+def _scratch(spark: SparkSession, tag: str) -> str:
+    import uuid
+
+    from ..storage import shared_dir
+
+    return f"{shared_dir(spark)}/fluxweave/{tag}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {V.TRADE} SELECT s, t, CAST(CASE WHEN weight % 2 = 0 THEN 1 ELSE -1 END AS INTEGER) AS interaction FROM trade")
+def sif_scan(spark, d):
+    """The trade network as a signed arc file, with a self-loop and a repeated row that reading drops."""
+    path = _scratch(spark, "sif")
+    rows = V.trade(spark, d).select("s", F.when(F.col("weight") % 2 == 0, 1).otherwise(-1).alias("i"), "t")
+    loop = spark.createDataFrame([("0", 1, "0")], "s string, i int, t string")
+    rows.unionByName(rows).unionByName(loop).write.csv(path, sep="\t")
+    return IO.read_sif(spark, path, distinct=True)
+
+
+@query(f"WITH {V.TRADE} SELECT {EIX}, weight FROM trade")
+def graph_json_round_trip(spark, d):
+    path = _scratch(spark, "json")
+    IO.save_json(trade_graph(spark, d), path)
+    return IO.load_json(spark, path).edges.select("eix", "weight")
+
+
+@query(f"WITH {V.FEAT} SELECT sample, fid, role, value FROM feat")
+def features_json_round_trip(spark, d):
+    return D.FeatureSet.from_json(features(spark, d).to_json()).features.select("sample", "fid", "role", "value")
+
+
+@query(f"WITH {V.HYPER} SELECT eix, v, a FROM hyper")
+def graph_from_incidence(spark, d):
+    """Back from coordinates to hyperedges and to coordinates again."""
+    e = V.hyper(spark, d)
+    entries = G.incidence(e, values=True).select("eix", "v", "a")
+    item = F.struct("v", F.abs("a").alias("coef"))
+    sides = entries.groupBy("eix").agg(F.array_sort(F.collect_list(F.when(F.col("a") < 0, item))).alias("src"), F.array_sort(F.collect_list(F.when(F.col("a") > 0, item))).alias("tgt"), F.lit("directed").alias("edge_type"))
+    return G.incidence(sides, values=True).select("eix", "v", "a")
+
+
+@query(f"WITH {V.TRADE} SELECT s, t, weight FROM trade")
+def edge_list(spark, d):
+    return IO.edge_list(trade_graph(spark, d)).select("s", "t", "weight")
+
+
+@query(f"WITH {V.FEAT} SELECT sample AS layer, fid AS v, role FROM feat WHERE mapping = 'vertex'")
+def condition_layers(spark, d):
+    return IO.condition_layers(features(spark, d)).select("layer", "v", "role")
+
+
+@query(f"""WITH {V.FEAT}, e AS (SELECT role AS condition, sum(abs(CASE WHEN value > 150 THEN 1 ELSE 0 END - CASE WHEN k > 50 THEN 1 ELSE 0 END))::BIGINT AS error, count(*) FILTER (WHERE value > 150) AS n_selected, count(*) FILTER (WHERE value > 150 AND k > 50) AS n_active FROM feat GROUP BY 1) SELECT * FROM e""")
+def condition_results(spark, d):
+    f = V.feat(spark, d).select(F.col("role").alias("condition"), F.concat_ws("/", "sample", "fid").alias("v"), (F.col("value") > 150).alias("sel"), (F.col("extra")["k"].cast("int") > 50).alias("obs"))
+    pick = lambda c: f.select("condition", "v", F.col(c).cast("int").alias("value"))
+    reactions = f.select("condition", F.col("v").alias("rid"), F.col("sel").alias("selected"), (F.col("sel") & F.col("obs")).alias("active"))
+    return IO.condition_results(pick("obs"), pick("sel"), reactions).select("condition", "error", "n_selected", "n_active")
+
+
+@query("SELECT o_orderkey, len(list(DISTINCT l_partkey)) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 500 GROUP BY 1")
+def stoichiometry_lists(spark, d):
+    li = V.read(spark, d, "lineitem").filter("l_orderkey < 500")
+    rows = li.select(F.col("l_orderkey").alias("reaction"), F.col("l_partkey").cast("string").alias("metabolite"), F.lit(-1.0).alias("coef")).distinct()
+    return S.stoichiometry(rows).select(F.col("reaction").alias("o_orderkey"), F.size("metabolites").cast("long").alias("n"))
+
+
+@query("SELECT event_id, '{\"a\":\"' || event_type || '\",\"b\":\"' || user_id || '\"}' AS j FROM events WHERE event_id < 500")
+def canonical_maps(spark, d):
+    """Maps in any order give the same JSON."""
+    e = V.read(spark, d, "events").filter("event_id < 500")
+    m = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("b"), F.col("user_id").cast("string"), F.lit("a"), F.col("event_type"))).otherwise(F.create_map(F.lit("a"), F.col("event_type"), F.lit("b"), F.col("user_id").cast("string")))
+    return e.select("event_id", S.canonical_json(m).alias("j"))
+
+
+@query("SELECT event_id, CAST(CASE WHEN try_cast(substr(event_type, 1, 1) || '' AS DOUBLE) IS NOT NULL THEN 1 WHEN event_id % 3 = 0 THEN 1 WHEN value - 50 >= 0 THEN 1 ELSE -1 END AS INTEGER) AS sign FROM events")
+def sign_coercion(spark, d):
+    """Text to a sign; what is no number counts as plus."""
+    e = V.read(spark, d, "events")
+    text = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise((F.col("value") - 50).cast("string"))
+    return e.select("event_id", S.sign(text).alias("sign"))
+
+
+@query(f"""WITH {V.HIER}, n AS (SELECT 'n:' || n_nationkey AS v, n_regionkey AS r FROM nation), l1 AS (SELECT v, 1 / (1 + exp(-(0.1 * r))) AS x FROM n),
+    l2 AS (SELECT 'c:' || c_custkey AS v, 1 / (1 + exp(-0.1 * l1.x)) AS x FROM customer JOIN l1 ON l1.v = 'n:' || c_nationkey) SELECT v, round(x, 6) AS x FROM l1 UNION ALL SELECT v, round(x, 6) FROM l2""")
+def neural_forward(spark, d):
+    """A forward pass down the hierarchy to customers, each arc weighing 0.1 and region r giving r."""
+    from ..operators import neural
+
+    n, c = V.read(spark, d, "nation"), V.read(spark, d, "customer")
+    arcs = n.select((-F.col("n_nationkey") - 1).cast("long").alias("eix"), F.concat(F.lit("r:"), "n_regionkey").alias("s"), F.concat(F.lit("n:"), "n_nationkey").alias("t"))
+    arcs = arcs.unionByName(c.select(F.col("c_custkey").alias("eix"), F.concat(F.lit("n:"), "c_nationkey").alias("s"), F.concat(F.lit("c:"), "c_custkey").alias("t"))).withColumn("interaction", F.lit(1))
+    inputs = V.read(spark, d, "region").select(F.lit("one").alias("sample"), F.concat(F.lit("r:"), "r_regionkey").alias("v"), F.col("r_regionkey").cast("double").alias("x"))
+    out = neural.forward(neural.topology(arcs), arcs.select("eix", F.lit(0.1).alias("w")), spark.createDataFrame([], "v string, b double"), inputs)
+    return out.filter("v NOT LIKE 'r:%'").select("v", F.round("x", 6).alias("x"))
