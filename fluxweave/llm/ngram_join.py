@@ -29,7 +29,7 @@ TOKENS, SMALL, FAN, DEPTH = 64, 256, 2, 3
 #: A split that leaves more than this share of a bucket together is useless: the bucket holds like sets.
 LIKE = 0.5
 #: Sets, and shingles, in a block of a brute-forced bucket.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
 #: Sketches of a similar pair agree in a share below SIMILARITY by this many standard deviations at most.
 SLACK = 4.5
 #: Words whose hash a task remembers.
