@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/fluxweave/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/fluxweave/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
