@@ -634,9 +634,9 @@ def phonemes_small(spark, d):
 def _scratch(spark: SparkSession, tag: str) -> str:
     import uuid
 
-    from ..storage import shared_dir
+    from ..storage import scratch_folder
 
-    return f"{shared_dir(spark)}/fluxweave/{tag}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
 @query(f"WITH {V.TRADE} SELECT s, t, CAST(CASE WHEN weight % 2 = 0 THEN 1 ELSE -1 END AS INTEGER) AS interaction FROM trade")

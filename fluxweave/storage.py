@@ -19,9 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """Where this application's tables go; llm's go there too."""
+    return f"{shared_dir(spark)}/fluxweave/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> bool:
+    """Deletes what this application has written there. DataFrames made before can't be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Writes a table and reads it again, so that it is computed once and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/fluxweave/{tag}-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
