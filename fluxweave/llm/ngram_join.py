@@ -302,7 +302,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     active = materialise(dealt.repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_sketched(least), "path long, key binary").distinct(), "join-active")
     members = active.join(rich, "key")
     sizes = materialise(members.groupBy("path").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "join-blocks")
-    with_text = _texts(docs, embedded, active)
+    with_text = _texts(docs, sets, active)
     dealt = _blocked(members.select("path", "key", "sig", "paths", "copies"), sizes).join(with_text, "key").select("path", "i", "j", "key", "side", "sig", "paths", "copies", "text")
     links = materialise(dealt.repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_verified(least, similarity), "key binary, root binary, links long"), "join-links")
     roots = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
@@ -317,9 +317,9 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     return told.unionByName(alone)
 
 
-def _texts(docs: DataFrame, embedded: DataFrame, active: DataFrame) -> DataFrame:
-    """(key, text): a text of each set in `active`, found by doc_id and the hash of the set made anew."""
-    ids = embedded.join(active.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("__id"))
+def _texts(docs: DataFrame, sets: DataFrame, active: DataFrame) -> DataFrame:
+    """(key, text): a text of each set in `active`, found by its smallest doc_id and the hash of the set made anew."""
+    ids = active.select("key").distinct().join(sets.select("key", F.col("rep_id").alias("__id")), "key")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     near = rows.join(ids.select("__id").distinct().hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     keyed = near.mapInArrow(_with_key, "key binary, text string")
