@@ -691,7 +691,16 @@ def condition_results(spark, d):
 
 @query("SELECT o_orderkey, len(list(DISTINCT l_partkey)) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 500 GROUP BY 1")
 def stoichiometry_lists(spark, d):
-    li = V.read(spark, d, "lineitem").filter("l_orderkey < 500")
+    return _stoichiometry(V.read(spark, d, "lineitem").filter("l_orderkey < 500"))
+
+
+@query("SELECT o_orderkey, len(list(DISTINCT l_partkey)) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+def stoichiometry_lists_all(spark, d):
+    """The same over every order."""
+    return _stoichiometry(V.read(spark, d, "lineitem"))
+
+
+def _stoichiometry(li: DataFrame) -> DataFrame:
     rows = li.select(F.col("l_orderkey").alias("reaction"), F.col("l_partkey").cast("string").alias("metabolite"), F.lit(-1.0).alias("coef")).distinct()
     return S.stoichiometry(rows).select(F.col("reaction").alias("o_orderkey"), F.size("metabolites").cast("long").alias("n"))
 
@@ -699,7 +708,16 @@ def stoichiometry_lists(spark, d):
 @query("SELECT event_id, '{\"a\":\"' || event_type || '\",\"b\":\"' || user_id || '\"}' AS j FROM events WHERE event_id < 500")
 def canonical_maps(spark, d):
     """Maps in any order give the same JSON."""
-    e = V.read(spark, d, "events").filter("event_id < 500")
+    return _canonical_maps(V.read(spark, d, "events").filter("event_id < 500"))
+
+
+@query("SELECT event_id, '{\"a\":\"' || event_type || '\",\"b\":\"' || user_id || '\"}' AS j FROM events")
+def canonical_maps_all(spark, d):
+    """The same over every event."""
+    return _canonical_maps(V.read(spark, d, "events"))
+
+
+def _canonical_maps(e: DataFrame) -> DataFrame:
     m = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("b"), F.col("user_id").cast("string"), F.lit("a"), F.col("event_type"))).otherwise(F.create_map(F.lit("a"), F.col("event_type"), F.lit("b"), F.col("user_id").cast("string")))
     return e.select("event_id", S.canonical_json(m).alias("j"))
 
