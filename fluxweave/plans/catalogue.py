@@ -283,6 +283,25 @@ def and_gate_compile(spark, d):
     return G.dependency_reactions(into.unionByName(out)).select("product", F.array_join("pos", ",").alias("pos"), F.array_join("neg", ",").alias("neg"))
 
 
+GATES_ALL = """sif AS (SELECT l_orderkey AS o, 'p' || l_partkey AS s, CASE WHEN min(l_returnflag) = 'R' THEN -1 ELSE 1 END AS interaction FROM lineitem GROUP BY l_orderkey, l_partkey),
+    gates AS (SELECT o, list_sort(list(s) FILTER (WHERE interaction > 0)) AS pos, list_sort(list(s) FILTER (WHERE interaction < 0)) AS neg FROM sif GROUP BY o HAVING count(*) > 1)"""
+
+
+def _order_gates(spark: SparkSession, d: str) -> DataFrame:
+    """(o, s, interaction): the parts of each order as signed literals; orders of one part make no gate."""
+    rows = V.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), "l_partkey").agg(F.min("l_returnflag").alias("f"))
+    many = rows.groupBy("o").agg(F.count("*").alias("n")).filter("n > 1").select("o")
+    return rows.join(many, "o", "left_semi").select("o", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("s"), F.when(F.col("f") == "R", -1).otherwise(1).alias("interaction"))
+
+
+@query(f"WITH {GATES_ALL} SELECT 'y' || o AS product, coalesce(array_to_string(pos, ','), '') AS pos, coalesce(array_to_string(neg, ','), '') AS neg FROM gates")
+def and_gate_compile_all(spark, d):
+    """The same over all line items: one gate an order, its parts as literals."""
+    into = _order_gates(spark, d).select("s", "interaction", F.concat(F.lit("AND"), F.col("o").cast("string")).alias("t"))
+    out = into.select(F.col("t").alias("s"), F.lit(1).alias("interaction"), F.concat(F.lit("y"), F.substring("t", 4, 20)).alias("t")).distinct()
+    return G.dependency_reactions(into.unionByName(out)).select("product", F.array_join("pos", ",").alias("pos"), F.array_join("neg", ",").alias("neg"))
+
+
 # --- features --------------------------------------------------------------------------------------------------------
 
 
@@ -426,6 +445,14 @@ def reaction_text(spark, d):
     return gates.select(S.reaction_text(F.col("pos"), F.col("neg"), F.lit("y")).alias("reaction")).distinct()
 
 
+@query(f"WITH {GATES_ALL} SELECT array_to_string(list_concat(coalesce(pos, []), list_transform(coalesce(neg, []), lambda x: 'NOT ' || x)), ' AND ') || ' -> y' || o AS reaction FROM gates")
+def reaction_text_all(spark, d):
+    """The same over all line items: one reaction an order."""
+    literal = lambda sign: F.collect_list(F.when(F.col("interaction") == sign, F.col("s")))
+    gates = _order_gates(spark, d).groupBy("o").agg(literal(1).alias("pos"), literal(-1).alias("neg"))
+    return gates.select(S.reaction_text(F.col("pos"), F.col("neg"), F.concat(F.lit("y"), F.col("o").cast("string"))).alias("reaction"))
+
+
 @query(f"WITH {V.FEAT} SELECT sample, CAST(max(CAST(value > 100 AS INTEGER)) AS INTEGER) AS or_, CAST(min(CAST(value > 100 AS INTEGER)) AS INTEGER) AS and_, CAST(sum(CAST(value > 100 AS INTEGER)) % 2 AS INTEGER) AS xor_, sum(CASE WHEN (value > 100) <> (role = 'output') THEN 1 ELSE 0 END)::BIGINT AS hamming FROM feat GROUP BY sample")
 def or_and_xor_by_user(spark, d):
     b = (F.col("value") > 100).cast("int")

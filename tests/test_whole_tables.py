@@ -26,3 +26,24 @@ def test_every_event_has_its_map(spark):
     want = sorted((r.event_id, f'{{"a":"{r.event_type}","b":"{r.user_id}"}}') for r in V.read(spark, SF, "events").collect())
     assert want[-1][0] >= 500
     assert found == want
+
+
+def signs_by_order(spark):
+    flags = {}
+    for r in V.read(spark, SF, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag").collect():
+        flags.setdefault(r.l_orderkey, {}).setdefault(f"p{r.l_partkey}", set()).add(r.l_returnflag)
+    return {o: {p: min(f) != "R" for p, f in parts.items()} for o, parts in flags.items() if len(parts) > 1}
+
+
+def test_every_order_is_a_gate(spark):
+    found = {r.product: (r.pos, r.neg) for r in run(spark, "and_gate_compile_all").collect()}
+    want = {f"y{o}": tuple(",".join(sorted(p for p, up in parts.items() if up == sign)) for sign in (True, False)) for o, parts in signs_by_order(spark).items()}
+    assert len(want) > 40
+    assert found == want
+
+
+def test_every_order_is_a_reaction(spark):
+    found = sorted(r.reaction for r in run(spark, "reaction_text_all").collect())
+    want = sorted(" AND ".join([*sorted(p for p, up in parts.items() if up), *(f"NOT {p}" for p in sorted(p for p, up in parts.items() if not up))]) + f" -> y{o}" for o, parts in signs_by_order(spark).items())
+    assert len(want) > 40
+    assert found == want
