@@ -21,9 +21,9 @@ from .common import materialise, words_of
 from .ngram_join import shingles
 
 #: Labelled rows that the lexicon and the weights are learned from, at most (those with the smallest hashed doc_id).
-FIT_ROWS = 6_000
-#: Terms kept at most; toxic documents a term or stem must be in, at least and as a share; log-odds it must reach.
-TERMS, LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 200, 4, 0.012, 2.5
+FIT_ROWS = 8_000
+#: Terms kept at most; toxic documents a term or stem must be in; log-odds it must reach.
+TERMS, LEAST_DOCS, LEAST_ODDS = 200, 5, 2.5
 #: Stems have so many letters. A document has a stem if so many different words of it begin so; so many words of toxic ones must.
 STEM, STEM_TWICE, STEM_WORDS = (3, 8), 2, 6
 #: Terms of so many letters at least are also found misspelled, by one edit.
@@ -131,7 +131,6 @@ def lexicon(texts: list[str], toxic: list[int]) -> tuple[list[str], list[str]]:
     first = families(texts)
     texts, toxic = ([x for x, f in zip(xs, first, strict=True) if f] for xs in (texts, toxic))
     n, begun = [toxic.count(0), toxic.count(1)], {}
-    enough = max(LEAST_DOCS, LEAST_SHARE * n[1])
     words: dict[str, list[int]] = {}
     stems: dict[str, list[int]] = {}
     sets = [{plain_form(w) for w in set(_word.findall(text))} for text in texts]
@@ -143,8 +142,8 @@ def lexicon(texts: list[str], toxic: list[int]) -> tuple[list[str], list[str]]:
                 stems.setdefault(stem, [0, 0])[1] += 1
                 if len(known := begun.setdefault(stem, set())) < STEM_WORDS:
                     known |= found
-    words = {w: c for w, c in words.items() if c[1] >= enough}
-    stems = {s: c for s, c in stems.items() if c[1] >= enough and len(begun[s]) >= STEM_WORDS}
+    words = {w: c for w, c in words.items() if c[1] >= LEAST_DOCS}
+    stems = {s: c for s, c in stems.items() if c[1] >= LEAST_DOCS and len(begun[s]) >= STEM_WORDS}
     begins = {s[: STEM[0]] for s in stems}
     for mine, y in zip(sets, toxic, strict=True):
         if not y:
