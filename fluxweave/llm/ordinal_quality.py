@@ -23,8 +23,8 @@ from .common import words_of
 GRADES = 3
 #: Hashed features.
 BUCKETS = 1 << 14
-#: The model is fitted on so many labelled rows at most (those with the smallest hashed doc_id), and so many characters of each.
-FIT_ROWS, FIT_CHARS = 3_000, 20_000
+#: The model is fitted on so many labelled rows at most (those with the smallest hashed doc_id).
+FIT_ROWS = 3_000
 EPOCHS, RATE, DECAY, BATCH, SEED = 12, 0.1, 1e-6, 64, 5
 #: Tail probability of grade 1 or more from which a document is selected.
 SELECT = 0.5
@@ -69,6 +69,12 @@ def features(text: str | None, known: dict[str, tuple[int, ...]]) -> tuple[np.nd
 
 
 def fit(texts: list[str | None], grades: list[int], n_grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
+    """fit_features() of texts."""
+    known: dict[str, tuple[int, ...]] = {}
+    return fit_features([features(t, known) for t in texts], grades, n_grades)
+
+
+def fit_features(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], n_grades: int = GRADES) -> tuple[np.ndarray, np.ndarray]:
     """(weights, ordered thresholds) by stochastic gradients on the cumulative links' log-likelihood.
 
     Thresholds are a first one plus non-negative steps, so they stay ordered. Without rows, or with a single grade, the weights
@@ -80,8 +86,6 @@ def fit(texts: list[str | None], grades: list[int], n_grades: int = GRADES) -> t
     w = np.zeros(BUCKETS)
     if len(set(grades)) < 2:
         return w, theta
-    known: dict[str, tuple[int, ...]] = {}
-    rows = [features(t, known) for t in texts]
     g2, gt2 = np.full(BUCKETS, 1e-8), np.full(n_grades - 1, 1e-8)
     start, steps = theta[0], np.log(np.expm1(np.maximum(np.diff(theta), 1e-2)))
     rng = np.random.default_rng(SEED)
@@ -112,16 +116,30 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.filter(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), grade.cast("int").alias("grade"))
 
 
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("grade", pa.int32()), ("at", pa.list_(pa.int32())), ("v", pa.list_(pa.float64()))])
+_FEATURES_DDL = "doc_id long, th long, grade int, at array<int>, v array<double>"
+
+
+def _extracted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sparse features of each whole text, so that the one fitting task reads no text; th tells texts of one doc_id apart."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        found = [features(t, _known) for t in texts]
+        hashes = [zlib.crc32(t.encode()) if t is not None else -1 for t in texts]
+        columns = [batch.column(0), pa.array(hashes, pa.int64()), batch.column(2), pa.array([a.tolist() for a, _ in found], _FEATURES.field("at").type), pa.array([v.tolist() for _, v in found], _FEATURES.field("v").type)]
+        yield pa.RecordBatch.from_arrays(columns, schema=_FEATURES)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Fits on `rows` labelled documents at most, of those whose crc32(doc_id as text) mod 3 is not 1; the rest is for testing."""
     usable = graded(labels).filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
     picked = usable.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id", "grade").limit(rows)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring("text", 1, FIT_CHARS).alias("text"))
-    sample = text.join(F.broadcast(picked), "doc_id")  # `rows` rows at most
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sample = text.join(F.broadcast(picked), "doc_id").mapInArrow(_extracted, _FEATURES_DDL)  # `rows` rows at most, whole texts
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"], kind="stable").head(2 * rows)
-        w, theta = fit([t if isinstance(t, str) else None for t in pdf["text"]], pdf["grade"].astype(int).tolist())
+        pdf = pdf.sort_values(["doc_id", "th", "grade"], kind="stable").head(2 * rows)
+        w, theta = fit_features([(np.asarray(a, dtype=np.int64), np.asarray(v)) for a, v in zip(pdf["at"], pdf["v"], strict=True)], pdf["grade"].astype(int).tolist())
         return pd.DataFrame({"w": [w.astype(np.float32).tolist()], "theta": [theta.tolist()]})
 
     model = sample.groupBy(F.lit("all")).applyInPandas(fitted, "w array<float>, theta array<double>").first()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from fluxweave.llm import toxicity
+import numpy as np
+
+from fluxweave.llm import ordinal_quality, toxicity
 
 
 def test_a_rare_term_enters_the_lexicon():
@@ -18,3 +20,19 @@ def test_a_rare_term_enters_the_lexicon():
         texts.append(" ".join(words))
         toxic.append(i % 2)
     assert set(toxicity.lexicon(texts, toxic)[0]) == {"scoundrel", "wretch", "dimwit"}  # the first in 6 of 600 toxic texts
+
+
+def test_quality_learns_from_the_end_of_long_texts(docs_of, spark):
+    rng = random.Random(37)
+    clean = [f"{a}{b}" for a in "ba ko li mu".split() for b in "dar fen gol".split()]
+    rows, labels = [], []
+    for i in range(90):
+        good = i % 2
+        words = [rng.choice(clean) for _ in range(4_200)]  # over 20,000 characters
+        rows.append((i, " ".join(words + ["late" if good else "junk"] * 900), "s"))
+        labels.append((i, good, 0))
+    w, theta = ordinal_quality.train(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    p = [ordinal_quality.tails(np.array([(w[a] * v).sum()]), theta)[0, 0] for a, v in (ordinal_quality.features(t, {}) for _, t, _ in rows)]
+    assert all((x >= 0.5) == bool(i % 2) for i, x in enumerate(p))
+    at = {k: ordinal_quality.word_features(k)[0] for k in ("late", "junk")}
+    assert w[at["late"]] > 0.1 and w[at["junk"]] < -0.1
