@@ -44,7 +44,7 @@ PATTERNS = [
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3,4}[ .-]?\d{3,4}(?![\d-])|(?<![\d+])\+\d[\d .-]{6,14}\d(?!\d)"),
-    ("name", rf"(?<!\w)(?:(?i:{_TITLE}))\.? (?P<name>[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+(?:[ -][^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+)?)(?!\w)"),
+    ("name", rf"(?<!\w)(?:(?i:{_TITLE}))\.? (?P<name>[^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+(?:[ -][^\W\d_a-zß-öø-ÿа-яё][^\W\d_]+)*)(?!\w)"),
 ]
 _find = re.compile("|".join(f"(?P<{kind}_>{pattern})" for kind, pattern in PATTERNS))
 _possible = re.compile(rf"[@0-9]|(?i:\b(?:{_TITLE})\b)")
@@ -64,7 +64,25 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
             start, end = m.span("name")
             kind = "name_" + TITLES[text[m.start() : start].rstrip(" .").lower()]
         found.append((start, end, kind, canonical(kind, text[start:end])))
-    return found
+    return _mentions(text, found) if any(f[2].startswith("name") for f in found) else found
+
+
+def _mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Also the mentions without a title of names found in the text. A title without gender takes the one told elsewhere in it."""
+    kinds: dict[str, str] = {}
+    for _, _, kind, name in found:
+        if kind.startswith("name") and kinds.get(name, "name_u") == "name_u":
+            kinds[name] = kind
+    found = [(a, b, kinds[name] if kind == "name_u" else kind, name) for a, b, kind, name in found]
+    written = sorted({text[a:b] for a, b, kind, _ in found if kind.startswith("name")}, key=lambda x: (-len(x), x))
+    again, k, out = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, written))})(?!\w)"), 0, []
+    for m in again.finditer(text):
+        while k < len(found) and found[k][1] <= m.start():
+            k += 1
+        if k == len(found) or found[k][0] >= m.end():
+            name = canonical("name", m.group())
+            out.append((m.start(), m.end(), kinds[name], name))
+    return sorted(found + out)
 
 
 def canonical(kind: str, raw: str) -> str:
