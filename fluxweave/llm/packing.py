@@ -2,8 +2,9 @@
 
 Only the length histogram, 2,048 rows at most whatever the input, reaches the driver. There a covering program over
 configurations (multisets of lengths that fit a sequence) is solved by multiplicative weights, prices finding new
-configurations through a knapsack dynamic program. The fractional solution is rounded down and what is left is packed
-best-fit by decreasing length. Pieces then take their places by their rank among those of their length.
+configurations through a knapsack dynamic program. The fractional solution is rounded, the program of what is left solved
+again, and so on; the last few items are packed best-fit by decreasing length. Pieces then take their places by their rank
+among those of their length.
 """
 
 from __future__ import annotations
@@ -28,9 +29,13 @@ CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 #: Multiplicative weights: rounds of pricing, configurations taken a round, step, and the coverage at which to stop.
-ROUNDS, TAKEN, RATE, COVER = 240, 48, 1.0, 3.0
-#: Share of the fractional solution that is rounded down; the rest, of every length, is left to best fit.
-ROUNDED = 0.7
+ROUNDS, TAKEN, RATE, COVER = 30, 64, 1.0, 2.0
+#: Steps that lengths are rounded to where dual prices are learned, pricings that this takes, and their step.
+GRAINS, PRICINGS, STEP = 64, 800, 0.2
+#: What a full sequence is worth besides its items' dual prices.
+FULLNESS = 0.5
+#: Share of the words that is rounded before the program is solved again; share of the items that is left to best fit.
+DIVE, LEFT = 0.25, 0.02
 #: Buckets of doc_ids within which pieces of one length are ranked, at least; and rows planned for one.
 BUCKETS, BUCKET_ROWS = 256, 4_000
 
@@ -92,24 +97,75 @@ def _tokenise(path: str):
     return run
 
 
-def price(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack by dynamic programming: for each room, the best value and the length to take (0: none).
+def price(value: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Bounded knapsack by dynamic programming: which multiset of lengths, no more of each than there are, is worth most.
 
-    value[L] is what one item of length L is worth, -inf where there is none.
+    Each length comes in bundles of 1, 2, 4, ... items. Returns the best value for each room, the bundles (length, items), and
+    for each bundle the rooms in which it is taken.
+    """
+    bundles: list[tuple[int, int]] = []
+    for size in map(int, np.flatnonzero(counts)[::-1]):
+        left, k = min(int(counts[size]), capacity // size), 1
+        while left > 0:
+            bundles.append((size, min(k, left)))
+            left, k = left - min(k, left), 2 * k
+    best, taken = np.zeros(capacity + 1), np.zeros((len(bundles), capacity + 1), dtype=bool)
+    for n, (size, k) in enumerate(bundles):
+        width = size * k
+        found = best[: capacity + 1 - width] + value[size] * k
+        better = found > best[width:]
+        taken[n, width:] = better
+        best[width:] = np.where(better, found, best[width:])
+    return best, bundles, taken
+
+
+def contents(room: int, bundles: list[tuple[int, int]], taken: np.ndarray) -> dict[int, int]:
+    """The multiset of lengths (length to items) that price() takes for a room."""
+    found: dict[int, int] = {}
+    last = len(bundles)
+    while True:
+        at = np.flatnonzero(taken[:last, room])
+        if not len(at):
+            return found
+        last = int(at[-1])
+        size, k = bundles[last]
+        found[size] = found.get(size, 0) + k
+        room -= size * k
+
+
+def prices(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """Dual prices of the lengths: what share of a sequence an item is worth; no configuration is worth more than about one.
+
+    Multiplicative weights on a coarse histogram (lengths rounded up to GRAINS steps of the capacity): the best configuration at
+    the present prices is added, what it covers gets cheaper. Of all prices seen, those stay that give the highest lower bound on
+    the number of sequences. Lengths between two steps are priced in between.
+    """
+    grains = min(GRAINS, capacity)
+    grain = -(-np.arange(capacity + 1) * grains // capacity)
+    held = np.bincount(grain, weights=counts, minlength=grains + 1).astype(np.int64)
+    kinds = np.flatnonzero(held)
+    covered, best, found = np.zeros(grains + 1), 0.0, np.arange(grains + 1) / grains
+    for _ in range(PRICINGS if len(kinds) else 0):
+        value = np.zeros(grains + 1)
+        value[kinds] = np.exp(-STEP * (covered[kinds] - covered[kinds].min())) / held[kinds]
+        worth, bundles, taken = price(value, held, grains)
+        bound = float((held * value).sum() / worth[grains])
+        if bound > best:
+            best, found = bound, np.maximum.accumulate(value / worth[grains])
+        config = contents(grains, bundles, taken)
+        step = min(held[x] / k for x, k in config.items())
+        for x, k in config.items():
+            covered[x] += step * k / held[x]
+    return np.interp(np.arange(capacity + 1) * (grains / capacity), np.arange(grains + 1), found)
+
+
+def configurations(counts: np.ndarray, dual: np.ndarray, capacity: int = CAPACITY) -> dict[tuple[int, ...], float]:
+    """A fractional cover of counts[L] items of each length L by configurations, scaled to cover once on average.
+
+    Multiplicative weights: a length's price, at first its dual one, falls as it gets covered. Each round of pricing starts
+    configurations from the lengths covered least and fills their rest with what is worth most at these prices. No configuration
+    holds more items of a length than there are, so each of them alone is a sequence that can be packed.
     """
-    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    for room in range(1, capacity + 1):
-        found = best[room - 1 :: -1] + value[1 : room + 1] if room > 1 else best[:1] + value[1:2]
-        at = int(found.argmax())
-        if found[at] > best[room - 1]:
-            best[room], take[room] = found[at], at + 1
-        else:
-            best[room] = best[room - 1]
-    return best, take
-
-
-def configurations(counts: np.ndarray, capacity: int = CAPACITY) -> dict[tuple[int, ...], float]:
-    """A fractional cover of counts[L] items of each length L < capacity by configurations, scaled to cover once on average."""
     lengths = np.flatnonzero(counts)
     if not len(lengths):
         return {}
@@ -119,22 +175,15 @@ def configurations(counts: np.ndarray, capacity: int = CAPACITY) -> dict[tuple[i
         low = covered[lengths]
         if low.min() >= COVER:
             break
-        value = np.full(capacity + 1, -np.inf)
-        value[lengths] = np.exp(-RATE * (low - low.min())) / counts[lengths] + 1e-9 * lengths
-        best, take = price(value, capacity)
-        for needed in lengths[np.argsort(low, kind="stable")[:TAKEN]]:
-            left, config = capacity - int(needed), [int(needed)]
-            while left > 0:
-                if not take[left]:  # nothing is worth this room: the next smaller one may hold a bit
-                    left -= 1
-                    continue
-                config.append(int(take[left]))
-                left -= int(take[left])
-            times = defaultdict(int)
-            for x in config:
-                times[x] += 1
+        value = np.zeros(capacity + 1)
+        value[lengths] = (dual[lengths] + lengths / capacity * FULLNESS) * np.exp(-RATE * (low - low.min()))
+        _, bundles, taken = price(value, counts, capacity)
+        for needed in map(int, lengths[np.lexsort((-lengths, low))[:TAKEN]]):
+            times = contents(capacity - needed, bundles, taken)
+            if times.get(needed, 0) < counts[needed]:
+                times[needed] = times.get(needed, 0) + 1
             step = min(counts[x] / k for x, k in times.items())
-            used[tuple(sorted(config, reverse=True))] += step
+            used[tuple(sorted((x for x, k in times.items() for _ in range(k)), reverse=True))] += step
             for x, k in times.items():
                 covered[x] += step * k / counts[x]
     weight = lengths * counts[lengths]
@@ -172,20 +221,41 @@ def best_fit(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[i
     return [(config, times) for same in bins.values() for config, times in same]
 
 
+def rounded(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """(configuration, times) that the program places, and the counts that it leaves.
+
+    The program is solved, the configurations of most worth (of these, the ones with the longest items) are taken as often as its solution says (rounded down, but once at
+    least) where their items are still there, and what remains is a smaller program. Each such dive places DIVE of its words at
+    most, so that prices keep up with what is left; it ends when LEFT of all items remain.
+    """
+    plan: list[tuple[tuple[int, ...], int]] = []
+    left, some = counts.astype(np.int64).copy(), int(LEFT * counts.sum())
+    sizes = np.arange(capacity + 1)
+    while left.sum() > some:
+        dual = prices(left, capacity)
+        fractional = configurations(left, dual, capacity)
+        goal = DIVE * float((left * sizes).sum())
+        placed = 0
+        worth = lambda c: round(sum(dual[x] for x in c) + sum(c) / capacity * FULLNESS, 3)
+        for config, x in sorted(fractional.items(), key=lambda c: (-worth(c[0]), [-x for x in c[0]])):
+            kinds, each = np.unique(config, return_counts=True)
+            times = int(min(max(1, np.floor(x + 1e-9)), (left[kinds] // each).min()))
+            if times:
+                plan.append((config, times))
+                left[kinds] -= times * each
+                placed += times * sum(config)
+                if placed >= goal:
+                    break
+    return plan, left
+
+
 def solve(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """(configuration, times) that hold every one of counts[L] items of length L, L from 1 to capacity."""
     left = counts.astype(np.int64).copy()
     plan: list[tuple[tuple[int, ...], int]] = [((capacity,), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    fractional = configurations(left, capacity)
-    room = sum(x * (capacity - sum(c)) for c, x in fractional.items()) / max(1e-9, sum(fractional.values()))
-    for config, x in sorted(fractional.items(), key=lambda c: (-sum(c[0]), -c[1], c[0])):
-        sizes, each = np.unique(config, return_counts=True)
-        times = int(min(np.floor(ROUNDED * x + 1e-9), (left[sizes] // each).min()))
-        if times and capacity - sum(config) <= room:  # emptier ones are left to best fit
-            plan.append((config, times))
-            left[sizes] -= times * each
-    return plan + best_fit(left, capacity)
+    more, left = rounded(left, capacity)
+    return plan + more + best_fit(left, capacity)
 
 
 def places(plan: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY) -> dict[str, np.ndarray]:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -13,6 +14,9 @@ from fluxweave.llm import components, ngram_join, packing
 from fluxweave.llm.common import words_of
 
 
+SF = "/root/testdata/sf0.01/documents.parquet"
+
+
 def brute_join(rows, similarity=0.8):
     sets = []
     for _, t in rows:
@@ -136,11 +140,71 @@ def test_best_fit_and_solve_hold_every_item():
 
 
 def test_pricing_is_the_best_configuration():
-    value = np.full(13, -np.inf)
-    value[[3, 4, 7]] = [3.1, 4.5, 7.2]
-    best, _ = packing.price(value, 12)
-    brute = max(3.1 * a + 4.5 * b + 7.2 * c for a in range(5) for b in range(4) for c in range(2) if 3 * a + 4 * b + 7 * c <= 12)
-    assert best[12] == pytest.approx(brute)
+    value, counts = np.zeros(13), np.zeros(13, dtype=np.int64)
+    value[[3, 4, 7]], counts[[3, 4, 7]] = [3.1, 4.5, 7.2], [9, 2, 1]
+    best, bundles, taken = packing.price(value, counts, 12)
+    for room in range(13):
+        fits = [(a, b, c) for a in range(10) for b in range(3) for c in range(2) if 3 * a + 4 * b + 7 * c <= room]
+        assert best[room] == pytest.approx(max(3.1 * a + 4.5 * b + 7.2 * c for a, b, c in fits))
+        found = packing.contents(room, bundles, taken)
+        assert sum(size * k for size, k in found.items()) <= room and all(k <= counts[size] for size, k in found.items())
+        assert sum(value[size] * k for size, k in found.items()) == pytest.approx(best[room])
+
+
+def least_bins(items, capacity):
+    """The optimum by trying every item in every open bin."""
+
+    def go(k, rooms, best):
+        if len(rooms) >= best:
+            return best
+        if k == len(items):
+            return len(rooms)
+        for i in {r: i for i, r in enumerate(rooms) if r >= items[k]}.values():
+            best = go(k + 1, [*rooms[:i], rooms[i] - items[k], *rooms[i + 1 :]], best)
+        return go(k + 1, [*rooms, capacity - items[k]], best)
+
+    items = sorted(items, reverse=True)
+    return go(0, [], len(items) + 1)
+
+
+def test_solve_is_near_the_optimum():
+    rng = np.random.default_rng(41)
+    over = 0
+    for _ in range(40):
+        items = [int(x) for x in rng.integers(2, 30, int(rng.integers(1, 10)))]
+        plan = packing.solve(np.bincount(items, minlength=31).astype(np.int64), 30)
+        bins, least = sum(t for _, t in plan), least_bins(items, 30)
+        assert least <= bins <= least + 1
+        over += bins - least
+    assert over <= 4
+
+
+@pytest.mark.parametrize("spread", ["testdata", "even", "short", "many"])
+def test_the_program_places_nearly_all(spread):
+    """Configurations, not best fit, hold 90 % and more of what is shorter than a sequence, within 0.1 % of the token bound."""
+    rng, counts = np.random.default_rng(5), np.zeros(packing.CAPACITY + 1, dtype=np.int64)
+    if spread == "testdata":
+        table = pytest.importorskip("pyarrow.parquet")
+        if not os.path.exists(SF):
+            pytest.skip("no test tables")
+        path = public_tokenizers.path(packing.TOKENIZER)
+        for text in table.read_table(SF, columns=["text"])["text"].to_pylist():
+            for _, n in packing.cut(len(packing.token_ids(text or "", path)) + 1):
+                counts[n] += 1
+    else:
+        np.add.at(counts, rng.integers(1, 2049, 3000) if spread == "even" else np.minimum(2048, 1 + rng.exponential(300, 4000).astype(int)), 500 if spread == "many" else 1)
+    short = counts.copy()
+    short[packing.CAPACITY] = 0
+    plan, left = packing.rounded(short)
+    placed = sum(times * len(config) for config, times in plan)
+    assert placed + left.sum() == short.sum() and placed >= 0.9 * short.sum()
+    bound = -(-int((counts * np.arange(packing.CAPACITY + 1)).sum()) // packing.CAPACITY)
+    bins = sum(times for _, times in packing.solve(counts))
+    if spread == "even":  # most lengths are over half a sequence: the token bound can't be reached
+        bound = sum(times for _, times in packing.best_fit(counts))
+        assert bins <= 1.005 * bound
+    else:
+        assert bins <= 1.001 * bound + 1
 
 
 def test_packing_is_an_exact_round_trip(awkward, docs_of):
