@@ -30,8 +30,9 @@ TOKENIZER = "byte_bpe_50k.json"
 END = 0
 #: Multiplicative weights: rounds of pricing, configurations taken a round, step, and the coverage at which to stop.
 ROUNDS, TAKEN, RATE, COVER = 30, 64, 1.0, 2.0
-#: Steps that lengths are rounded to where dual prices are learned, pricings that this takes, and their step.
-GRAINS, PRICINGS, STEP = 64, 800, 0.2
+#: Steps that lengths are rounded to where dual prices are learned; pricings that this takes at most, and after the last one that
+#: raised the bound by 0.1 %; their step.
+GRAINS, PRICINGS, PATIENCE, STEP = 64, 800, 120, 0.2
 #: What a full sequence is worth besides its items' dual prices.
 FULLNESS = 0.5
 #: Share of the words that is rounded before the program is solved again; share of the items that is left to best fit.
@@ -144,13 +145,16 @@ def prices(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     grain = -(-np.arange(capacity + 1) * grains // capacity)
     held = np.bincount(grain, weights=counts, minlength=grains + 1).astype(np.int64)
     kinds = np.flatnonzero(held)
-    covered, best, found = np.zeros(grains + 1), 0.0, np.arange(grains + 1) / grains
-    for _ in range(PRICINGS if len(kinds) else 0):
+    covered, best, found, since = np.zeros(grains + 1), 0.0, np.arange(grains + 1) / grains, 0
+    for n in range(PRICINGS if len(kinds) else 0):
+        if n - since > PATIENCE:
+            break
         value = np.zeros(grains + 1)
         value[kinds] = np.exp(-STEP * (covered[kinds] - covered[kinds].min())) / held[kinds]
         worth, bundles, taken = price(value, held, grains)
         bound = float((held * value).sum() / worth[grains])
         if bound > best:
+            since = n if bound > 1.001 * best else since
             best, found = bound, np.maximum.accumulate(value / worth[grains])
         config = contents(grains, bundles, taken)
         step = min(held[x] / k for x, k in config.items())
