@@ -1,18 +1,19 @@
 """Toxicity: a learned lexicon in a trie, searched by Levenshtein automata, with context-window scores.
 
 The lexicon is learned from the labelled rows that are not held out: words, and stems of words, whose documents are far more
-often toxic. It is kept in a trie. A word's Levenshtein automaton walks the trie and finds terms within one edit. Windows
-around each hit tell quotation and report from abuse; a small logistic model over such counts gives the score.
+often toxic in both halves of these rows. It is kept in a trie. A word's Levenshtein automaton walks the trie and finds terms
+within one edit. Windows around each hit tell quotation and report from abuse; a small logistic model over such counts gives
+the score. Misspelled abuse and quoted terms are rare in labelled rows, so the model also learns from generated ones: toxic
+rows with their terms misspelled, still toxic, and with each term quoted, no longer so.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from .ngram_join import shingles
 
 #: Labelled rows that the lexicon and the weights are learned from, at most (those with the smallest hashed doc_id).
 FIT_ROWS = 8_000
-#: Terms kept at most; toxic documents a term or stem must be in; log-odds it must reach.
-TERMS, LEAST_DOCS, LEAST_ODDS = 200, 5, 2.5
+#: Toxic documents a term or stem must be in, and in each half of the rows; log-odds it must reach in all and in each half.
+LEAST_DOCS, LEAST_HALF, LEAST_ODDS, HALF_ODDS = 5, 2, 2.5, 1.5
 #: Stems have so many letters. A document has a stem if so many different words of it begin so; so many words of toxic ones must.
 STEM, STEM_TWICE, STEM_WORDS = (3, 8), 2, 6
 #: Terms of so many letters at least are also found misspelled, by one edit.
@@ -37,6 +38,7 @@ REPORT = {"said", "says", "quote", "quoted", "called", "wrote", "word", "term",
 _word = re.compile(r"[\w@$]+")
 _quote = re.compile(f"[{QUOTES}]")
 _like = str.maketrans("013457@$", "oleastas")
+_digit = {"o": "0", "l": "1", "e": "3", "a": "4", "s": "5", "t": "7"}
 
 
 def plain_form(word: str) -> str:
@@ -99,15 +101,13 @@ def step(state: tuple[int, ...], word: str, letter: str, depth: int, edits: int)
     return tuple(out)
 
 
-def families(texts: list[str], sketches: int = 4) -> list[bool]:
+def first_of_kind(sketches: list[tuple]) -> list[bool]:
     """Whether each text is the first of its kind: none before it shares one of a few min-hashes of five-word shingles. Copies
     and near copies would otherwise make all their words look like signs of their label."""
-    known: dict[str, int] = {}
     seen: set[tuple[int, int]] = set()
     first = []
-    for text in texts:
-        grams = shingles(words_of(text), known)
-        mine = {(k, int(((grams * _MIX[k]) >> np.uint64(11)).min())) for k in range(sketches)} if len(grams) else {(-1, 0)}
+    for sketch in sketches:
+        mine = {*enumerate(sketch)}
         first.append(not mine & seen)
         seen |= mine
     return first
@@ -116,53 +116,96 @@ def families(texts: list[str], sketches: int = 4) -> list[bool]:
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
-def _stems(words: Iterable[str], wanted: dict | None = None) -> dict[str, set[str]]:
-    """The words that begin with each stem (of the wanted ones) and go on after it; only stems of STEM_TWICE words or more."""
+def sketch(text: str | None, known: dict[str, int]) -> list[int]:
+    """A few min-hashes of a text's shingles, as one number of 53 bits each; zeros where it has no word."""
+    grams = shingles(words_of(text), known)
+    return [int(((grams * m) >> np.uint64(11)).min()) for m in _MIX] if len(grams) else [0] * len(_MIX)
+
+
+def stems_of(words: Iterable[str]) -> dict[str, set[str]]:
+    """Stems that STEM_TWICE of the words or more begin with and go on after."""
     found: dict[str, set[str]] = {}
     for w in words:
         for k in range(STEM[0], min(STEM[1], len(w) - 1) + 1):
-            if wanted is None or w[:k] in wanted:
-                found.setdefault(w[:k], set()).add(w)
+            found.setdefault(w[:k], set()).add(w)
     return {s: ws for s, ws in found.items() if len(ws) >= STEM_TWICE}
 
 
-def lexicon(texts: list[str], toxic: list[int]) -> tuple[list[str], list[str]]:
-    """(words, stems) that mark toxic documents, by smoothed log-odds of document counts."""
-    first = families(texts)
-    texts, toxic = ([x for x, f in zip(xs, first, strict=True) if f] for xs in (texts, toxic))
-    n, begun = [toxic.count(0), toxic.count(1)], {}
-    words: dict[str, list[int]] = {}
-    stems: dict[str, list[int]] = {}
-    sets = [{plain_form(w) for w in set(_word.findall(text))} for text in texts]
-    for mine, y in zip(sets, toxic, strict=True):
-        if y:
-            for w in mine:
-                words.setdefault(w, [0, 0])[1] += 1
-            for stem, found in _stems(mine).items():
-                stems.setdefault(stem, [0, 0])[1] += 1
-                if len(known := begun.setdefault(stem, set())) < STEM_WORDS:
-                    known |= found
-    words = {w: c for w, c in words.items() if c[1] >= LEAST_DOCS}
-    stems = {s: c for s, c in stems.items() if c[1] >= LEAST_DOCS and len(begun[s]) >= STEM_WORDS}
-    begins = {s[: STEM[0]] for s in stems}
-    for mine, y in zip(sets, toxic, strict=True):
-        if not y:
-            for w in mine & words.keys():
-                words[w][0] += 1
-            for stem in _stems((w for w in mine if w[: STEM[0]] in begins), stems):
-                stems[stem][0] += 1
-
-    def strong(counts: dict[str, list[int]]) -> list[str]:
-        odds = lambda c: math.log((c[1] + 0.5) / (n[1] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1))
-        good = [(odds(c) * math.sqrt(c[1]), t) for t, c in counts.items() if odds(c) >= LEAST_ODDS]
-        return [t for _, t in sorted(good, key=lambda x: (-x[0], -len(x[1]), x[1]))]
+def _odds(toxic, clean, n_toxic, n_clean):
+    return F.log((toxic + 0.5) / (n_toxic + 1)) - F.log((clean + 0.5) / (n_clean + 1))
+
+
+def lexicon(rows: DataFrame) -> tuple[list[str], list[str]]:
+    """(words, stems) that mark toxic documents, from rows(rid, toxic, half, text).
 
+    A term must reach LEAST_ODDS, the smoothed log-odds of document counts, in all rows and HALF_ODDS in each half of them. All
+    terms that do are kept; of stems that begin with one another, the strongest is.
+    """
+    n = {(r["toxic"], r["half"]): r["count"] for r in rows.groupBy("toxic", "half").count().collect()}
+    of = lambda y, h=None: float(sum(k for (a, b), k in n.items() if a == y and h in (None, b)))
+    told = rows.select("toxic", "half", "text").mapInArrow(_terms_in, "kind string, term string, toxic int, half int, words array<string>")
+    at = lambda y, h: F.sum(((F.col("toxic") == y) & (F.col("half") == h)).cast("long"))
+    told = materialise(told, "toxic-terms")
+    counts = told.groupBy("kind", "term").agg(*(at(y, h).alias(f"n{y}{h}") for y in (0, 1) for h in (0, 1)))
+    counts = counts.withColumns({"t": F.col("n10") + F.col("n11"), "c": F.col("n00") + F.col("n01")})
+    odds = _odds(F.col("t"), F.col("c"), of(1), of(0))
+    halves = [(F.col(f"n1{h}") >= LEAST_HALF) & (_odds(F.col(f"n1{h}"), F.col(f"n0{h}"), of(1, h), of(0, h)) >= HALF_ODDS) for h in (0, 1)]
+    good = counts.filter((F.col("t") >= LEAST_DOCS) & (odds >= LEAST_ODDS) & halves[0] & halves[1]).select("kind", "term", (odds * F.sqrt("t")).alias("strength"))
+    good = materialise(good, "toxic-good")
+    begun = told.filter("kind = 's' AND toxic = 1").join(good, ["kind", "term"], "left_semi").select("kind", "term", F.explode("words").alias("word")).distinct().groupBy("kind", "term").agg(F.count("*").alias("begun"))
+    found = good.join(begun, ["kind", "term"], "left").filter(f"kind = 'w' OR begun >= {STEM_WORDS}").collect()
+    found = sorted(found, key=lambda r: (-r["strength"], -len(r["term"]), r["term"]))
     kept: list[str] = []
-    for stem in strong(stems):
+    for stem in (r["term"] for r in found if r["kind"] == "s"):
         if not any(stem.startswith(k) or k.startswith(stem) for k in kept):
             kept.append(stem)
-    kept = kept[:TERMS]
-    return [w for w in strong(words) if not w.startswith(tuple(kept))][:TERMS], kept
+    return [r["term"] for r in found if r["kind"] == "w" and not r["term"].startswith(tuple(kept))], kept
+
+
+_TERMS = pa.schema([("kind", pa.string()), ("term", pa.string()), ("toxic", pa.int32()), ("half", pa.int32()), ("words", pa.list_(pa.string()))])
+
+
+def _terms_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each different word ('w') and stem ('s') of each text; a stem of a toxic text also names its words."""
+    for batch in batches:
+        for y, half, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            mine = {plain_form(w) for w in set(_word.findall(text.as_py()))}
+            rows = [("w", w, y, half, None) for w in mine] + [("s", s, y, half, sorted(ws) if y else None) for s, ws in stems_of(mine).items()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _TERMS, strict=True)], schema=_TERMS)
+
+
+def misspelled(word: str, turn: int) -> str:
+    """The word with one letter after its first changed, doubled, dropped or written as a digit, by the number `turn`."""
+    at, how = 1 + turn % (len(word) - 1), turn // 7 % 4
+    letter = word[at]
+    if how == 0 and letter.lower() in _digit:
+        return word[:at] + _digit[letter.lower()] + word[at + 1 :]
+    if how == 1:
+        return word[:at] + letter + word[at:]
+    if how == 2:
+        return word[:at] + word[at + 1 :]
+    return word[:at] + ("q" if letter != "q" else "k") + word[at + 1 :]
+
+
+def rewritten(text: str, terms: dict[str, tuple[str, bool]], stems: frozenset, quote: bool) -> str | None:
+    """A text with every term quoted, or with every word of the lexicon misspelled; None if there is none to misspell."""
+    count = 0
+
+    def one(m: re.Match) -> str:
+        nonlocal count
+        w, hit = m.group(), terms.get(m.group())
+        if hit is None:
+            return w
+        if quote:
+            return f'said "{w}"'
+        if hit[0] in stems or len(w) < FUZZY_LETTERS + 1:
+            return "" if hit[0] in stems else w
+        count += 1
+        return misspelled(w, zlib.crc32(f"{count} {w}".encode()))
+
+    out = _word.sub(one, text)
+    return out if quote or count else None
 
 
 class Scanner:
@@ -264,49 +307,86 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     return w
 
 
-def learn(texts: list[str], toxic: list[int]) -> dict:
-    """Lexicon, the frequent words that are not to be taken for misspellings, and weights."""
-    words, stems = lexicon(texts, toxic)
-    scan, seen = Scanner(words, stems), {}
-    for text, y in zip(texts, toxic, strict=True):
-        if not y:
-            for w in {plain_form(w) for w, hit in scan.terms(set(_word.findall(text))).items() if hit[1]}:
-                seen[w] = seen.get(w, 0) + 1
-    plain = sorted(w for w, k in seen.items() if k >= 2)
-    scan = Scanner(words, stems, plain)
-    x = np.array([scan.counts(t) for t in texts]).reshape(len(texts), SIGNS)
-    w = logistic(x, np.asarray(toxic, dtype=np.float64)) if len(texts) else np.zeros(SIGNS)
-    return {"words": words, "stems": stems, "plain": plain, "weights": w.tolist()}
-
-
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+_SKETCH = pa.schema([("rid", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+_BENT = pa.schema([("word", pa.string())])
+_SIGNS = pa.schema([("toxic", pa.int32()), ("signs", pa.list_(pa.float64()))])
+
+
+def _sketched(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[str, int] = {}
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sketch(t.as_py(), known) for t in batch.column(1)], _SKETCH.field("sketch").type)], schema=_SKETCH)
+
+
+def _bent(words: list[str], stems: list[str]):
+    """For each text the different words that would be taken for misspellings."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = Scanner(words, stems)
+        for batch in batches:
+            found = [w for t in batch.column(0) for w in {plain_form(w) for w, hit in scan.terms(set(_word.findall(t.as_py()))).items() if hit[1]}]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], schema=_BENT)
+
+    return run
+
+
+def _signs(words: list[str], stems: list[str], plain: list[str]):
+    """The signs of each text and, of a toxic one with terms, of its misspelled (toxic) and its quoted form (not toxic)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = Scanner(words, stems, plain)
+        for batch in batches:
+            out: list[tuple[int, list[float]]] = []
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                out.append((y, scan.counts(text).tolist()))
+                terms = scan.terms(set(_word.findall(text))) if y else {}
+                if terms:
+                    bent = rewritten(text, terms, scan.stems, False)
+                    out += [(1, scan.counts(bent).tolist())] if bent else []
+                    out.append((0, scan.counts(rewritten(text, terms, scan.stems, True)).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _SIGNS, strict=True)], schema=_SIGNS) if out else pa.RecordBatch.from_pylist([], schema=_SIGNS)
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> dict:
+    """Lexicon, the words that are not to be taken for misspellings, and weights, from `rows` labelled rows at most.
+
+    Texts stay in the distributed scans; the driver gets the sample's min-hashes, its terms and a row of signs a text.
+    """
     usable = labels.filter(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(~held_out())
     picked = materialise(usable.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id", "toxic").limit(rows), "toxic-rows")
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # `rows` rows at most
-
-    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "text"], kind="stable").head(2 * rows)
-        return pd.DataFrame({k: [v] for k, v in learn(pdf["text"].tolist(), pdf["toxic"].tolist()).items()})
-
-    model = sample.groupBy(F.lit("all")).applyInPandas(fitted, "words array<string>, stems array<string>, plain array<string>, weights array<double>").first()
-    return model.asDict() if model else {"words": [], "stems": [], "plain": [], "weights": [0.0] * SIGNS}
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sample = texts.join(F.broadcast(picked), "doc_id")  # `rows` rows at most
+    sample = materialise(sample.select(F.xxhash64("doc_id", "text").alias("rid"), "toxic", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2).cast("int").alias("half"), "text"), "toxic-sample")
+    told = sorted(sample.select("rid", "text").mapInArrow(_sketched, "rid long, sketch array<long>").collect(), key=lambda r: r["rid"])
+    firsts = [r["rid"] for r, first in zip(told, first_of_kind([tuple(r["sketch"]) for r in told]), strict=True) if first]
+    kept = sample.join(F.broadcast(sample.sparkSession.createDataFrame([(x,) for x in firsts], "rid long")), "rid", "left_semi")  # so are these
+    words, stems = lexicon(kept)
+    bent = sample.filter("toxic = 0").select("text").mapInArrow(_bent(words, stems), "word string")
+    plain = sorted(r["word"] for r in bent.groupBy("word").count().filter("count > 1").collect())
+    learnt = sample.select("toxic", "text").mapInArrow(_signs(words, stems, plain), "toxic int, signs array<double>").collect()
+    learnt = sorted((r["toxic"], tuple(r["signs"])) for r in learnt)  # the same sums whatever the order of tasks
+    weights = logistic(np.array([x for _, x in learnt]).reshape(len(learnt), SIGNS), np.array([y for y, _ in learnt], dtype=np.float64)) if learnt else np.zeros(SIGNS)
+    return {"words": words, "stems": stems, "plain": plain, "weights": weights.tolist()}
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
-def score(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, model: dict | None = None) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from 0.7 up) for each row of docs(doc_id, text, ...).
 
     held_out rows, those whose crc32(doc_id as text) mod 3 is 1, take no part in learning. The score depends on the text alone;
     null counts as empty, and texts without a term get the score of that. A null doc_id is not held out. Without labels every
-    score is 0.5. Repeated rows are scored each; other columns are not read; an empty table gives an empty one.
+    score is 0.5. `model` is a trained one to use instead. Abuse counts when misspelled by one edit; terms in quotation marks, or after a word of report, do not.
+    Repeated rows are scored each; other columns are not read; an empty table gives an empty one.
     """
-    model = train(docs, labels, rows)
+    model = model or train(docs, labels, rows)
     weights = np.array(model["weights"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
