@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from . import exact_dedup, line_dedup, mixing, ngram_join, ordinal_quality, packing, pii, quality_cascade, toxicity, warc
 from .common import read
 
+#: The key of op9's surrogates where spark.fluxweave.surrogateKey is unset: public, so fit for test tables only.
+PUBLIC_KEY = "test tables only"
+
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -46,7 +49,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace(read(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.fluxweave.surrogateKey", None) or PUBLIC_KEY
+    return pii.replace(read(spark, sf_dir, "documents"), key.encode())
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
