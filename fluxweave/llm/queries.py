@@ -83,7 +83,9 @@ ORACLES: dict[str, str] = {
         WITH d AS (
             SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
         ), lines AS (
-            SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup
+            SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup,
+                   count(*) FILTER (WHERE regexp_matches(line, '^[ \t]*[-*•·]')) AS bullets,
+                   count(*) FILTER (WHERE regexp_matches(line, '(\.\.\.|…)[\x20\x09-\x0D]*$')) AS ellipses
             FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
         ), spans AS (
             SELECT doc_id, i, array_to_string(words[i : i + 7], ' ') AS span FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM d)
@@ -92,18 +94,27 @@ ORACLES: dict[str, str] = {
         ), covered AS (
             SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id
         ), tops AS (
-            SELECT doc_id, max(n) AS top, sum(n) FILTER (WHERE w = upper(w) AND w <> lower(w)) AS up
+            SELECT doc_id, max(n) AS top, count(*) AS kinds, sum(n) FILTER (WHERE w = upper(w) AND w <> lower(w)) AS up,
+                   sum(n) FILTER (WHERE regexp_matches(w, '\p{L}')) AS letters
             FROM (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(words) AS w FROM d) GROUP BY doc_id, w) GROUP BY doc_id
+        ), pairs AS (
+            SELECT doc_id, max(n) AS top_pair FROM (
+                SELECT doc_id, a, b, count(*) AS n FROM (SELECT doc_id, unnest(words[:-2]) AS a, unnest(words[2:]) AS b FROM d) GROUP BY ALL
+            ) GROUP BY doc_id
         ), m AS (
             SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
                    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
                    coalesce(l.n_dup, 0)::BIGINT AS n_dup_lines, coalesce(l.n_lines, 0) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
-                   coalesce(top, 0) AS top, coalesce(up, 0) AS up
+                   coalesce(top, 0) AS top, coalesce(up, 0) AS up, coalesce(letters, 0) AS letters, coalesce(kinds, 0) AS kinds,
+                   coalesce(top_pair, 0) AS top_pair, coalesce(bullets, 0) AS bullets, coalesce(ellipses, 0) AS ellipses
             FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN covered c USING (doc_id) LEFT JOIN tops t USING (doc_id)
+            LEFT JOIN pairs p USING (doc_id)
         ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
                NOT base_failed AND 2 * n_words <= word_chars AND word_chars <= 20 * n_words AND 4 * n_symbols <= n_words
-               AND 10 * n_dup_lines <= 6 * n_lines AND 2 * up <= n_words AND 10 * top <= 3 * n_words AS kept
+               AND 10 * n_dup_lines <= 6 * n_lines AND 2 * up <= n_words AND 10 * top <= 3 * n_words
+               AND 10 * bullets <= 9 * n_lines AND 10 * ellipses <= 3 * n_lines AND 10 * letters >= 6 * n_words
+               AND kinds * kinds >= n_words AND 10 * top_pair <= 2 * n_words AS kept
         FROM b""",
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

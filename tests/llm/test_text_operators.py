@@ -215,9 +215,28 @@ def test_verdict_does_not_depend_on_the_order_and_is_cheapest_first(docs_of):
     docs = docs_of([(1, clean, "s"), (2, loud, "s"), (3, marked, "s"), (4, "short", "s"), (5, " ".join(["the"] * 12 + [f"k{i}" for i in range(20)]), "s")])
     kept = {r.doc_id: r.kept for r in quality_cascade.judge(docs).collect()}
     assert kept == {1: True, 2: False, 3: False, 4: False, 5: False}
-    calls = []
-    rules = {"slow": lambda d: sum(range(20_000)) > 0, "sharp": lambda d: calls.append(1) is not None}
-    assert [n for n, _, _ in quality_cascade.plan_order([clean] * 20, rules)][0] == "sharp"
+    rules = {"slow": lambda d: sum(range(20_000)) < 0, "sharp": lambda d: False, "never": lambda d: True}
+    assert [n for n, _, _ in quality_cascade.plan_order([*quality_cascade.measured([clean] * 20, rules)], rules)] == ["sharp", "never", "slow"]
+
+
+def test_selectivity_is_that_of_what_is_left():
+    """b rejects most, a nearly the same documents; c, which rejects fewer but others, goes before a."""
+    rows = [[(1e-4, k >= 40), (1e-4, k >= 50), (1e-4, k < 80)] for k in range(100)]
+    assert [(n, round(s, 2)) for n, _, s in quality_cascade.plan_order(rows, "abc")] == [("b", 0.5), ("c", 0.4), ("a", 0.0)]
+
+
+def test_the_order_changes_what_is_measured():
+    """The planned order looks at fewer features than its reverse and keeps the same documents."""
+    clean = " ".join(f"word{k} text{k}" for k in range(200))
+    texts = [clean.replace(" ", " ## ") if k % 2 else clean for k in range(40)]
+    planned = [n for n, _, _ in quality_cascade.plan_order([*quality_cascade.measured(texts)])]
+    kept, looked = {}, {}
+    for name, order in (("planned", planned), ("reverse", planned[::-1])):
+        docs = [quality_cascade.Doc(t) for t in texts]
+        kept[name] = [all(quality_cascade.RULES[r](d) for r in order) for d in docs]
+        looked[name] = sum("counts" in vars(d) for d in docs)
+    assert planned[0] == "symbols" and kept["planned"] == kept["reverse"] == [True, False] * 20
+    assert looked["planned"] == 20 < looked["reverse"] == 40
 
 
 def test_empty_tables(spark, docs_of):
