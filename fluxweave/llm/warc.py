@@ -25,8 +25,8 @@ from .common import hashed_sample, materialise, scratch_path
 SKIPPABLE = 0x184D2A5D
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: The dictionary is built from so many records at most (those with the smallest hashed page_id), of so many bytes each.
-SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 8_192, 65_536
+#: The dictionary is built from so many whole records at most (those with the smallest hashed page_id), and so many bytes of them.
+SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 32 << 20, 65_536
 LEVEL = 3
 ROLL_BYTES = 1 << 30
 CHUNK = 1 << 17
@@ -171,6 +171,23 @@ def _reader(with_payload: bool):
     return run
 
 
+def sampled_records(rows: DataFrame, n: int = SAMPLE_RECORDS, n_bytes: int = SAMPLE_BYTES) -> list[bytes]:
+    """Whole records, as they are archived, of a bounded sample of rows(page_id, url, payload, first): those with the smallest hashed
+    page_id, n at most, of which one that would take the sum of their payloads past n_bytes is left out. Sizes are looked at first,
+    so that the driver never gets more than that."""
+    sized = hashed_sample(rows.select("page_id", F.octet_length("payload").alias("size")), "page_id", n, F.col("page_id"), F.col("size")).collect()
+    picked, held = [], 0
+    for r in sorted(sized, key=lambda r: (r["h"], r["size"])):
+        if r["page_id"] is not None and held + r["size"] <= n_bytes:
+            held += r["size"]
+            picked.append(f"{r['page_id']}:{r['size']}")
+    if not picked:
+        return []
+    told = F.concat_ws(":", "page_id", F.octet_length("payload"))
+    found = rows.filter(told.isin(picked)).withColumn("told", told).dropDuplicates(["told"]).collect()
+    return [record(r["page_id"], r["url"], bytes(r["payload"]), r["first"]) for r in sorted(found, key=lambda r: (r["page_id"], r["told"]))]
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_bytes: int = 0) -> DataFrame:
     """Writes a record for each row of pages(page_id, url, html, ...) and returns (path, n_records, n_bytes) of the archives.
 
@@ -181,12 +198,11 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_revisit_byte
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    sample = hashed_sample(pages, "page_id", SAMPLE_RECORDS, F.substring(payload, 1, SAMPLE_BYTES).alias("x"))
-    dictionary = train([bytes(r.x) for r in sample.collect()])
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.unhex(F.sha2(payload, 256)).alias("sha"), F.octet_length(payload).alias("n"))
     groups = keyed.filter(F.col("n") >= min_revisit_bytes).groupBy("sha", "n").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1").select("sha", "n", "first")
     groups = materialise(groups, "warc-groups")  # plain on both sides, the join can split a very common payload
     rows = keyed.join(groups, ["sha", "n"], "left").select("page_id", "url", "payload", "first")
+    dictionary = train(sampled_records(rows))
     folder = folder or scratch_path(spark, "warc")
     return materialise(rows.mapInArrow(_writer(folder, dictionary, ROLL_BYTES), "path string, n_records long, n_bytes long"), "warc-list")
 

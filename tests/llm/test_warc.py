@@ -94,3 +94,12 @@ def test_few_samples_give_no_dictionary_and_empty_tables(spark, pages_of):
     assert archives.count() == 0 and warc.read_archives(archives).count() == 0
     small = warc.write_archives(pages_of([(1, "u", "tiny")]))
     assert [bytes(r.payload) for r in warc.read_archives(small).collect()] == [b"tiny"]
+
+
+def test_the_dictionary_is_made_of_whole_archived_records(spark):
+    rows = [(i, f"http://x.org/{i}", bytearray(b"<p>page %d</p>" % i * (1 + i)), 3 if i == 7 else None) for i in range(20)]
+    found = warc.sampled_records(spark.createDataFrame(rows, "page_id long, url string, payload binary, first long"))
+    assert found == [warc.record(i, u, bytes(p), f) for i, u, p, f in rows] and b"WARC-Refers-To" in found[7]
+    few = warc.sampled_records(spark.createDataFrame(rows, "page_id long, url string, payload binary, first long"), n_bytes=300)
+    assert few and sum(len(warc.parse(r)["payload"] or b"") for r in few) <= 300 and set(few) < set(found)
+    assert warc.sampled_records(spark.createDataFrame(rows[:0], "page_id long, url string, payload binary, first long")) == []
