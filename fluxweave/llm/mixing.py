@@ -21,10 +21,9 @@ BUDGET = 1.5
 MAX_REPEAT = 2
 #: Documents of one source and length that are ranked together; larger groups are split by hash.
 RANKED_TOGETHER = 512
-#: The dynamic program covers this many times the longest document.
-WINDOW_LENGTHS = 2
-#: Documents of a short length that are taken back for it at most.
-HANDED_BACK = 16
+#: The dynamic program covers this many times the longest document, and for it so many documents of each short length at most are
+#: taken back. Both bound its memory; it is exact for what is left to it, so all of a source's subsets are not looked at.
+WINDOW_LENGTHS, HANDED_BACK = 2, 16
 
 _PLAN = "source string, size long, n long, base long, extra long, source_size long, target double"
 
@@ -33,7 +32,7 @@ def fill(lengths: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
     """How many documents of each length to take so that the words come as near goal from below as can be.
 
     A proportional share of every length is taken first, then whole documents from the longest down until what is left
-    fits the window; the bounded-knapsack program solves the rest exactly.
+    fits the window; the bounded-knapsack program fills the rest as well as the documents left to it can.
     """
     total = int((lengths * counts).sum())
     if goal >= total:
@@ -116,8 +115,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
     """doc_id, source, size, source_size, target, copies, taken for each row of docs(doc_id, text, source, ...).
 
     size is the number of words (null or empty text: 0); copies says how often the mix holds the document (at most
-    max_repeat) and taken = copies * size. A source's taken words come within a few words of its target: to the nearest
-    whole word wherever some subset of its documents has that sum. Null is a source of its own, the last one. Rows with equal
+    max_repeat) and taken = copies * size. A source's taken words are those of the best subset that the bounded dynamic
+    program finds, at most half a word above its target; usually they are its nearest whole number. Null is a source of its own, the last one. Rows with equal
     doc_id are ranked apart. Other columns are not read. The same rows and seed give the same mix; an empty table gives
     an empty one.
     """
