@@ -1,7 +1,7 @@
 """Jaccard self-join of documents on word n-grams by chosen paths.
 
-Each distinct shingle set is embedded as T min-hash tokens. A run samples tokens at the root and sends a set down every
-sampled (token, value) it has; a bucket that is still too large is split again on tokens sampled for its path, unless its
+Each distinct shingle set is embedded as T min-hash tokens. A run samples a token at the root and sends a set down the
+(token, value) it has; a bucket that is still too large is split again on tokens sampled for its path, unless its
 sets share them anyway. Small buckets are brute-forced, large ones of like sets in blocks. Runs are repeated until a pair at
 the threshold meets with at least the target probability. Every pair that meets is verified on its exact shingle sets, once,
 in the first bucket the two share.
@@ -28,10 +28,10 @@ RECALL = 0.99999
 TOKENS, SMALL, FAN, DEPTH = 64, 256, 2, 3
 #: A split that leaves more than this share of a bucket together is useless: the bucket holds like sets.
 LIKE = 0.5
-#: Sets, and shingles, in a block of a brute-forced bucket.
-BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
+#: Sets, and shingles, in a block of a brute-forced bucket. A task takes pairs of blocks, so the smaller a block, the more even are tasks.
+BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
 #: Sketches of a similar pair agree in a share below SIMILARITY by this many standard deviations at most.
-SLACK = 4.5
+SLACK = 5.0
 #: Words whose hash a task remembers.
 REMEMBERED = 400_000
 
@@ -97,16 +97,29 @@ def embed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_embed, "doc_id long, key binary, n int, sig array<int>")
 
 
-def root_tokens(run: int, similarity: float = SIMILARITY) -> list[int]:
-    """Tokens sampled at the root of a run: each with probability 1 / (similarity * TOKENS), one at least."""
-    drawn = np.random.default_rng(1_000 + run).random(TOKENS)
-    return [int(k) for k in np.flatnonzero(drawn < max(1 / (similarity * TOKENS), np.nextafter(drawn.min(), 1)))]
+def root_order() -> list[int]:
+    """The order in which runs sample tokens at the root: each run takes the next one, so none is taken twice."""
+    return np.random.default_rng(1_000).permutation(TOKENS).tolist()
 
 
-def meets(slots: int, depth: int, similarity: float = SIMILARITY) -> float:
-    """Least probability that a pair at the threshold shares a final bucket."""
-    together = similarity * (1 - (1 - similarity) ** FAN) ** depth
-    return 1 - (1 - together) ** slots
+def meets(slots: int, depth: int, similarity: float = SIMILARITY, least: float = 0.0) -> float:
+    """Probability that a pair at the threshold agrees in `least` tokens and shares a final bucket after `slots` runs.
+
+    Tokens agree independently with probability `similarity`. Given how many do, the root's tokens are a sample without
+    replacement, and each split at `depth` levels keeps a pair together if one of its FAN tokens, hashed for the path, agrees.
+    """
+    total = 0.0
+    for agree in range(math.ceil(least), TOKENS + 1):
+        chance = math.comb(TOKENS, agree) * similarity**agree * (1 - similarity) ** (TOKENS - agree)
+        stays = (1 - (1 - agree / TOKENS) ** FAN) ** depth
+        missed = sum(math.comb(agree, k) * math.comb(TOKENS - agree, slots - k) * (1 - stays) ** k for k in range(slots + 1) if k <= agree and slots - k <= TOKENS - agree) / math.comb(TOKENS, slots)
+        total += chance * (1 - missed)
+    return total
+
+
+def least_agreeing(similarity: float = SIMILARITY) -> float:
+    """Tokens in which the sketches of a pair must agree before it is verified."""
+    return TOKENS * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / TOKENS))
 
 
 def _split(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,13 +136,13 @@ def _split(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def buckets(sets: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """(path, key) of the final buckets with two sets or more."""
-    found, slots, run, who = [], 0, 0, sets
+    found, slots, who, order, least = [], 0, sets, root_order(), least_agreeing(similarity)
     while True:
-        fresh: list[int] = []
-        while meets(slots + len(fresh), 0, similarity) < recall or not fresh:
-            fresh += root_tokens(run, similarity)
-            run += 1
-        paths = F.array(*(F.xxhash64(F.lit(run), F.lit(k), F.get(F.col("sig"), F.lit(k))) for k in sorted(set(fresh))))
+        fresh, deepest = 1, DEPTH if slots else 0  # as many runs at once as the recall takes, then those that splits take
+        while meets(slots + fresh, deepest, similarity, least) < recall and slots + fresh < TOKENS:
+            fresh += 1
+        paths = F.array(*(F.xxhash64(F.lit(k), F.get(F.col("sig"), F.lit(k))) for k in order[slots : slots + fresh]))
+        slots += fresh
         nodes = who.select("key", F.explode(paths).alias("path"))
         sizes = materialise(nodes.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "join-sizes")
         open_ = materialise(nodes.join(sizes, "path"), "join-buckets")
@@ -137,16 +150,16 @@ def buckets(sets: DataFrame, similarity: float = SIMILARITY, recall: float = REC
         live, depth, torn = open_.filter(F.col("size") > SMALL), 0, None
         while not live.isEmpty() and depth < DEPTH:
             like, parts = _split(live, sets)
+            if depth == 0:  # all sets of a bucket that was split, those left alone in its parts too
+                torn = materialise(live.join(like.select("path").distinct(), "path", "left_anti").select("key").distinct(), "join-torn")
             depth += 1
             parts = materialise(parts, "join-parts")
-            torn = parts.select("key") if torn is None else torn
             found += [like, parts.filter(F.col("size") <= SMALL)]
             live = parts.filter(F.col("size") > SMALL)
         found.append(live)
-        slots += len(set(fresh))
-        if torn is None or torn.isEmpty() or meets(slots, DEPTH, similarity) >= recall:
+        if torn is None or torn.isEmpty() or deepest or slots >= TOKENS:
             break
-        who = sets.join(torn.distinct(), "key", "left_semi")
+        who = sets.join(torn, "key", "left_semi")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -293,7 +306,7 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     full = embedded.filter("key IS NOT NULL")
     sets = materialise(full.groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")), "join-classes")
     leaves = materialise(buckets(sets, similarity, recall), "join-leaves")
-    least = TOKENS * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / TOKENS))
+    least = least_agreeing(similarity)
     where = leaves.groupBy("key").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     rich = materialise(where.join(sets, "key").select("key", "paths", "sig", "n", "copies"), "join-members")
     spread = rich.select("*", F.explode("paths").alias("path"))

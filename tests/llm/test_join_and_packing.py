@@ -235,3 +235,20 @@ def test_packing_is_an_exact_round_trip(awkward, docs_of):
 def test_cut():
     assert packing.cut(1) == [(0, 1)] and packing.cut(2048) == [(0, 2048)]
     assert packing.cut(4096) == [(0, 2048), (2048, 2048)] and packing.cut(4100) == [(0, 4), (4, 2048), (2052, 2048)]
+
+
+def test_recall_is_that_of_a_simulation():
+    """meets() against pairs drawn at the threshold; runs take every token once at most."""
+    assert sorted(ngram_join.root_order()) == list(range(ngram_join.TOKENS))
+    rng, least = np.random.default_rng(7), ngram_join.least_agreeing()
+    agree = rng.random((100_000, ngram_join.TOKENS)) < ngram_join.SIMILARITY
+    for slots, depth in ((1, 0), (3, 0), (2, 1), (3, 2)):
+        met = np.zeros(len(agree), dtype=bool)
+        for k in range(slots):
+            stays = agree[:, k].copy()
+            for _ in range(depth):
+                stays &= agree[np.arange(len(agree))[:, None], rng.integers(0, ngram_join.TOKENS, (len(agree), ngram_join.FAN))].any(axis=1)
+            met |= stays
+        met &= agree.sum(axis=1) >= least
+        assert abs(met.mean() - ngram_join.meets(slots, depth, least=least)) < 0.006
+    assert ngram_join.meets(8, 0, least=least) >= ngram_join.RECALL
