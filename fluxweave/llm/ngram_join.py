@@ -28,8 +28,8 @@ RECALL = 0.99999
 TOKENS, SMALL, FAN, DEPTH = 64, 256, 2, 3
 #: A split that leaves more than this share of a bucket together is useless: the bucket holds like sets.
 LIKE = 0.5
-#: Sets, and shingles, in a block of a brute-forced bucket. A task takes pairs of blocks, so the smaller a block, the more even are tasks.
-BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
+#: Sets, and shingles, in a block of a brute-forced bucket. Smaller blocks make more even tasks and more copies of each set.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
 #: Sketches of a similar pair agree in a share below SIMILARITY by this many standard deviations at most.
 SLACK = 5.0
 #: Words whose hash a task remembers.
