@@ -122,11 +122,11 @@ def least_agreeing(similarity: float = SIMILARITY) -> float:
     return TOKENS * (similarity - SLACK * math.sqrt(similarity * (1 - similarity) / TOKENS))
 
 
-def _split(live: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split(live: DataFrame, sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of buckets (path, key, size): those of like sets as they are, and the others' parts (path, key, size)."""
     token = lambda j: F.pmod(F.xxhash64(F.col("path"), F.lit(j)), F.lit(TOKENS)).cast("int")
     kid = lambda j: F.xxhash64(F.col("path"), F.lit(j), F.get(F.col("sig"), token(j)))
-    held = live.join(sets.select("key", "sig"), "key")
+    held = live.join(sigs, "key")
     kids = materialise(held.select("path", "key", "size", F.explode(F.array(*map(kid, range(FAN)))).alias("kid")).distinct(), "join-split")
     sizes = materialise(kids.groupBy("path", "size", "kid").agg(F.count("*").alias("n")), "join-sizes")
     like = materialise(sizes.groupBy("path", "size").agg(F.max("n").alias("most")).filter(F.col("most") > LIKE * F.col("size")).select("path"), "join-like")
@@ -147,19 +147,21 @@ def buckets(sets: DataFrame, similarity: float = SIMILARITY, recall: float = REC
         sizes = materialise(nodes.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "join-sizes")
         open_ = materialise(nodes.join(sizes, "path"), "join-buckets")
         found.append(open_.filter(F.col("size") <= SMALL))
-        live, depth, torn = open_.filter(F.col("size") > SMALL), 0, None
-        while not live.isEmpty() and depth < DEPTH:
-            like, parts = _split(live, sets)
+        live, depth, torn = materialise(open_.filter(F.col("size") > SMALL), "join-live"), 0, None
+        if not live.isEmpty():  # the tokens of the few sets that are looked at again, so that a split doesn't move all of them
+            sigs = materialise(sets.select("key", "sig").join(live.select("key").distinct(), "key", "left_semi"), "join-sigs")
+        while depth < DEPTH and not live.isEmpty():
+            like, parts = _split(live, sigs)
             if depth == 0:  # all sets of a bucket that was split, those left alone in its parts too
                 torn = materialise(live.join(like.select("path").distinct(), "path", "left_anti").select("key").distinct(), "join-torn")
             depth += 1
             parts = materialise(parts, "join-parts")
             found += [like, parts.filter(F.col("size") <= SMALL)]
-            live = parts.filter(F.col("size") > SMALL)
+            live = materialise(parts.filter(F.col("size") > SMALL), "join-live")
         found.append(live)
         if torn is None or torn.isEmpty() or deepest or slots >= TOKENS:
             break
-        who = sets.join(torn, "key", "left_semi")
+        who = materialise(sigs.join(torn, "key", "left_semi"), "join-again")
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -284,8 +286,11 @@ def _verified(least: float, similarity: float):
 
 
 def _blocked(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """members(path, key, ...) dealt to the block pairs (path, i, j) of their bucket, with the side they are on."""
-    held = members.join(sizes, "path").withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    """members(path, key, ...) dealt to the block pairs (path, i, j) of their bucket, with the side they are on.
+
+    sizes(path, blocks) names the buckets of two blocks or more, a few of all; in the others nothing needs to be looked up.
+    """
+    held = members.join(sizes, "path", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("side", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     to = F.transform(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")), lambda x: F.struct(F.least(x, F.col("side")).alias("i"), F.greatest(x, F.col("side")).alias("j")))
     return held.withColumn("to", F.explode(to)).withColumns({"i": F.col("to.i"), "j": F.col("to.j")}).drop("to", "blocks")
 
@@ -310,11 +315,11 @@ def similar(docs: DataFrame, similarity: float = SIMILARITY, recall: float = REC
     where = leaves.groupBy("key").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     rich = materialise(where.join(sets, "key").select("key", "paths", "sig", "n", "copies"), "join-members")
     spread = rich.select("*", F.explode("paths").alias("path"))
-    sizes = materialise(spread.groupBy("path").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks")), "join-blocks")
+    sizes = materialise(spread.groupBy("path").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks")).filter("blocks > 1"), "join-blocks")
     dealt = _blocked(spread.select("path", "key", "sig", "paths"), sizes).select("path", "i", "j", "key", "side", "sig", "paths")
     active = materialise(dealt.repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_sketched(least), "path long, key binary").distinct(), "join-active")
     members = active.join(rich, "key")
-    sizes = materialise(members.groupBy("path").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")), "join-blocks")
+    sizes = materialise(members.groupBy("path").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).filter("blocks > 1"), "join-blocks")
     with_text = _texts(docs, sets, active)
     dealt = _blocked(members.select("path", "key", "sig", "paths", "copies"), sizes).join(with_text, "key").select("path", "i", "j", "key", "side", "sig", "paths", "copies", "text")
     links = materialise(dealt.repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(_verified(least, similarity), "key binary, root binary, links long"), "join-links")
