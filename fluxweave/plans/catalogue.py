@@ -91,14 +91,16 @@ def prune_paths(spark, d):
     return arcs.join(kept.withColumnRenamed("v", "s"), "s", "left_semi").join(kept.withColumnRenamed("v", "t"), "t", "left_semi").select("s", "t")
 
 
-@query(f"""WITH RECURSIVE {V.TRADE}, ends AS (SELECT CAST(n_regionkey AS VARCHAR) AS condition, CAST(min(n_nationkey) AS VARCHAR) AS a, CAST(max(n_nationkey) AS VARCHAR) AS b FROM nation GROUP BY 1),
-    f AS (SELECT condition, a AS v FROM ends UNION SELECT condition, t FROM f JOIN trade ON s = v), b AS (SELECT condition, b AS v FROM ends UNION SELECT condition, s FROM b JOIN trade ON t = v)
+@query(f"""WITH RECURSIVE {V.TRADE}, n AS (SELECT CAST(n_regionkey AS VARCHAR) AS condition, CAST(n_nationkey AS VARCHAR) AS v FROM nation), hubs AS (SELECT t AS v FROM trade GROUP BY t HAVING count(*) > 1),
+    f AS (SELECT condition, v FROM n UNION SELECT condition, t FROM f JOIN trade ON s = v), b AS (SELECT condition, h.v FROM hubs h, (SELECT DISTINCT condition FROM n) UNION SELECT condition, s FROM b JOIN trade ON t = v)
     SELECT condition, v FROM f INTERSECT SELECT condition, v FROM b""")
 def prune_paths_by_condition(spark, d):
-    """Per region, what lies between its first and its last nation; all regions in one loop."""
-    n = V.read(spark, d, "nation").groupBy(F.col("n_regionkey").cast("string").alias("condition")).agg(F.min("n_nationkey").alias("a"), F.max("n_nationkey").alias("b"))
-    pick = lambda c: n.select("condition", F.col(c).cast("string").alias("v"))
-    return T.between(V.trade(spark, d), pick("a"), pick("b"), ("condition",))
+    """Per region, what lies between its nations and the nations that two or more sell to; all regions in one loop."""
+    arcs = V.trade(spark, d)
+    n = V.read(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("condition"), F.col("n_nationkey").cast("string").alias("v"))
+    hubs = arcs.groupBy(F.col("t").alias("v")).agg(F.count("*").alias("n")).filter("n > 1").select("v")
+    every = n.groupBy().agg(F.collect_set("condition").alias("all"))  # a row, of as many as there are regions
+    return T.between(arcs, n, hubs.join(F.broadcast(every)).select(F.explode("all").alias("condition"), "v"), ("condition",))
 
 
 @query(f"WITH {V.HIER} SELECT CAST(layer AS INTEGER) AS layer, count(*) AS n FROM (SELECT DISTINCT v, CASE substr(v, 1, 1) WHEN 'r' THEN 0 WHEN 'n' THEN 1 WHEN 'c' THEN 2 ELSE 3 END AS layer FROM (SELECT s AS v FROM hier UNION SELECT t FROM hier)) GROUP BY layer")
@@ -268,22 +270,7 @@ def heads_and_tails(spark, d):
     return G.heads_and_tails(V.hyper(spark, d)).groupBy("v").agg(F.sum("head").alias("head"), F.sum("tail").alias("tail"))
 
 
-GATES = """sif AS (SELECT 'p' || (l_partkey % 50) AS s, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS interaction, 'AND' || o AS t FROM (SELECT DISTINCT l_partkey % 50 AS l_partkey, min(l_returnflag) AS l_returnflag, l_orderkey % 40 AS o FROM lineitem WHERE l_orderkey < 200 GROUP BY 1, 3)),
-    gates AS (SELECT t AS g, list_sort(list(DISTINCT s) FILTER (WHERE interaction > 0)) AS pos, list_sort(list(DISTINCT s) FILTER (WHERE interaction < 0)) AS neg FROM sif GROUP BY t HAVING count(DISTINCT s) > 1)"""
-
-
-@query(f"WITH {GATES} SELECT product, coalesce(array_to_string(pos, ','), '') AS pos, coalesce(array_to_string(neg, ','), '') AS neg FROM (SELECT DISTINCT pos, neg, 'y' || (CAST(substr(g, 4) AS INTEGER) % 5) AS product FROM gates)")
-def and_gate_compile(spark, d):
-    """AND gates written as vertices, compiled to reactions."""
-    li = V.read(spark, d, "lineitem").filter("l_orderkey < 200")
-    rows = li.groupBy((F.col("l_partkey") % 50).alias("p"), (F.col("l_orderkey") % 40).alias("o")).agg(F.min("l_returnflag").alias("f"))
-    into = rows.select(F.concat(F.lit("p"), "p").alias("s"), F.when(F.col("f") == "R", -1).otherwise(1).alias("interaction"), F.concat(F.lit("AND"), "o").alias("t"))
-    into = into.join(into.groupBy("t").agg(F.countDistinct("s").alias("n")).filter("n > 1").select("t"), "t", "left_semi").select("s", "interaction", "t")
-    out = into.select(F.col("t").alias("s"), F.lit(1).alias("interaction"), F.concat(F.lit("y"), F.substring("t", 4, 9).cast("int") % 5).alias("t")).distinct()
-    return G.dependency_reactions(into.unionByName(out)).select("product", F.array_join("pos", ",").alias("pos"), F.array_join("neg", ",").alias("neg"))
-
-
-GATES_ALL = """sif AS (SELECT l_orderkey AS o, 'p' || l_partkey AS s, CASE WHEN min(l_returnflag) = 'R' THEN -1 ELSE 1 END AS interaction FROM lineitem GROUP BY l_orderkey, l_partkey),
+GATES = """sif AS (SELECT l_orderkey AS o, 'p' || l_partkey AS s, CASE WHEN min(l_returnflag) = 'R' THEN -1 ELSE 1 END AS interaction FROM lineitem GROUP BY l_orderkey, l_partkey),
     gates AS (SELECT o, list_sort(list(s) FILTER (WHERE interaction > 0)) AS pos, list_sort(list(s) FILTER (WHERE interaction < 0)) AS neg FROM sif GROUP BY o HAVING count(*) > 1)"""
 
 
@@ -294,9 +281,9 @@ def _order_gates(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(many, "o", "left_semi").select("o", F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("s"), F.when(F.col("f") == "R", -1).otherwise(1).alias("interaction"))
 
 
-@query(f"WITH {GATES_ALL} SELECT 'y' || o AS product, coalesce(array_to_string(pos, ','), '') AS pos, coalesce(array_to_string(neg, ','), '') AS neg FROM gates")
-def and_gate_compile_all(spark, d):
-    """The same over all line items: one gate an order, its parts as literals."""
+@query(f"WITH {GATES} SELECT 'y' || o AS product, coalesce(array_to_string(pos, ','), '') AS pos, coalesce(array_to_string(neg, ','), '') AS neg FROM gates")
+def and_gate_compile(spark, d):
+    """AND gates written as vertices, one an order with its parts as literals, compiled to reactions."""
     into = _order_gates(spark, d).select("s", "interaction", F.concat(F.lit("AND"), F.col("o").cast("string")).alias("t"))
     out = into.select(F.col("t").alias("s"), F.lit(1).alias("interaction"), F.concat(F.lit("y"), F.substring("t", 4, 20)).alias("t")).distinct()
     return G.dependency_reactions(into.unionByName(out)).select("product", F.array_join("pos", ",").alias("pos"), F.array_join("neg", ",").alias("neg"))
@@ -366,10 +353,10 @@ def validate_bounds(spark, d):
     return Q.bad_bounds(li.withColumns({"lb": F.col("l_tax"), "ub": F.col("l_discount")})).select("l_orderkey", "l_linenumber")
 
 
-@query(f"WITH {V.TRADE} SELECT {EIX} FROM trade WHERE s NOT IN ('1', '2') AND t IN ('1', '2')")
+@query(f"WITH {V.TRADE} SELECT {EIX} FROM trade WHERE s NOT IN ('1', '2')")
 def validate_edge_costs(spark, d):
     e = trade_edges(spark, d)
-    return Q.bad_edge_costs(G.directed_edges(e, vs(spark, "1", "2"), True).select("eix"), G.directed_edges(e, vs(spark, "1", "2"), False))
+    return Q.bad_edge_costs(e.select("eix"), G.directed_edges(e, vs(spark, "1", "2"), False))
 
 
 # --- scores ----------------------------------------------------------------------------------------------------------
@@ -394,9 +381,9 @@ def gpr_scores(spark, d):
     return S.evaluate_rules(RULES, samples).select("sample", "id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT p_type, count(*) AS n FROM (SELECT DISTINCT p_type, unnest(regexp_extract_all(upper(p_type) || ' AND B' || p_size, '[A-Z0-9]+')) AS gene FROM part) WHERE gene NOT IN ('AND', 'OR') GROUP BY p_type")
+@query("SELECT p_type, count(*) AS n FROM (SELECT DISTINCT p_type, unnest(regexp_extract_all(upper(p_type) || ' and b' || p_size || '_1 or X', '[A-Za-z0-9_]+')) AS gene FROM part) WHERE gene NOT IN ('and', 'or') GROUP BY p_type")
 def gene_extract(spark, d):
-    rule = F.concat(F.upper("p_type"), F.lit(" and B"), F.col("p_size").cast("string"))
+    rule = F.concat(F.upper("p_type"), F.lit(" and b"), F.col("p_size").cast("string"), F.lit("_1 or X"))
     return V.read(spark, d, "part").select("p_type", F.explode(S.genes(rule, "symbol_simple")).alias("gene")).distinct().groupBy("p_type").agg(F.count("*").alias("n"))
 
 
@@ -418,7 +405,7 @@ def phospho_scores(spark, d):
     return S.site_scores(li, 0.05, "up", 0.01, ["l_returnflag"]).select("l_orderkey", "l_linenumber", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {V.FEAT}, x AS (SELECT sample, fid, ln(1 + CASE WHEN abs(value) > 20 THEN abs(value) ELSE 0 END) AS m FROM feat), q AS (SELECT fid, quantile_cont(m, 0.95) AS top FROM x WHERE m > 0 GROUP BY fid),
+@query(f"""WITH {V.FEAT}, x AS (SELECT sample, fid, ln(1 + CASE WHEN abs(value) >= 20 THEN abs(value) ELSE 0 END) AS m FROM feat), q AS (SELECT fid, quantile_cont(m, 0.95) AS top FROM x WHERE m > 0 GROUP BY fid),
     c AS (SELECT sample, x.fid, CASE WHEN top IS NULL THEN m ELSE least(m, top) END AS m FROM x LEFT JOIN q USING (fid)) SELECT sample, fid, round(CASE WHEN max(m) OVER w > 0 THEN m / max(m) OVER w ELSE 0 END, 6) AS scaled FROM c WINDOW w AS (PARTITION BY fid)""")
 def scaled_magnitudes(spark, d):
     f = V.feat(spark, d).select("sample", "fid", "value")
@@ -437,17 +424,9 @@ def signed_error(spark, d):
     return li.groupBy("l_returnflag").agg(F.round(F.sum(F.round(e, 6).cast("decimal(18,6)")), 4).cast("double").alias("error"))
 
 
-@query(f"WITH {GATES} SELECT DISTINCT array_to_string(list_concat(coalesce(pos, []), list_transform(coalesce(neg, []), lambda x: 'NOT ' || x)), ' AND ') || ' -> y' AS reaction FROM gates")
+@query(f"WITH {GATES} SELECT array_to_string(list_concat(coalesce(pos, []), list_transform(coalesce(neg, []), lambda x: 'NOT ' || x)), ' AND ') || ' -> y' || o AS reaction FROM gates")
 def reaction_text(spark, d):
-    rows = V.read(spark, d, "lineitem").filter("l_orderkey < 200").groupBy((F.col("l_partkey") % 50).alias("p"), (F.col("l_orderkey") % 40).alias("o")).agg(F.min("l_returnflag").alias("f"))
-    name, bad = F.concat(F.lit("p"), "p"), F.col("f") == "R"
-    gates = rows.groupBy("o").agg(F.collect_set(F.when(~bad, name)).alias("pos"), F.collect_set(F.when(bad, name)).alias("neg")).filter(F.size("pos") + F.size("neg") > 1)
-    return gates.select(S.reaction_text(F.col("pos"), F.col("neg"), F.lit("y")).alias("reaction")).distinct()
-
-
-@query(f"WITH {GATES_ALL} SELECT array_to_string(list_concat(coalesce(pos, []), list_transform(coalesce(neg, []), lambda x: 'NOT ' || x)), ' AND ') || ' -> y' || o AS reaction FROM gates")
-def reaction_text_all(spark, d):
-    """The same over all line items: one reaction an order."""
+    """One reaction an order."""
     literal = lambda sign: F.collect_list(F.when(F.col("interaction") == sign, F.col("s")))
     gates = _order_gates(spark, d).groupBy("o").agg(literal(1).alias("pos"), literal(-1).alias("neg"))
     return gates.select(S.reaction_text(F.col("pos"), F.col("neg"), F.concat(F.lit("y"), F.col("o").cast("string"))).alias("reaction"))
@@ -716,35 +695,17 @@ def condition_results(spark, d):
     return IO.condition_results(pick("obs"), pick("sel"), reactions).select("condition", "error", "n_selected", "n_active")
 
 
-@query("SELECT o_orderkey, len(list(DISTINCT l_partkey)) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 500 GROUP BY 1")
-def stoichiometry_lists(spark, d):
-    return _stoichiometry(V.read(spark, d, "lineitem").filter("l_orderkey < 500"))
-
-
 @query("SELECT o_orderkey, len(list(DISTINCT l_partkey)) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
-def stoichiometry_lists_all(spark, d):
-    """The same over every order."""
-    return _stoichiometry(V.read(spark, d, "lineitem"))
-
-
-def _stoichiometry(li: DataFrame) -> DataFrame:
+def stoichiometry_lists(spark, d):
+    li = V.read(spark, d, "lineitem")
     rows = li.select(F.col("l_orderkey").alias("reaction"), F.col("l_partkey").cast("string").alias("metabolite"), F.lit(-1.0).alias("coef")).distinct()
     return S.stoichiometry(rows).select(F.col("reaction").alias("o_orderkey"), F.size("metabolites").cast("long").alias("n"))
 
 
-@query("SELECT event_id, '{\"a\":\"' || event_type || '\",\"b\":\"' || user_id || '\"}' AS j FROM events WHERE event_id < 500")
+@query("SELECT event_id, '{\"a\":\"' || event_type || '\",\"b\":\"' || user_id || '\"}' AS j FROM events")
 def canonical_maps(spark, d):
     """Maps in any order give the same JSON."""
-    return _canonical_maps(V.read(spark, d, "events").filter("event_id < 500"))
-
-
-@query("SELECT event_id, '{\"a\":\"' || event_type || '\",\"b\":\"' || user_id || '\"}' AS j FROM events")
-def canonical_maps_all(spark, d):
-    """The same over every event."""
-    return _canonical_maps(V.read(spark, d, "events"))
-
-
-def _canonical_maps(e: DataFrame) -> DataFrame:
+    e = V.read(spark, d, "events")
     m = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("b"), F.col("user_id").cast("string"), F.lit("a"), F.col("event_type"))).otherwise(F.create_map(F.lit("a"), F.col("event_type"), F.lit("b"), F.col("user_id").cast("string")))
     return e.select("event_id", S.canonical_json(m).alias("j"))
 

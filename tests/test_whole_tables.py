@@ -13,7 +13,7 @@ def run(spark, name):
 
 
 def test_every_order_has_its_list(spark):
-    found = {r.o_orderkey: r.n for r in run(spark, "stoichiometry_lists_all").collect()}
+    found = {r.o_orderkey: r.n for r in run(spark, "stoichiometry_lists").collect()}
     want = {}
     for r in V.read(spark, SF, "lineitem").select("l_orderkey", "l_partkey").collect():
         want.setdefault(r.l_orderkey, set()).add(r.l_partkey)
@@ -22,7 +22,7 @@ def test_every_order_has_its_list(spark):
 
 
 def test_every_event_has_its_map(spark):
-    found = sorted((r.event_id, r.j) for r in run(spark, "canonical_maps_all").collect())
+    found = sorted((r.event_id, r.j) for r in run(spark, "canonical_maps").collect())
     want = sorted((r.event_id, f'{{"a":"{r.event_type}","b":"{r.user_id}"}}') for r in V.read(spark, SF, "events").collect())
     assert want[-1][0] >= 500
     assert found == want
@@ -36,14 +36,14 @@ def signs_by_order(spark):
 
 
 def test_every_order_is_a_gate(spark):
-    found = {r.product: (r.pos, r.neg) for r in run(spark, "and_gate_compile_all").collect()}
+    found = {r.product: (r.pos, r.neg) for r in run(spark, "and_gate_compile").collect()}
     want = {f"y{o}": tuple(",".join(sorted(p for p, up in parts.items() if up == sign)) for sign in (True, False)) for o, parts in signs_by_order(spark).items()}
     assert len(want) > 40
     assert found == want
 
 
 def test_every_order_is_a_reaction(spark):
-    found = sorted(r.reaction for r in run(spark, "reaction_text_all").collect())
+    found = sorted(r.reaction for r in run(spark, "reaction_text").collect())
     want = sorted(" AND ".join([*sorted(p for p, up in parts.items() if up), *(f"NOT {p}" for p in sorted(p for p, up in parts.items() if not up))]) + f" -> y{o}" for o, parts in signs_by_order(spark).items())
     assert len(want) > 40
     assert found == want
