@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 
 #: Gene id patterns.
 GENE_PATTERNS = {
-    "symbol_simple": r"\b(?!(?:and|or)\b)[A-Z0-9]+\b",
-    "symbol_extended": r"\b(?!(?:and|or|AND|OR)\b)[A-Za-z][A-Za-z0-9-]*\b",
     "ecoli_bnumber": r"\bb\d{4}\b",
-    "uniprot_acc": r"\b(?:[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9](?:[A-Z][A-Z0-9]{2}[0-9]){1,2})\b",
+    "symbol_simple": r"\b(?!and\b|or\b)[A-Za-z0-9_]+\b",
+    "symbol_extended": r"\b(?!and\b|or\b)[A-Za-z0-9_.:-]+\b",
+    "uniprot_acc": r"\b(?:[OPQ][0-9][A-Z0-9]{3}[0-9]|[A-NR-Z][0-9][A-Z0-9]{3}[0-9])\b",
 }
 
 
-def genes(rule: Column, pattern: str = r"\b(?!(?:and|or)\b)\w+\b") -> Column:
-    """The distinct genes of a rule, by preset name or pattern."""
+def genes(rule: Column, pattern: str = "symbol_simple") -> Column:
+    """The distinct genes of a rule, by preset name or pattern. `and` and `or` in lower case are no genes."""
     return F.array_distinct(F.regexp_extract_all(rule, F.lit(GENE_PATTERNS.get(pattern, pattern)), F.lit(0)))
 
 
@@ -87,14 +87,30 @@ def evaluate_rules(rules: list[tuple[str, str]], samples: DataFrame, values: str
     return samples.select("sample", F.explode(F.array(*scored)).alias("x")).select("sample", "x.id", "x.score")
 
 
+def unique_genes(rules: DataFrame, rule: str, pattern: str = "symbol_simple") -> DataFrame:
+    """(gene): every gene of any rule of a table, once. Null rules have none."""
+    return rules.select(F.explode(genes(F.col(rule), pattern)).alias("gene")).distinct()
+
+
+def with_group(rows: DataFrame, by: list[str], **values: Column) -> DataFrame:
+    """Adds aggregates of each row's group. They are partial sums before any shuffle, so a group of any size is no hot task; null is
+    a group too."""
+    held = rows.groupBy(*(F.col(c).alias(f"__by{n}") for n, c in enumerate(by))).agg(*(v.alias(name) for name, v in values.items()))
+    on = [rows[c].eqNullSafe(held[f"__by{n}"]) for n, c in enumerate(by)]
+    same = on[0]
+    for x in on[1:]:
+        same = same & x
+    return rows.join(held, same).drop(*(f"__by{n}" for n in range(len(by))))
+
+
 def discretise(score: Column, low: float, high: float) -> Column:
     """+1 from high up, -1 from low down, else null."""
     return F.when(score >= high, 1).when(score <= low, -1)
 
 
 def rescaled(weight: Column, by: list[str], total: float = 100.0) -> Column:
-    """Weights scaled so that their sizes sum to `total` in each group."""
-    return weight / F.sum(F.abs(weight)).over(Window.partitionBy(*by)) * total
+    """Weights scaled so that their sizes sum to `total` in each group; those of a group of zeros stay zero."""
+    return F.coalesce(weight / F.nullif(F.sum(F.abs(weight)).over(Window.partitionBy(*by)), F.lit(0.0)) * total, weight)
 
 
 def site_scores(rows: DataFrame, threshold: float = 0.05, change: str = "both", fold_threshold: float = 0.0, by: list[str] | None = None) -> DataFrame:
@@ -109,23 +125,23 @@ def site_scores(rows: DataFrame, threshold: float = 0.05, change: str = "both",
     raw = rows.withColumn("score", F.when(supported, -size).otherwise(size))
     if by is None:
         return raw
-    w = Window.partitionBy(*by)
-    most = lambda sign: F.max(F.when(F.col("score") * sign > 0, F.abs("score"))).over(w)
-    return raw.withColumn("score", F.when(F.col("score") < 0, F.col("score") / most(-1)).when(F.col("score") > 0, F.col("score") / most(1)).otherwise(F.col("score")))
-
-
-def scaled_magnitude(rows: DataFrame, value: str, by: list[str], how: str | None = "log", threshold: float = 0.0, clip: float = 0.0) -> DataFrame:
-    """Adds `scaled`: sizes, small ones set to 0, log1p or divided by the population deviation, clipped at the (1 - clip)
-    quantile of the non-zero ones, divided by the largest; per group."""
-    w = Window.partitionBy(*by)
-    size = F.when(F.abs(value) > threshold, F.abs(value)).otherwise(0.0)
-    x = rows.withColumn("scaled", size)
-    x = x.withColumn("scaled", F.log1p("scaled")) if how == "log" else x.withColumn("scaled", F.col("scaled") / F.stddev_pop("scaled").over(w)) if how == "std" else x
-    if clip:
-        top = x.filter("scaled > 0").groupBy(*by).agg(F.percentile("scaled", F.lit(1 - clip)).alias("__top"))
-        x = x.join(top, by, "left").withColumn("scaled", F.when(F.col("__top").isNull(), F.col("scaled")).otherwise(F.least("scaled", "__top"))).drop("__top")
-    most = F.max("scaled").over(w)
-    return x.withColumn("scaled", F.when(most > 0, F.col("scaled") / most).otherwise(0.0))
+    held = with_group(raw, by, __low=F.min("score"), __high=F.max("score"))
+    scaled = F.when(F.col("score") < 0, -F.col("score") / F.col("__low")).when(F.col("score") > 0, F.col("score") / F.col("__high")).otherwise(F.col("score"))
+    return held.withColumn("score", scaled).drop("__low", "__high")
+
+
+def scaled_magnitude(rows: DataFrame, value: str, by: list[str], how: str | None = "log", threshold: float = 1e-6, clip: float = 0.0) -> DataFrame:
+    """Adds `scaled`: sizes, those below the threshold set to 0, log1p or divided by the population deviation (unless that is 0),
+    clipped at the (1 - clip) quantile of the non-zero ones, divided by the largest; per group."""
+    x = rows.withColumn("scaled", F.when(F.abs(value) >= threshold, F.abs(value)).otherwise(0.0))
+    if how == "log":
+        x = x.withColumn("scaled", F.log1p("scaled"))
+    elif how == "std":
+        x = with_group(x, by, __dev=F.stddev_pop("scaled")).withColumn("scaled", F.coalesce(F.col("scaled") / F.nullif(F.col("__dev"), F.lit(0.0)), "scaled")).drop("__dev")
+    some = F.when(F.col("scaled") > 0, F.col("scaled"))
+    x = with_group(x, by, __top=F.percentile(some, F.lit(1 - clip)) if clip else F.max("scaled"))
+    # the largest after clipping is the quantile itself
+    return x.withColumn("scaled", F.when(F.col("__top") > 0, F.least("scaled", "__top") / F.col("__top")).otherwise(0.0)).drop("__top")
 
 
 def clipped(rows: DataFrame, value: str, by: list[str], q: float) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..model import NetGraph, ends
 from .graph import edge_subgraph, incidence
 
+#: Parts in which the first few items of a category are looked for.
+PARTS = 256
+
 
 def solved_subgraph(g: NetGraph, solution: DataFrame, tolerance: float = 1e-6) -> NetGraph:
     """The edges whose solved value(eix, value) isn't zero, and their ends."""
@@ -34,7 +37,7 @@ def plot_model(g: NetGraph) -> tuple[DataFrame, DataFrame]:
 
 def edge_styles(values: DataFrame, positive: str = "red", negative: str = "blue", neutral: str = "gray", widest: float = 5.0) -> DataFrame:
     """(eix, colour, width) from (eix, value): colour by sign, width by size against the largest."""
-    most = F.max(F.abs("value")).over(Window.partitionBy())
+    most = F.lit(values.agg(F.max(F.abs("value"))).first()[0])  # one number
     return values.select("eix", F.when(F.col("value") > 0, positive).when(F.col("value") < 0, negative).otherwise(neutral).alias("colour"), F.when(most > 0, 0.5 + (widest - 0.5) * F.abs("value") / most).otherwise(0.5).alias("width"))
 
 
@@ -55,8 +58,11 @@ def usage_categories(active: DataFrame, n_conditions: int, shown: int = 6) -> Da
     """(category, active_in, size, first): items by the number of conditions(item, condition) that use them."""
     uses = active.groupBy("item").agg(F.countDistinct("condition").alias("active_in"))
     kind = F.when(F.col("active_in") == n_conditions, "shared core").when(F.col("active_in") > 1, "partially shared").otherwise("context-specific")
-    ranked = uses.withColumn("category", kind).withColumn("r", F.row_number().over(Window.partitionBy("active_in").orderBy("item")))
-    return ranked.groupBy("category", "active_in").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("r") <= shown, F.col("item")))), ",").alias("first"))
+    few = Window.partitionBy("active_in", "part").orderBy("item")
+    parts = uses.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(PARTS))).withColumn("r", F.row_number().over(few))
+    first = parts.filter(F.col("r") <= shown).groupBy("active_in").agg(F.slice(F.array_sort(F.collect_list("item")), 1, shown).alias("first"))  # of PARTS * shown items
+    sizes = uses.withColumn("category", kind).groupBy("category", "active_in").agg(F.count("*").alias("size"))
+    return sizes.join(first, "active_in").select("category", "active_in", "size", F.array_join("first", ",").alias("first"))
 
 
 def top_by_size(rows: DataFrame, by: list[str], value: str, n: int, tie: str) -> DataFrame:

@@ -74,7 +74,7 @@ def test_site_scores(spark):
     assert [round(r.score, 9) for r in S.site_scores(rows).collect()] == [round(x, 9) for x in (-math.log2(10), 0.0, math.log2(10))]
     up = S.site_scores(rows.withColumn("p", F.lit(0.005)), change="up", fold_threshold=1.0).collect()
     assert [r.score < 0 for r in up] == [True, False, False]
-    assert [r.score for r in S.site_scores(rows, by=["condition"]).collect()] == [-1.0, 0.0, 1.0]
+    assert [r.score for r in S.site_scores(rows, by=["condition"]).orderBy("p").collect()] == [-1.0, 0.0, 1.0]
 
 
 def test_small_functions(spark):
@@ -91,3 +91,21 @@ def test_small_functions(spark):
     assert {r.v: r.clipped for r in S.clipped(rows, "v", ["k"], 0.25).collect()} == {-4.0: -1.0, 0.0: 0.0, 1.0: 1.0, 2.0: 1.25}
     met = spark.createDataFrame([("r", "b", 1.0), ("r", "a", -1.0)], "reaction string, metabolite string, coef double")
     assert [tuple(x) for x in S.stoichiometry(met).first().metabolites] == [("a", -1.0), ("b", 1.0)]
+
+
+def test_gene_presets(spark):
+    rules = spark.createDataFrame([("mtor_1 and (AKT1 or 7x) and HLA.A:b-2",), ("P12345 or A1B2C3 or Q9",), (None,)], "r string")
+    of = lambda preset: [r[0] for r in rules.select(S.genes(F.col("r"), preset)).collect()]
+    assert of("symbol_simple")[0] == ["mtor_1", "AKT1", "7x", "HLA", "A", "b", "2"]
+    assert of("symbol_extended")[0] == ["mtor_1", "AKT1", "7x", "HLA.A:b-2"]
+    assert of("uniprot_acc") == [[], ["P12345", "A1B2C3"], None]
+    assert {r.gene for r in S.unique_genes(rules, "r", "uniprot_acc").collect()} == {"P12345", "A1B2C3"}
+
+
+def test_scaling_of_bounds_zeros_and_null_groups(spark):
+    rows = spark.createDataFrame([("a", 2.0), ("a", 1.0), ("b", 0.0), ("b", 0.0), (None, 4.0), (None, 4.0)], "k string, v double")
+    at = lambda how: sorted((r.k or "", r.v, round(r.scaled, 6)) for r in S.scaled_magnitude(rows, "v", ["k"], how, 1.0).collect())
+    assert at(None) == [("", 4.0, 1.0), ("", 4.0, 1.0), ("a", 1.0, 0.5), ("a", 2.0, 1.0), ("b", 0.0, 0.0), ("b", 0.0, 0.0)]
+    assert at("std") == at(None)
+    scaled = sorted((r.k or "", r.w) for r in rows.select("k", S.rescaled(F.col("v"), ["k"]).alias("w")).collect())
+    assert scaled[-2:] == [("b", 0.0), ("b", 0.0)] and scaled[:2] == [("", 50.0), ("", 50.0)]
