@@ -10,29 +10,41 @@ from ..storage import cut
 from . import graph as G
 
 MAX_ROUNDS = 10_000
+#: What is known is one table again after so many rounds, so that a round reads a few tables and not one for each before it.
+FOLD = 8
 
 
-def _oriented(arcs: DataFrame, reverse: bool, undirected: bool) -> DataFrame:
+def bfs(arcs: DataFrame, starts: DataFrame, reverse: bool = False, undirected: bool = False, keys: tuple[str, ...] = (), max_rounds: int = MAX_ROUNDS, touching: DataFrame | None = None) -> DataFrame:
+    """(*keys, v, dist): least number of hops from the starts(*keys, v), each key for itself, all keys in one loop.
+
+    Undirected hops go over neighbours: from a vertex to all others of an edge that touches it, those on its own side too.
+    touching(eix, v) says which vertices an edge touches; without it, the arcs with the same eix are one edge (without eix, each
+    arc). Vertices left after max_rounds hops are an error.
+    """
     if reverse and undirected:
         raise ValueError("reverse and undirected exclude each other")
-    flipped = arcs.select(F.col("t").alias("s"), F.col("s").alias("t"))
-    forward = arcs.select("s", "t")
-    return (flipped if reverse else forward.unionByName(flipped) if undirected else forward).distinct()
-
-
-def bfs(arcs: DataFrame, starts: DataFrame, reverse: bool = False, undirected: bool = False, keys: tuple[str, ...] = (), max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(*keys, v, dist): least number of hops from the starts(*keys, v), each key for itself, all keys in one loop."""
     known = [*keys, "v"]
-    step = cut(_oriented(arcs, reverse, undirected), "arcs")
+    if undirected:
+        if touching is None:
+            edge = F.col("eix") if "eix" in arcs.columns else F.struct("s", "t")
+            touching = arcs.select(edge.alias("eix"), F.explode(F.array("s", "t")).alias("v"))
+        step = cut(touching.select("eix", "v").distinct(), "arcs")
+    else:
+        step = cut((arcs.select(F.col("t").alias("s"), F.col("s").alias("t")) if reverse else arcs.select("s", "t")).distinct(), "arcs")
     layer = cut(starts.select(*known).distinct().withColumn("dist", F.lit(0)), "bfs")
     seen = layer
-    for hop in range(1, max_rounds + 1):
-        reached = layer.select(*keys, F.col("v").alias("s")).join(step, "s").select(*keys, F.col("t").alias("v")).distinct()
+    for hop in range(1, max_rounds + 2):
+        if undirected:
+            reached = layer.select(*known).join(step, "v").select(*keys, "eix").distinct().join(step, "eix").select(*known).distinct()
+        else:
+            reached = layer.select(*keys, F.col("v").alias("s")).join(step, "s").select(*keys, F.col("t").alias("v")).distinct()
         layer = cut(reached.join(seen.select(*known), known, "left_anti").withColumn("dist", F.lit(hop)), "bfs")
         if layer.isEmpty():
             return seen
         seen = seen.unionByName(layer)
-    return seen
+        if hop % FOLD == 0:
+            seen = cut(seen, "bfs-seen")
+    raise RuntimeError(f"more is reached after {max_rounds} rounds")
 
 
 def between(arcs: DataFrame, sources: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -87,7 +99,8 @@ def topological_layers(arcs: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def reaching_edges(edges: DataFrame, inputs: DataFrame, outputs: DataFrame | None = None, whitelist: DataFrame | None = None, early_stop: bool = False, expand_outputs: bool = True) -> DataFrame:
-    """(eix, layer) of the edges that first reach a new vertex in a forward sweep, parallel ones all."""
+    """(eix, layer) of the edges that first reach a new vertex in a forward sweep, parallel ones all. A hyperedge reaches every one
+    of its targets."""
     pairs = G.arcs(edges)
     pairs = cut((pairs if whitelist is None else pairs.join(whitelist.select("eix"), "eix", "left_semi")).select("eix", "s", "t"), "reach-arcs")
     seen = front = cut(inputs.select("v").distinct(), "reach")
@@ -102,6 +115,7 @@ def reaching_edges(edges: DataFrame, inputs: DataFrame, outputs: DataFrame | Non
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        seen = cut(seen, "reach-seen") if layer % FOLD == 0 else seen
         if early_stop and outputs is not None and outputs.select("v").join(seen, "v", "left_anti").isEmpty():
             break
     return found.groupBy("eix").agg(F.min("layer").alias("layer"))
@@ -119,14 +133,14 @@ def shortest_paths(arcs: DataFrame, starts: DataFrame, keys: tuple[str, ...] = (
         raise ValueError("a negative weight")
     best = cut(starts.select(*known).distinct().withColumns({"dist": F.lit(0.0), "hops": F.lit(0), "via": F.lit(None).cast("long")}), "path")
     front = best
-    for _ in range(max_rounds):
+    for _ in range(max_rounds + 1):
         offer = front.withColumnRenamed("v", "s").join(step, "s").groupBy(*keys, F.col("t").alias("v")).agg(F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), (F.col("hops") + 1).alias("hops"), F.col("eix").alias("via"))).alias("new"))
         better = offer.join(best.select(*known, F.struct("dist", "hops").alias("old")), known, "left").filter(F.col("old").isNull() | (F.struct("new.dist", "new.hops") < F.col("old")))
         front = cut(better.select(*known, "new.dist", "new.hops", "new.via"), "path")
         if front.isEmpty():
             return best
         best = cut(best.join(front, known, "left_anti").unionByName(front), "path")
-    return best
+    raise RuntimeError(f"distances still fall after {max_rounds} rounds")
 
 
 def path_edges(paths: DataFrame, arcs: DataFrame, targets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -215,3 +215,19 @@ def test_random_graphs(spark):
     assert a.collect() == preferential(spark, 40, 2, seed=3).collect() and a.count() == 1 + 2 * 38
     b = duplication(spark, 30, 0.4, seed=5).collect()
     assert len({r.t for r in b} | {r.s for r in b}) == 30 and json.dumps(len(b))
+
+
+def test_undirected_hops_go_over_neighbours(spark):
+    """{1, 2} -> 3: from 1, both 2 and 3 are one hop away."""
+    e = literal_edges(spark, [((1, 2), (3,)), ((3,), (4,))])
+    for touching in (None, G.incidence(e)):
+        found = T.bfs(G.arcs(e), vs(spark, 1), undirected=True, touching=touching)
+        assert {r.v: r.dist for r in found.collect()} == {"1": 0, "2": 1, "3": 1, "4": 2}
+
+
+def test_a_traversal_that_is_cut_short_is_an_error(spark):
+    chain = spark.createDataFrame([(k, str(k), str(k + 1), 1.0) for k in range(12)], "eix long, s string, t string, weight double")
+    assert T.bfs(chain, vs(spark, 0), max_rounds=12).count() == 13 == T.shortest_paths(chain, vs(spark, 0), max_rounds=12).count()
+    for search in (T.bfs, T.shortest_paths):
+        with pytest.raises(RuntimeError):
+            search(chain, vs(spark, 0), max_rounds=3)
