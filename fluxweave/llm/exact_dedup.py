@@ -189,7 +189,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_dedup() keeps, whole and with all their columns."""
+    """The rows of docs that exact_dedup() keeps, whole and with all their columns, whatever their names.
+
+    Null and empty texts are one group, in which a row of either kind stays. Of rows that tie on the largest doc_id one stays. An
+    empty table gives an empty one.
+    """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     groups = live_groups(digests(docs))
     multi = groups.filter("group_size > 1").select("sha", "keep_id", "n_keep")

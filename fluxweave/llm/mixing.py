@@ -140,7 +140,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
 
 
 def take_mix(docs: DataFrame, **how) -> DataFrame:
-    """The mixed corpus: each row of docs as often as mix() takes it, with all its columns."""
+    """The mixed corpus: each row of docs as often as mix() takes it, with all its columns, whatever their names.
+
+    Rows without a word (null and empty texts too) count as size 0 and are taken once. Of rows equal in doc_id, source and size, those
+    whose text hashes low stand for the ones taken least. An empty table gives an empty one.
+    """
     judged = materialise(mix(docs, **how).select("doc_id", "source", "size", "copies"), "mix-copies")
     keys = ["doc_id", "source", "size"]
     keyed = docs.select(row_of(docs), "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"))

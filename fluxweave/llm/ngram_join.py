@@ -355,7 +355,11 @@ def _with_key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_near_copies(docs: DataFrame, **how) -> DataFrame:
-    """One row of docs for each class of similar(), whole: the one with the smallest doc_id."""
+    """One row of docs for each class of similar(), whole and with all its columns: the one with the smallest doc_id.
+
+    Texts without a word (null and empty ones too) are classes of their own and stay. Rows that share a doc_id are told apart by
+    their text only where two or more of them are to stay; equal ones then stay as one. A null doc_id stays only where all of its class are null. An empty table gives an empty one.
+    """
     judged = similar(docs, **how)
     stays = judged.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "set_key", "rep_id")
     stays = materialise(stays, "join-stays")

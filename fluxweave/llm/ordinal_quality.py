@@ -185,7 +185,11 @@ def classify(docs: DataFrame, labels: DataFrame, select: float = SELECT) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, select: float = SELECT) -> DataFrame:
-    """The rows of docs that classify() keeps, whole and with all their columns."""
+    """The rows of docs that classify() keeps, whole and with all their columns, whatever their names.
+
+    Null and empty texts are judged as texts without a word; repeated rows stay or go together; without labels p_good is the prior's
+    and all rows stay or go; an empty table gives an empty one.
+    """
     w, theta = train(docs, labels)
     schema = docs.schema
     at = docs.columns.index("text")
