@@ -615,7 +615,7 @@ def fba_lp(spark, d):
 @query()
 def carnival_small(spark, d):
     """Signals from region 0 to two measured regions over the region network, signs by parity; a program, so no SQL."""
-    arcs = V.region_trade(spark, d).withColumn("interaction", F.when(F.col("weight") % 2 == 0, 1).otherwise(-1)).filter((F.col("s").cast("int") + F.col("t").cast("int")) % 2 == 1)
+    arcs = V.region_trade(spark, d).withColumn("interaction", F.when(F.col("weight") % 2 == 0, 1).otherwise(-1))
     g = NetGraph.of_arcs(arcs, order=["s", "t"])
     rows = [("c", "0", "input", 1.0), ("c", "1", "output", 1.0), ("c", "3", "output", -1.0)]
     p, _ = C.carnival(g, spark.createDataFrame(rows, "condition string, v string, role string, value double"), 1e-3)
@@ -626,7 +626,7 @@ def carnival_small(spark, d):
 @query()
 def phonemes_small(spark, d):
     """Scored regions explained from region 0; a program, so no SQL."""
-    arcs = V.region_trade(spark, d).filter((F.col("s").cast("int") < F.col("t").cast("int")))
+    arcs = V.region_trade(spark, d)
     g = NetGraph.of_arcs(arcs, order=["s", "t"])
     score = spark.createDataFrame([("c", "2", 1.0), ("c", "3", -2.0), ("c", "4", -1.0)], "condition string, v string, score double")
     p, _ = C.phonemes(g, spark.createDataFrame([("c", "0")], "condition string, v string"), score, 1e-2)

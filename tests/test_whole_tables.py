@@ -47,3 +47,15 @@ def test_every_order_is_a_reaction(spark):
     want = sorted(" AND ".join([*sorted(p for p, up in parts.items() if up), *(f"NOT {p}" for p in sorted(p for p, up in parts.items() if not up))]) + f" -> y{o}" for o, parts in signs_by_order(spark).items())
     assert len(want) > 40
     assert found == want
+
+
+def test_programs_over_the_whole_region_network(spark):
+    """All 20 arcs. Scores of -2 and -1 one arc each from the start give -3 at best; two outputs, two arcs at least and the input's own."""
+    arcs = V.region_trade(spark, SF).collect()
+    sign = {(r.s, r.t): 1 if r.weight % 2 == 0 else -1 for r in arcs}
+    assert len(sign) == 20
+    assert {r["name"]: r["value"] for r in run(spark, "phonemes_small").collect()} == {"score": -3.0, "edges": 2.0}
+    two = [(a, b) for a in sign for b in sign if a[0] == "0" and b[0] in ("0", a[1]) and a != b]
+    ends = lambda a, b: {a[1]: sign[a], b[1]: sign[b] * (1 if b[0] == "0" else sign[a])}
+    assert any(ends(a, b) == {"1": 1, "3": -1} for a, b in two)
+    assert {r["name"]: r["value"] for r in run(spark, "carnival_small").collect()} == {"error": 0.0, "edges": 3.0}
