@@ -166,6 +166,61 @@ def live_groups(dig: DataFrame) -> DataFrame:
     return materialise(local.repartition(shards, "sha").mapInArrow(_index(None), _GROUP_DDL), "dedup-live")
 
 
+_LIVE = pa.schema([("sha", pa.binary()), ("n_bytes", pa.int64()), ("copies", pa.int64())])
+_LIVE_DDL = "sha binary, n_bytes long, copies long"
+
+
+def _updated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's index, filled from its stored keys, then changed: the live digests it ends with."""
+    live = CuckooIndex()
+    for batch in batches:
+        for sha, n_bytes, copies in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            key = sha + n_bytes.to_bytes(8, "little")
+            slot = live.find(key)
+            if slot < 0:
+                live.insert(key, copies)
+            else:
+                live.values[slot] += copies
+                if live.values[slot] == 0:
+                    live.delete(key)
+    left = list(live.items())
+    if any(n < 0 for _, n in left):
+        raise ValueError("a text that is not live can't be deleted")
+    for at in range(0, len(left), 10_000):
+        part = left[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array([k[:32] for k, _ in part], pa.binary()), pa.array([int.from_bytes(k[32:], "little") for k, _ in part], pa.int64()), pa.array([n for _, n in part], pa.int64())], schema=_LIVE)
+
+
+def updated_index(live: DataFrame | None, inserted: DataFrame | None = None, deleted: DataFrame | None = None) -> DataFrame:
+    """(sha, n_bytes, copies): the index of live digests after documents have come and gone; written as a table, a version of its own.
+
+    live is an earlier version (none: an empty index), inserted and deleted are tables with doc_id and text. A digest goes when its
+    last copy does. Insertions of a run count before its deletions; to delete a text that is not live is an error. Null counts as
+    empty text. Copies are folded before the shuffle, so a text of any number of copies is a row for each partition.
+    """
+    rows = []
+    for docs, sign in ((inserted, 1), (deleted, -1)):
+        if docs is not None:
+            one = digests(docs).select("sha", "n_bytes", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n_keep"), F.lit(1).cast("long").alias("group_size"))
+            rows.append(one.mapInArrow(_index(LOCAL_CAPACITY), _GROUP_DDL).select("sha", "n_bytes", (F.col("group_size") * sign).alias("copies")))
+    changes = [*([live.select("sha", "n_bytes", "copies")] if live is not None else []), *rows]
+    if not changes:
+        raise ValueError("neither an index nor documents")
+    every = changes[0]
+    for more in changes[1:]:
+        every = every.unionByName(more)
+    every = materialise(every, "index-changes")
+    shards = max(shuffle_partitions(every.sparkSession), -(-every.count() // SHARD_ROWS))
+    # a digest's positive counts first, so that it is not taken out in between
+    dealt = every.repartition(shards, "sha").sortWithinPartitions(F.col("copies").desc())
+    return materialise(dealt.mapInArrow(_updated, _LIVE_DDL), "index-live")
+
+
+def live_copies(live: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, copies (0: none) of the texts in an index that equal each row's of docs(doc_id, text, ...)."""
+    return digests(docs).join(live, ["sha", "n_bytes"], "left").select("doc_id", F.coalesce("copies", F.lit(0)).alias("copies"))
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs(doc_id, text, ...).
 

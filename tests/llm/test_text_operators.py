@@ -186,6 +186,24 @@ def test_mix_of_awkward_rows_and_its_rows(awkward):
     assert sum(len(WORD.findall(r.text or "")) for r in taken.collect()) == sum(r.taken for r in judged)
 
 
+def test_an_index_of_live_digests_is_kept_between_runs(docs_of):
+    rng, live, index = random.Random(13), Counter(), None
+    for step in range(4):
+        new = [(i, rng.choice([None, "", *(f"text {k}" for k in range(40))]), "s") for i in range(60)]
+        live.update(t or "" for _, t, _ in new)
+        gone = rng.sample(sorted(live.elements()), 45)
+        live -= Counter(gone)
+        index = exact_dedup.updated_index(index, docs_of(new), docs_of([(i, t, "s") for i, t in enumerate(gone)]) if step else None)
+        if not step:
+            index = exact_dedup.updated_index(index, None, docs_of([(i, t, "s") for i, t in enumerate(gone)]))
+        found = {bytes(r.sha): r.copies for r in index.collect()}
+        assert found == {hashlib.sha256(t.encode()).digest(): n for t, n in live.items()}
+    asked = docs_of([(1, next(iter(live)), "s"), (2, "never seen", "s"), (None, None, "s")])
+    assert {r.doc_id: r.copies for r in exact_dedup.live_copies(index, asked).collect()} == {1: next(iter(live.values())), 2: 0, None: live[""]}
+    with pytest.raises(Exception, match="not live"):
+        exact_dedup.updated_index(index, None, asked)
+
+
 # --- quality cascade
 
 
