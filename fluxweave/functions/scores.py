@@ -87,9 +87,10 @@ def evaluate_rules(rules: list[tuple[str, str]], samples: DataFrame, values: str
     return samples.select("sample", F.explode(F.array(*scored)).alias("x")).select("sample", "x.id", "x.score")
 
 
-def unique_genes(rules: DataFrame, rule: str, pattern: str = "symbol_simple") -> DataFrame:
-    """(gene): every gene of any rule of a table, once. Null rules have none."""
-    return rules.select(F.explode(genes(F.col(rule), pattern)).alias("gene")).distinct()
+def unique_genes(rules: DataFrame, rule: str, pattern: str = "symbol_simple", prefix: str | None = None) -> DataFrame:
+    """(gene): every gene of any rule of a table, once, or those that start with a prefix. Null rules have none."""
+    found = rules.select(F.explode(genes(F.col(rule), pattern)).alias("gene")).distinct()
+    return found if prefix is None else found.filter(F.col("gene").startswith(prefix))
 
 
 def with_group(rows: DataFrame, by: list[str], **values: Column) -> DataFrame:

@@ -64,6 +64,22 @@ def incident_edges(edges: DataFrame, vs: DataFrame) -> DataFrame:
     return edges.join(incidence(edges).join(vs.select("v"), "v", "left_semi").select("eix").distinct(), "eix", "left_semi")
 
 
+def require_vertices(g: NetGraph, vs: DataFrame) -> DataFrame:
+    """vs(v), or an error that names a vertex the graph lacks: for lookups that must not come back short."""
+    lost = vs.select("v").join(g.vertices.select("v"), "v", "left_anti").first()
+    if lost is not None:
+        raise KeyError(lost.v)
+    return vs
+
+
+def edges_at(g: NetGraph, eixs: list[int]) -> DataFrame:
+    """Edges by index; an index that the graph lacks is an error."""
+    found = g.edges.filter(F.col("eix").isin(*eixs))
+    if found.count() < len(set(eixs)):
+        raise IndexError(f"an edge of {sorted(set(eixs))} is not in the graph")
+    return found
+
+
 def common_incident_edges(edges: DataFrame, vs: list[str]) -> DataFrame:
     """Edges whose ends hold every vertex of a short list."""
     want = F.array(*map(F.lit, sorted(set(vs))))

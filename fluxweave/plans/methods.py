@@ -369,10 +369,10 @@ def resolved_bounds(edges: DataFrame, overrides: DataFrame, samples: DataFrame)
     return grid.join(overrides, ["c", "id"], "left").select("eix", "c", F.coalesce("lb", "default_lb").alias("lb"), F.coalesce("ub", "default_ub").alias("ub"))
 
 
-def fba(g: NetGraph, bounds: DataFrame, objective: DataFrame, sparsity: float = 0.0) -> M.Problem:
+def fba(g: NetGraph, bounds: DataFrame, objective: DataFrame, sparsity: float = 0.0, coupling: float = 0.0) -> M.Problem:
     """Flux balance: S v = 0 within bounds(eix, c, lb, ub); objective(id, c, weight), a null weight being -1 (maximise).
 
-    With a sparsity weight, each active reaction of a sample costs that much.
+    With a sparsity weight, each active reaction of a sample costs that much; with coupling, each that is active in any sample.
     """
     n = bounds.agg(F.max("c")).first()[0] + 1
     v, con, terms = M.flow(g.edges, g.vertices, n, name="flow", values=True)
@@ -381,15 +381,39 @@ def fba(g: NetGraph, bounds: DataFrame, objective: DataFrame, sparsity: float =
     p = _problem((v, con, terms))
     goal = objective.join(g.edges.select("eix", "id"), "id").select(F.lit("flow").alias("name"), F.col("eix").alias("vr"), F.col("c").alias("vc"), F.coalesce("weight", F.lit(-1.0)).alias("coef"))
     p = p.minimise(linear(goal), name="flux")
-    if not sparsity:
+    if not sparsity and not coupling:
         return p
     iv, icon, iterms = M.indicator(v, "active")
-    return p.add_variables(iv).add((icon, iterms)).minimise(linear(iv.select("name", F.col("r").alias("vr"), F.col("c").alias("vc"), F.lit(1.0).alias("coef"))), sparsity, "active")
+    p = p.add_variables(iv).add((icon, iterms))
+    if sparsity:
+        p = p.minimise(linear(iv.select("name", F.col("r").alias("vr"), F.col("c").alias("vc"), F.lit(1.0).alias("coef"))), sparsity, "active")
+    if not coupling:
+        return p
+    from .templates import with_shared_support
+
+    return with_shared_support(p, "active", coupling)
+
+
+def gene_scores(g: NetGraph, samples: DataFrame, default: float = 0.0, low: float | None = None, high: float | None = None) -> DataFrame:
+    """(id, c, score) of all reactions with a gene rule, from samples(c, values), a map from gene to value: the rules' scores, or, given both
+    thresholds, 1 from high up, -1 from low down and else 0. Rules are compiled in the driver, one for each different text."""
+    from ..functions import scores as S
 
+    rules = [r.gpr for r in g.edges.filter("gpr IS NOT NULL").select("gpr").distinct().orderBy("gpr").collect()]  # a model's rules
+    none = g.edges.sparkSession.createDataFrame([], "id string, c long, score double")
+    if not rules:
+        return none
+    found = S.evaluate_rules([(r, r) for r in rules], samples.select(F.col("c").alias("sample"), "values"), default=default)
+    if (low is None) != (high is None):
+        raise ValueError("both thresholds or none")
+    score = F.col("score") if low is None else F.coalesce(S.discretise(F.col("score"), low, high), F.lit(0))
+    made = found.select(F.col("id").alias("gpr"), F.col("sample").cast("long").alias("c"), score.cast("double").alias("score"))
+    return g.edges.select("id", "gpr").join(made, "gpr").select("id", "c", "score")
 
-def imat(g: NetGraph, bounds: DataFrame, scores: DataFrame, tolerance: float = 1e-3, scale: float | None = 100.0) -> M.Problem:
-    """Flux states that agree with scores(id, c, score): high ones want flux, low ones want none; weights may be scaled to a
-    sum of sizes in each sample."""
+
+def imat(g: NetGraph, bounds: DataFrame, scores: DataFrame, tolerance: float = 1e-3, scale: float | None = 100.0, coupling: float = 0.0) -> M.Problem:
+    """Flux states that agree with scores(id, c, score), which gene_scores() makes from genes: high ones want flux, low ones want
+    none; weights may be scaled to a sum of sizes in each sample. With coupling, each reaction active in any sample costs that."""
     p = fba(g, bounds, scores.limit(0).select("id", "c", F.lit(0.0).alias("weight")))
     w = scores.filter("score <> 0").join(g.edges.select("eix", "id"), "id")
     if scale:
@@ -410,7 +434,13 @@ def imat(g: NetGraph, bounds: DataFrame, scores: DataFrame, tolerance: float = 1
     free = mine.join(low.select("r", "c"), ["r", "c"], "left_semi")
     iv, icon, iterms = M.indicator(cut(free, "imat"), "open")
     cost = low.select(F.lit("open").alias("name"), F.col("r").alias("vr"), F.col("c").alias("vc"), F.abs("score").alias("coef"))
-    return p.add_variables(iv).add((icon, iterms)).minimise(linear(cost), name="unwanted")
+    p = p.add_variables(iv).add((icon, iterms)).minimise(linear(cost), name="unwanted")
+    if not coupling:
+        return p
+    from .templates import with_shared_support
+
+    av, acon, aterms = M.indicator(cut(p.variables.filter("name = 'flow'"), "imat"), "active")
+    return with_shared_support(p.add_variables(av).add((acon, aterms)), "active", coupling)
 
 
 def perturbed_problems(p: M.Problem, variable: str, trials: int, share: float = 0.05, scale: float = 0.1, seed: int = 0) -> dict[str, M.Problem]:

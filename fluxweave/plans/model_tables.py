@@ -130,6 +130,24 @@ class Expr:
         return hit.groupBy("r", "c").agg(F.sum(part).alias("value"))
 
 
+def norm(values: DataFrame, order: float = 2) -> DataFrame:
+    """(value) of a solved expression's cells(r, c, value): the sum of sizes (1), the length (2), the largest size (INF) or the root
+    of the powers' sum. No cell gives 0."""
+    size = F.abs("value")
+    whole = F.max(size) if order == INF else F.pow(F.sum(F.pow(size, F.lit(float(order)))), F.lit(1.0 / order))
+    return values.agg(F.coalesce(whole, F.lit(0.0)).alias("value"))
+
+
+def largest(expr: Expr, solution: DataFrame, axis: int | None = None) -> DataFrame:
+    """(r, c, value): the largest cell under a solution, of all (axis null), of each column (0) or of each row (1). Cells without a
+    term are zeros and count."""
+    spark = expr.cells.sparkSession
+    grid = spark.range(expr.rows).select(F.col("id").alias("r"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(expr.cols - 1).cast("long"))).alias("c"))
+    full = grid.join(expr.value(solution), ["r", "c"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    zero = F.lit(0).cast("long")
+    return full.groupBy((F.col("r") if axis == 1 else zero).alias("r"), (F.col("c") if axis == 0 else zero).alias("c")).agg(F.max("value").alias("value"))
+
+
 # --- problems ----------------------------------------------------------------------------------------------------
 
 
@@ -168,6 +186,21 @@ class Problem:
     def minimise(self, expr: Expr, weight: float = 1.0, name: str = "") -> Problem:
         return replace(self, objectives=(*self.objectives, (name or f"objective{len(self.objectives)}", float(weight), expr)))
 
+    def reweighted(self, **weights: float) -> Problem:
+        """Other weights for named objectives: what a parameter is here. The tables are shared, so a sweep states its program once."""
+        absent = set(weights) - {name for name, _, _ in self.objectives}
+        if absent:
+            raise KeyError(f"no such objective: {sorted(absent)}")
+        return replace(self, objectives=tuple((n, float(weights.get(n, w)), e) for n, w, e in self.objectives))
+
+    def symbol(self, name: str) -> Expr:
+        """The expression of a variable by its name; an error if there is none."""
+        grid = self.variables.filter(F.col("name") == name)
+        size = grid.agg(F.max("r"), F.max("c")).first()
+        if size[0] is None:
+            raise KeyError(name)
+        return symbol(grid, size[0] + 1, size[1] + 1)
+
     def register(self, name: str, expr: Expr) -> Problem:
         if name in self.named:
             raise ValueError(f"{name} is registered already")
@@ -289,11 +322,19 @@ def nonzero_indicator(variables: DataFrame, name: str, tolerance: float = 1e-3)
     return made, con, terms.filter("coef <> 0")
 
 
-def acyclic(edges: DataFrame, vertices: DataFrame, n: int, selected: str, n_vertices: int, name: str = "layer", negative: str | None = None, max_parents: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def acyclic(edges: DataFrame, vertices: DataFrame, n: int, selected: str, n_vertices: int, name: str = "layer", negative: str | None = None, max_parents: int | DataFrame | None = None, bounds: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """A layer from 0 to V - 1 a vertex and column; a selected edge's target is a layer later at least. Edges with two sides
-    only; hyperedges are an error. A negative selection reverses the edge; max_parents bounds what enters a vertex."""
+    only; hyperedges are an error. A negative selection reverses the edge.
+
+    max_parents, one number or a table (vix, n), bounds the selected edges, of either direction, that enter a vertex; boundary
+    edges count, and undirected ones on both sides. bounds(vix, c, lb, ub) hold a vertex's layer closer; null leaves a side open, but never past 0 to V - 1.
+    """
     big = float(n_vertices)
-    layers = _spread(vertices.select(F.col("vix").alias("r")), n).select(F.lit(name).alias("name"), "r", "c", F.lit(0.0).alias("lb"), F.lit(big - 1).alias("ub"), F.lit("continuous").alias("vartype"))
+    layers = _spread(vertices.select(F.col("vix").alias("r")), n).withColumns({"lb": F.lit(0.0), "ub": F.lit(big - 1)})
+    if bounds is not None:
+        mine = bounds.select(F.col("vix").alias("r"), F.col("c").cast("long").alias("c"), F.col("lb").cast("double").alias("__lo"), F.col("ub").cast("double").alias("__hi"))
+        layers = layers.join(mine, ["r", "c"], "left").withColumns({"lb": F.greatest("lb", "__lo"), "ub": F.least("ub", "__hi")})
+    layers = layers.select(F.lit(name).alias("name"), "r", "c", "lb", "ub", F.lit("continuous").alias("vartype"))
     plain = edges.filter((F.size("src") > 0) & (F.size("tgt") > 0)).withColumn("edge_type", F.when((F.size("src") > 1) | (F.size("tgt") > 1), F.raise_error("a hyperedge can't be acyclic").cast("string")).otherwise("directed"))
     ix = vertices.select("vix", "v")
     pairs = arcs(plain).join(ix.select(F.col("vix").alias("a"), F.col("v").alias("s")), "s").join(ix.select(F.col("vix").alias("b"), F.col("v").alias("t")), "t")
@@ -306,9 +347,12 @@ def acyclic(edges: DataFrame, vertices: DataFrame, n: int, selected: str, n_vert
         t = _term(each, block, name, F.lit(1.0), vr=F.col(head)).unionByName(_term(each, block, name, F.lit(-1.0), vr=F.col(tail))).unionByName(_term(each, block, var, F.lit(-big)))
         con, terms = (c, t) if con is None else (con.unionByName(c), terms.unionByName(t))
     if max_parents is not None:
-        into = each.withColumn("e", F.col("r")).withColumn("r", F.col("b"))
-        con = con.unionByName(_rows(into.select("r", "c").distinct(), f"{name}_parents", "<=", F.lit(float(max_parents))))
-        terms = terms.unionByName(_term(into, f"{name}_parents", selected, F.lit(1.0), vr=F.col("e")))
+        most = ix.select(F.col("vix").alias("r"), F.lit(max_parents).alias("most")) if isinstance(max_parents, int) else max_parents.select(F.col("vix").alias("r"), F.col("n").alias("most"))
+        enter = incidence(edges).filter("side = 't' OR edge_type = 'undirected'").select("eix", "v").distinct().join(ix, "v").select(F.col("vix").alias("r"), F.col("eix").alias("e"))
+        into = _spread(enter.join(most, "r"), n)
+        con = con.unionByName(_rows(into.select("r", "c", "most").distinct(), f"{name}_parents", "<=", F.col("most")))
+        for var in (selected, negative) if negative else (selected,):
+            terms = terms.unionByName(_term(into, f"{name}_parents", var, F.lit(1.0), vr=F.col("e")))
     summed = terms.groupBy("block", "r", "c", "name", "vr", "vc").agg(F.sum("coef").alias("coef"))
     return layers, con, summed
 

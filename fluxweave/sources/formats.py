@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from xml.etree import ElementTree as ET
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import EDGES, SIDE, VERTICES, NetGraph, conform, ends, side
+from ..operators.checks import require
 from ..operators.features import FeatureSet
 from ..operators.graph import incidence
 from ..storage import dense_index
@@ -35,32 +39,79 @@ def graph_from_tuples(spark: SparkSession, rows: list[tuple]) -> NetGraph:
     return NetGraph.of_edges(arcs.select("eix", side(F.col("s")).alias("src"), side(F.col("t")).alias("tgt"), "interaction"))
 
 
-def graph_from_incidence(entries: DataFrame) -> NetGraph:
-    """From (v, eix, a): negative entries are sources and positive ones targets, with their sizes as coefficients."""
+def graph_from_incidence(entries: DataFrame, vertices: DataFrame | None = None, edges: DataFrame | None = None) -> NetGraph:
+    """From (v, eix, a): negative entries are sources and positive ones targets, with their sizes as coefficients.
+
+    Given vertices(v) or edges(eix), an entry of any other is an error; edges without an entry have no ends, vertices without
+    one are there all the same."""
     item = F.struct("v", F.abs("a").alias("coef"))
+    for known, key in ((vertices, "v"), (edges, "eix")):
+        if known is not None:
+            require(entries.join(known.select(key), key, "left_anti"), f"an entry's {key} is unknown")
     group = entries.filter("a <> 0").groupBy("eix").agg(F.array_sort(F.collect_list(F.when(F.col("a") < 0, item))).alias("src"), F.array_sort(F.collect_list(F.when(F.col("a") > 0, item))).alias("tgt"))
-    return NetGraph.of_edges(group)
+    if edges is not None:
+        group = edges.select("eix").join(group, "eix", "left").select("eix", F.coalesce("src", F.array().cast(SIDE)).alias("src"), F.coalesce("tgt", F.array().cast(SIDE)).alias("tgt"))
+    return NetGraph.of_edges(group, vertices)
 
 
 def graph_from_reactions(reactions: DataFrame, stoichiometry: DataFrame) -> NetGraph:
-    """From reactions(id, lb, ub, gpr) and stoichiometry(id, metabolite, coef)."""
+    """From reactions(id, lb, ub, gpr[, attrs]) and stoichiometry(id, metabolite, coef)."""
     item = F.struct(F.col("metabolite").alias("v"), F.abs("coef").alias("coef"))
     sides = stoichiometry.groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("coef") < 0, item))).alias("src"), F.array_sort(F.collect_list(F.when(F.col("coef") > 0, item))).alias("tgt"))
-    rows = reactions.join(sides, "id", "left").select("id", F.col("lb").alias("default_lb"), F.col("ub").alias("default_ub"), "gpr", F.coalesce("src", F.array().cast(SIDE)).alias("src"), F.coalesce("tgt", F.array().cast(SIDE)).alias("tgt"))
+    rows = reactions.join(sides, "id", "left").select("id", F.col("lb").alias("default_lb"), F.col("ub").alias("default_ub"), "gpr", *(["attrs"] if "attrs" in reactions.columns else []), F.coalesce("src", F.array().cast(SIDE)).alias("src"), F.coalesce("tgt", F.array().cast(SIDE)).alias("tgt"))
     return NetGraph.of_edges(dense_index(rows, ["id"], "eix"))
 
 
-def read_sbml(spark: SparkSession, path: str) -> NetGraph:
-    """A metabolic model from SBML with flux bounds as attributes; products and reactants become the sides."""
+def _gene_rule(inner: pd.Series) -> pd.Series:
+    """The and/or text of a gene association's inner XML, in which products are named by id; null where there is none. Nesting has no
+    bound, so this can't be a schema; a row is one reaction."""
+
+    def text(x: ET.Element) -> str | None:
+        kind = x.tag.rsplit("}", 1)[-1]
+        if kind == "geneProductRef":
+            return next((v for k, v in x.attrib.items() if k.rsplit("}", 1)[-1] == "geneProduct"), None)
+        parts = [p for p in map(text, x) if p]
+        if len(parts) < 2 or kind not in ("and", "or"):
+            return parts[0] if parts else None
+        return "(" + f" {kind} ".join(parts) + ")"
+
+    def rule(xml: str | None) -> str | None:
+        if not xml or not xml.strip():
+            return None
+        found = text(ET.fromstring(f'<r xmlns:fbc="fbc">{xml}</r>'))
+        return found[1:-1] if found and found.startswith("(") else found
+
+    return inner.map(rule, na_action="ignore")
+
+
+def read_sbml(spark: SparkSession, path: str, prefixes: bool = True) -> NetGraph:
+    """A metabolic model from SBML: products and reactants become the sides; flux bounds, gene rules and the subsystem attributes.
+
+    A gene rule is the reaction's gene association, its products named by label where they have one, or else the notes' line
+    GENE_ASSOCIATION (GENE ASSOCIATION). The subsystem is the notes' line SUBSYSTEM, kept in attrs with the reaction's name. Without `prefixes`, a leading
+    R_, M_ or G_ is taken off ids.
+    """
     species = "struct<_species:string,_stoichiometry:double>"
-    schema = f"_id string, _lowerFluxBound string, _upperFluxBound string, listOfReactants struct<speciesReference:array<{species}>>, listOfProducts struct<speciesReference:array<{species}>>"
-    raw = spark.read.format("xml").option("rowTag", "reaction").schema(schema.replace("_lowerFluxBound", "`_fbc:lowerFluxBound`").replace("_upperFluxBound", "`_fbc:upperFluxBound`")).load(path)
-    bounds = spark.read.format("xml").option("rowTag", "parameter").schema("_id string, _value double").load(path)
-    pair = lambda c, sign: F.transform(F.coalesce(F.col(f"{c}.speciesReference"), F.array().cast(f"array<{species}>")), lambda x: F.struct(x["_species"].alias("metabolite"), (F.coalesce(x["_stoichiometry"], F.lit(1.0)) * sign).alias("coef")))
-    rows = raw.select(F.col("_id").alias("id"), F.col("`_fbc:lowerFluxBound`").alias("lo"), F.col("`_fbc:upperFluxBound`").alias("hi"), F.concat(pair("listOfReactants", -1), pair("listOfProducts", 1)).alias("both"))
+    schema = f"_id string, _name string, `_fbc:lowerFluxBound` string, `_fbc:upperFluxBound` string, notes string, `fbc:geneProductAssociation` string, listOfReactants struct<speciesReference:array<{species}>>, listOfProducts struct<speciesReference:array<{species}>>"
+    load = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
+    bare = lambda c, letter: c if prefixes else F.regexp_replace(c, f"^{letter}_", "")
+    raw, bounds = load("reaction", schema), load("parameter", "_id string, _value double")
+    pair = lambda c, sign: F.transform(F.coalesce(F.col(f"{c}.speciesReference"), F.array().cast(f"array<{species}>")), lambda x: F.struct(bare(x["_species"], "M").alias("metabolite"), (F.coalesce(x["_stoichiometry"], F.lit(1.0)) * sign).alias("coef")))
+    noted = lambda key: F.nullif(F.trim(F.regexp_extract("notes", key + r":\s*([^<]*)", 1)), F.lit(""))
+    said = F.when(F.col("`fbc:geneProductAssociation`").isNotNull(), F.pandas_udf(_gene_rule, "string")(F.col("`fbc:geneProductAssociation`")))
+    subsystem, name = noted("SUBSYSTEM"), F.nullif(F.trim("_name"), F.lit(""))
+    attrs = F.map_filter(F.create_map(F.lit("subsystem"), subsystem, F.lit("name"), name), lambda _, x: x.isNotNull())
+    rows = raw.select(F.col("_id").alias("id"), F.col("`_fbc:lowerFluxBound`").alias("lo"), F.col("`_fbc:upperFluxBound`").alias("hi"), said.alias("said"), noted("GENE[_ ]ASSOCIATION").alias("noted"), F.when(F.size(attrs) > 0, attrs).alias("attrs"), F.concat(pair("listOfReactants", -1), pair("listOfProducts", 1)).alias("both"))
     lo, hi = bounds.select(F.col("_id").alias("lo"), F.col("_value").alias("lb")), bounds.select(F.col("_id").alias("hi"), F.col("_value").alias("ub"))
-    reactions = rows.join(lo, "lo", "left").join(hi, "hi", "left").select("id", "lb", "ub", F.lit(None).cast("string").alias("gpr"))
-    return graph_from_reactions(reactions, rows.select("id", F.explode("both").alias("x")).select("id", "x.metabolite", "x.coef"))
+    # a rule's words, of which those that are products get their labels
+    products = load("fbc:geneProduct", "`_fbc:id` string, `_fbc:label` string").select(F.col("`_fbc:id`").alias("word"), F.coalesce("`_fbc:label`", "`_fbc:id`").alias("label"))
+    words = rows.select("id", F.posexplode(F.regexp_extract_all("said", F.lit(r"[()]|[^\s()]+"), F.lit(0))).alias("at", "word")).join(products.dropDuplicates(["word"]), "word", "left")
+    word = bare(F.coalesce("label", "word"), "G")
+    labelled = words.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", word.alias("word")))), lambda x: x["word"]), " ").alias("gpr"))
+    tidy = F.regexp_replace(F.regexp_replace("gpr", r"\( ", "("), r" \)", ")")
+    full = rows.join(lo, "lo", "left").join(hi, "hi", "left").join(labelled, "id", "left")
+    reactions = full.select(bare(F.col("id"), "R").alias("id"), "lb", "ub", F.coalesce(tidy, F.when(F.col("said").isNull(), F.col("noted"))).alias("gpr"), "attrs")
+    return graph_from_reactions(reactions, rows.select(bare(F.col("id"), "R").alias("id"), F.explode("both").alias("x")).select("id", "x.metabolite", "x.coef"))
 
 
 def write_graph(g: NetGraph, path: str, compression: str = "zstd") -> None:
@@ -110,6 +161,26 @@ def edge_list(g: NetGraph, skip_hyperedges: bool = False) -> DataFrame:
     return edges.select(F.get(ends("src"), 0).alias("s"), F.get(ends("tgt"), 0).alias("t"), "edge_type", "interaction", "weight", "attrs")
 
 
+def graph_from_edge_list(rows: DataFrame) -> NetGraph:
+    """Back from (s, t[, edge_type, interaction, weight, attrs]): the index follows the ends and what else is given but attributes;
+    parallel edges stay. A row without an end is an error."""
+    order = [c for c in ("s", "t", "edge_type", "interaction", "weight") if c in rows.columns]
+    checked = rows.withColumn("s", F.when(F.col("s").isNull() | F.col("t").isNull(), F.raise_error("an edge lacks an end").cast("string")).otherwise(F.col("s").cast("string")))
+    kind = F.coalesce("edge_type", F.lit("directed")) if "edge_type" in rows.columns else F.lit("directed")
+    extras = [c for c in ("interaction", "weight", "attrs") if c in rows.columns]
+    numbered = dense_index(checked, order, "eix")
+    return NetGraph.of_edges(numbered.select("eix", side(F.col("s")).alias("src"), side(F.col("t").cast("string")).alias("tgt"), kind.alias("edge_type"), *extras))
+
+
+def graph_from_layers(rows: DataFrame, layer: str | None = None) -> NetGraph:
+    """Back from (layer, source, target, weight), of one layer or of all: the weight is every end's coefficient and the edge's
+    weight, the layer an attribute."""
+    ends_of = lambda c: F.transform(c, lambda x: F.struct(x.alias("v"), F.col("weight").cast("double").alias("coef"))).cast(SIDE)
+    kept = rows if layer is None else rows.filter(F.col("layer") == layer)
+    numbered = dense_index(kept, ["layer", "source", "target", "weight"], "eix")
+    return NetGraph.of_edges(numbered.select("eix", ends_of("source").alias("src"), ends_of("target").alias("tgt"), "weight", F.create_map(F.lit("layer"), F.col("layer")).alias("attrs")))
+
+
 def layered_edges(g: NetGraph, layer: str = "default") -> DataFrame:
     """(layer, source, target, weight): an edge list with a layer; edges need both ends, and a single coefficient that all ends
     of an edge share becomes its weight."""

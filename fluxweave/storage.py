@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir; on one machine, where that is unset, a folder of our own. A cluster must name one that all share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = f"file://{tempfile.mkdtemp(prefix='fluxweave-')}"
