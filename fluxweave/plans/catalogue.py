@@ -485,10 +485,23 @@ def edge_styles(spark, d):
     return R.edge_styles(trade_edges(spark, d).select("eix", (F.col("weight") * F.col("interaction")).alias("value"))).select("eix", "colour", F.round("width", 6).alias("width"))
 
 
-@query("SELECT o_orderstatus AS condition, round(sum(o_totalprice) FILTER (WHERE p = '1'), 2) AS o_1, round(sum(o_totalprice) FILTER (WHERE p = '2'), 2) AS o_2 FROM (SELECT *, substr(o_orderpriority, 1, 1) AS p FROM orders) GROUP BY 1")
+@query("""SELECT o_orderstatus AS condition, round(sum(o_totalprice) FILTER (WHERE p = '1'), 2) AS o_1, round(sum(o_totalprice) FILTER (WHERE p = '2'), 2) AS o_2,
+    CAST(count(DISTINCT o_custkey) FILTER (WHERE p = '1') AS DOUBLE) AS p_1, CAST(count(DISTINCT o_custkey) FILTER (WHERE p = '2') AS DOUBLE) AS p_2 FROM (SELECT *, substr(o_orderpriority, 1, 1) AS p FROM orders) GROUP BY 1""")
 def observed_series(spark, d):
-    o = V.read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("condition"), F.substring("o_orderpriority", 1, 1).alias("v")).agg(F.round(F.sum("o_totalprice"), 2).alias("value"))
-    return R.observed_and_predicted(o, o.limit(0), ["1", "2"]).select("condition", "o_1", "o_2")
+    """Sums as what is observed beside numbers of customers as what is predicted."""
+    o = V.read(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("condition"), F.substring("o_orderpriority", 1, 1).alias("v"))
+    predicted = o.agg(F.count_distinct("o_custkey").cast("double").alias("value"))
+    return R.observed_and_predicted(o.agg(F.round(F.sum("o_totalprice"), 2).alias("value")), predicted, ["1", "2"])
+
+
+@query(f"""WITH {V.TRADE}, ends AS (SELECT s AS v FROM trade UNION SELECT t FROM trade)
+    SELECT 'gate' AS part, v, -1::BIGINT AS eix, 0::BIGINT AS value FROM ends UNION ALL SELECT 'target', t, {EIX.replace(" AS eix", "")}, 1 FROM trade UNION ALL SELECT 'source', s, {EIX.replace(" AS eix", "")}, 1 FROM trade
+    UNION ALL SELECT 'interaction', '', {EIX.replace(" AS eix", "")}, CASE WHEN weight % 2 = 0 THEN 1 ELSE -1 END FROM trade UNION ALL SELECT 'has_source', '', {EIX.replace(" AS eix", "")}, 1 FROM trade""")
+def presolve_report(spark, d):
+    """What a signalling program reads off the trade network."""
+    from ..operators import signalling
+
+    return signalling.presolve_report(trade_graph(spark, d)).select("part", F.coalesce("v", F.lit("")).alias("v"), F.coalesce("eix", F.lit(-1)).alias("eix"), "value")
 
 
 # --- models ----------------------------------------------------------------------------------------------------------
@@ -612,9 +625,64 @@ def fba_lp(spark, d):
     return flux.join(table, "c").select("sample", F.round("value", 6).alias("growth"))
 
 
-@query()
+@query("SELECT round(0.05 * 3 - sum(least(10, 0.5 * least(count_ / 40.0, 8))), 6) AS objective FROM (SELECT count(*) AS count_ FROM customer GROUP BY c_mktsegment)")
+def fba_coupled(spark, d):
+    """The growth network of all segments as one program that charges 0.05 for each reaction any segment uses; a second, worse way
+    from A to B stays shut."""
+    from ..model import literal_edges
+
+    rows = [((), {"A": 1.0}, {"id": "uptake", "default_lb": 0.0, "default_ub": 8.0}), ({"A": 2.0}, {"B": 1.0}, {"id": "convert", "default_lb": 0.0, "default_ub": 1000.0}), ({"A": 3.0}, {"B": 1.0}, {"id": "waste", "default_lb": 0.0, "default_ub": 1000.0}), ({"B": 1.0}, (), {"id": "growth", "default_lb": 0.0, "default_ub": 10.0})]
+    g = NetGraph.of_edges(literal_edges(spark, rows))
+    segments = V.read(spark, d, "customer").groupBy(F.col("c_mktsegment").alias("sample")).agg(F.count("*").alias("k")).orderBy("sample").collect()  # five rows
+    table = spark.createDataFrame([(i, min(r["k"] / 40.0, 8.0)) for i, r in enumerate(segments)], "c long, ub double")
+    bounds = C.resolved_bounds(g.edges, table.select("c", F.lit("uptake").alias("id"), F.lit(0.0).alias("lb"), "ub"), table)
+    p = C.fba(g, bounds, table.select(F.lit("growth").alias("id"), "c", F.lit(None).cast("double").alias("weight")), coupling=0.05)
+    return L.solve({"fba": p}).agg(F.round(F.first("objective"), 6).alias("objective"))
+
+
+HALVES = ", ".join(f"d{2 * k} AS (SELECT x.a, y.b, min(x.d + y.d) AS d FROM d{k} x JOIN d{k} y ON x.b = y.a GROUP BY 1, 2)" for k in (1, 2, 4, 8, 16))
+
+
+@query(f"""WITH {V.TRADE}, w AS (SELECT s AS a, t AS b, weight AS d FROM trade UNION ALL SELECT t, s, weight FROM trade), d1 AS (SELECT a, b, min(d) AS d FROM (SELECT * FROM w UNION ALL SELECT DISTINCT a, a, 0.0 FROM w) GROUP BY 1, 2), {HALVES},
+    halves AS (SELECT * FROM (VALUES ('0', '7', '13', '21'), ('0', '13', '7', '21'), ('0', '21', '7', '13')) AS h(p, q, r, s)),
+    best AS (SELECT min(a.d + b.d + m.d + c.d + e.d) AS x FROM d32 m, halves h JOIN d32 a ON a.a = h.p JOIN d32 b ON b.a = h.q JOIN d32 c ON c.a = h.r JOIN d32 e ON e.a = h.s WHERE a.b = m.a AND b.b = m.a AND c.b = m.b AND e.b = m.b)
+    SELECT x AS cost, x AS of_edges FROM best""")
+def steiner_nations(spark, d):
+    """The least tree that joins four nations over the trade network, and what its edges cost; in SQL, two junctions and the paths
+    between them."""
+    from . import trees
+
+    arcs = G.arcs(trade_graph(spark, d).edges).select("eix", "s", "t", "weight")
+    cost, edges = trees.steiner(arcs, ["0", "7", "13", "21"])
+    total = arcs.join(edges, "eix").agg(F.sum("weight").alias("of_edges"))
+    return cost.crossJoin(total)  # one row by one row
+
+
+@query(f"""WITH RECURSIVE {V.REGION_TRADE}, {UND}, e AS (SELECT *, row_number() OVER (ORDER BY s, t) - 1 AS i FROM und), masks AS (SELECT range AS mask FROM range(1024)),
+    chosen AS (SELECT mask, s, t, weight FROM masks, e WHERE (mask >> CAST(i AS INTEGER)) & 1 = 1), both_ways AS (SELECT mask, s, t FROM chosen UNION ALL SELECT mask, t, s FROM chosen),
+    prize AS (SELECT s AS v, sum(weight) / 3 AS prize FROM rtrade GROUP BY s), r AS (SELECT mask, v AS root, v FROM masks, prize UNION SELECT r.mask, r.root, b.t FROM r JOIN both_ways b ON b.mask = r.mask AND b.s = r.v)
+    SELECT round(min(coalesce(cost, 0) - gain), 4) AS best FROM (SELECT mask, root, sum(prize) AS gain FROM r JOIN prize USING (v) GROUP BY mask, root) LEFT JOIN (SELECT mask, sum(weight) AS cost FROM chosen GROUP BY mask) USING (mask)""")
+def pcst_best_root(spark, d):
+    """The prize-collecting tree over regions from whichever root is best."""
+    from . import trees
+
+    prizes = V.region_trade(spark, d).groupBy(F.col("s").alias("v")).agg((F.sum("weight") / 3).alias("prize"))
+    best, _ = trees.prize_collecting(_region_graph(spark, d), prizes)
+    return best.select(F.round("objective", 4).alias("best"))
+
+
+#: Every choice of one or no parent for regions 1 to 4, kept if all that have one hang on region 0, with the signs they then have.
+PARENTS = f"""{V.REGION_TRADE}, opt AS (SELECT t AS v, s AS p, CASE WHEN weight % 2 = 0 THEN 1 ELSE -1 END AS g FROM rtrade WHERE t <> '0' UNION ALL SELECT x, NULL, 0 FROM (VALUES ('1'), ('2'), ('3'), ('4')) AS n(x)),
+    pick AS (SELECT row_number() OVER () AS id, a.p AS p1, a.g AS g1, b.p AS p2, b.g AS g2, c.p AS p3, c.g AS g3, e.p AS p4, e.g AS g4 FROM opt a, opt b, opt c, opt e WHERE a.v = '1' AND b.v = '2' AND c.v = '3' AND e.v = '4'),
+    up AS (SELECT id, '1' AS v, p1 AS p, g1 AS g FROM pick UNION ALL SELECT id, '2', p2, g2 FROM pick UNION ALL SELECT id, '3', p3, g3 FROM pick UNION ALL SELECT id, '4', p4, g4 FROM pick),
+    live AS (SELECT id, '0' AS v, 1 AS state FROM pick UNION ALL SELECT up.id, up.v, live.state * up.g FROM live JOIN up ON up.id = live.id AND up.p = live.v),
+    sizes AS (SELECT id, count(p) AS n FROM up GROUP BY id), whole AS (SELECT id, n FROM sizes JOIN (SELECT id, count(*) - 1 AS m FROM live GROUP BY id) USING (id) WHERE n = m)"""
+
+
+@query(f"""WITH RECURSIVE {PARENTS}, cost AS (SELECT id, n + 1 AS edges, 2 - coalesce(sum(state) FILTER (WHERE v = '1'), 0) + coalesce(sum(state) FILTER (WHERE v = '3'), 0) AS error FROM whole JOIN live USING (id) GROUP BY id, n),
+    best AS (SELECT min(struct_pack(x := error + 0.001 * edges, error := error, edges := edges)) AS b FROM cost) SELECT 'error' AS name, CAST(b.error AS DOUBLE) AS value FROM best UNION ALL SELECT 'edges', CAST(b.edges AS DOUBLE) FROM best""")
 def carnival_small(spark, d):
-    """Signals from region 0 to two measured regions over the region network, signs by parity; a program, so no SQL."""
+    """Signals from region 0 to two measured regions over the region network, signs by parity."""
     arcs = V.region_trade(spark, d).withColumn("interaction", F.when(F.col("weight") % 2 == 0, 1).otherwise(-1))
     g = NetGraph.of_arcs(arcs, order=["s", "t"])
     rows = [("c", "0", "input", 1.0), ("c", "1", "output", 1.0), ("c", "3", "output", -1.0)]
@@ -623,9 +691,11 @@ def carnival_small(spark, d):
     return M.evaluate(p, solution)[1].select("name", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PARENTS}, cost AS (SELECT id, n AS edges, sum(CASE v WHEN '2' THEN 1 WHEN '3' THEN -2 WHEN '4' THEN -1 ELSE 0 END) AS score, bool_or(v = '1') AS one FROM whole JOIN live USING (id) GROUP BY id, n),
+    fit AS (SELECT * FROM cost WHERE id IN (SELECT id FROM up WHERE p = '0') AND (NOT one OR id IN (SELECT id FROM up WHERE p = '1'))),
+    best AS (SELECT min(struct_pack(x := score + 0.01 * edges, score := score, edges := edges)) AS b FROM fit) SELECT 'score' AS name, CAST(b.score AS DOUBLE) AS value FROM best UNION ALL SELECT 'edges', CAST(b.edges AS DOUBLE) FROM best""")
 def phonemes_small(spark, d):
-    """Scored regions explained from region 0; a program, so no SQL."""
+    """Scored regions explained from region 0; in SQL, the best of all trees, as the network is complete."""
     arcs = V.region_trade(spark, d)
     g = NetGraph.of_arcs(arcs, order=["s", "t"])
     score = spark.createDataFrame([("c", "2", 1.0), ("c", "3", -2.0), ("c", "4", -1.0)], "condition string, v string, score double")
@@ -671,10 +741,15 @@ def features_json_round_trip(spark, d):
 def graph_from_incidence(spark, d):
     """Back from coordinates to hyperedges and to coordinates again."""
     e = V.hyper(spark, d)
-    entries = G.incidence(e, values=True).select("eix", "v", "a")
-    item = F.struct("v", F.abs("a").alias("coef"))
-    sides = entries.groupBy("eix").agg(F.array_sort(F.collect_list(F.when(F.col("a") < 0, item))).alias("src"), F.array_sort(F.collect_list(F.when(F.col("a") > 0, item))).alias("tgt"), F.lit("directed").alias("edge_type"))
-    return G.incidence(sides, values=True).select("eix", "v", "a")
+    again = IO.graph_from_incidence(G.incidence(e, values=True).select("eix", "v", "a"))
+    return G.incidence(again.edges, values=True).select("eix", "v", "a")
+
+
+@query(f"WITH {V.TRADE} SELECT s, t, 'directed' AS edge_type, CAST(CASE WHEN weight % 2 = 0 THEN 1 ELSE -1 END AS INTEGER) AS interaction, weight FROM trade")
+def edge_list_back(spark, d):
+    """A graph to an exchange list, to a graph and to a list again."""
+    again = IO.graph_from_edge_list(IO.edge_list(trade_graph(spark, d)))
+    return IO.edge_list(again).select("s", "t", "edge_type", "interaction", "weight")
 
 
 @query(f"WITH {V.TRADE} SELECT s, t, weight FROM trade")
