@@ -272,6 +272,76 @@ def boolean_fit(reactions: DataFrame, stimuli: DataFrame, measured: DataFrame, p
     return off.join(size, "mask").withColumn("objective", F.col("error") + penalty * F.col("n"))
 
 
+def boolean_program(reactions: DataFrame, features: DataFrame, penalty: float = 0.0, epsilon: float = 1.0, max_flow: float | None = None) -> tuple[M.Problem, DataFrame]:
+    """The Boolean model of least error as a program, and (eix, rid, s, t) of its dependencies: one set of reactions for all conditions.
+
+    reactions(rid, pos, neg, product) are those of graph.dependency_reactions(). features(condition, v, role, value, input_value) force
+    vertices (role `input`, 0 or 1) or measure them (`output`, 0 to 1); `input_output` does both, forcing to input_value. A
+    selected reaction is active where all its literals hold, a vertex that is not forced is on where a reaction that makes it is
+    active. Selected dependencies are acyclic, and a flow from forced to measured vertices runs through each of them and no
+    other. The error is the sum of |state - measured|; each selected reaction costs the penalty. A condition needs an input and
+    an output; unknown vertices, other roles and other values are errors.
+    """
+    role = F.col("role")
+    named = features.select("condition", "v", "role", F.col("value").cast("double").alias("value"), (F.col("input_value") if "input_value" in features.columns else F.lit(None)).cast("double").alias("input_value"))
+    Q.require(named.filter(~F.coalesce(role.isin("input", "output", "input_output"), F.lit(False))), "a role is none of input, output, input_output")
+    forced = named.filter(role != "output").select("condition", "v", F.coalesce("input_value", F.when(role == "input", F.col("value"))).alias("value"))
+    measured = named.filter(role != "input").select("condition", "v", "value")
+    Q.require(Q.out_of_unit(forced, "value", binary=True), "an input is neither 0 nor 1")
+    Q.require(Q.out_of_unit(measured, "value"), "a measurement is not within 0 and 1")
+    Q.require(Q.condition_mismatch(forced, measured), "a condition needs an input and an output")
+    reactions = cut(reactions.select("rid", "pos", "neg", "product"), "boolean")
+    literals = reactions.select("rid", "product", F.explode("pos").alias("v"), F.lit(1.0).alias("sign")).unionByName(reactions.select("rid", "product", F.explode("neg").alias("v"), F.lit(-1.0).alias("sign")))
+    inner = G.renumbered(NetGraph.of_arcs(literals.select(F.col("v").alias("s"), F.col("product").alias("t"), F.col("rid").cast("string").alias("id")), order=["id", "s", "t"]))
+    inner = NetGraph(cut(inner.edges, "boolean"), cut(inner.vertices, "boolean"))
+    Q.require(Q.unknown_vertices(named.select("v", "condition"), inner.vertices), "not in the model")
+    whole = G.with_boundaries(inner, forced.select("v"), measured.select("v"))
+    edges, ix = cut(whole.edges, "boolean"), cut(whole.vertices.select("vix", "v"), "boolean")
+    deps = cut(G.directed_incidence(inner.edges).join(inner.edges.select("eix", F.col("id").cast("long").alias("rid")), "eix").select("eix", "rid", F.col("source").alias("s"), F.col("target").alias("t")), "boolean")
+    n_deps, n_vertices = deps.count(), ix.count()
+    most = float(max(n_deps, 1)) if max_flow is None else float(max_flow)
+    if most < epsilon:
+        raise ValueError("max_flow is less than epsilon")
+    conditions = [r.condition for r in named.select("condition").distinct().orderBy("condition").collect()]  # one short row a condition
+    if not conditions:
+        raise ValueError("no condition is given")
+    number = F.create_map(*(F.lit(x) for i, name in enumerate(conditions) for x in (name, i)))
+    n = len(conditions)
+    place = lambda df: cut(df.join(ix, "v").select(F.col("vix").alias("r"), number[F.col("condition")].cast("long").alias("c"), "value"), "boolean")
+    at, want = place(forced), place(measured)
+    r, c, zero, one = F.col("r"), F.col("c"), F.lit(0).cast("long"), F.lit(1.0)
+    rx = cut(reactions.select(F.col("rid").alias("r"), "product", F.size("neg").cast("double").alias("n_neg"), (F.size("pos") + F.size("neg")).cast("double").alias("k")), "boolean")
+    each, states = cut(M._spread(rx, n), "boolean"), cut(M._spread(ix.select(F.col("vix").alias("r")), n), "boolean")
+    used = deps.select(F.col("eix").alias("r"), zero.alias("c"), "rid")
+    p = _problem(M.flow(edges, ix, 1, ub=most), M.acyclic(inner.edges, ix, 1, "used", n_vertices))
+    for name, rows in (("selected", rx.withColumn("c", zero)), ("active", each), ("state", states), ("used", used)):
+        p = p.add_variables(_grid(rows, name, None, None, "binary"))
+    p = p.add(_rule(used, "same_reaction", "=", F.lit(0.0), ("used", r, c, one), ("selected", F.col("rid"), zero, -one)))
+    p = p.add(_rule(used, "flow_if_used", ">=", F.lit(0.0), ("flow", r, c, one), ("used", r, c, F.lit(-float(epsilon)))))
+    p = p.add(_rule(used, "used_if_flow", "<=", F.lit(0.0), ("flow", r, c, one), ("used", r, c, F.lit(-most))))
+    p = p.add(_rule(each, "only_selected", "<=", F.lit(0.0), ("active", r, c, one), ("selected", r, zero, -one)))
+    # a reaction's literals that hold, but for its number of negative ones
+    held = cut(M._spread(literals.join(ix, "v").select(F.col("rid").alias("r"), F.col("vix").alias("at"), "sign"), n), "boolean")
+    lit = lambda block: M._term(held, block, "state", -F.col("sign"), vr=F.col("at"))
+    p = p.add((M._rows(each, "all_hold", "<=", F.col("n_neg")), M._term(each, "all_hold", "active", F.col("k")).unionByName(lit("all_hold"))))
+    fires = M._term(each, "fires", "active", one).unionByName(M._term(each, "fires", "selected", -one, vc=zero)).unionByName(lit("fires"))
+    p = p.add((M._rows(each, "fires", ">=", F.col("n_neg") - F.col("k")), fires))
+    free = cut(states.join(at.select("r", "c"), ["r", "c"], "left_anti"), "boolean")
+    makers = each.join(ix.select(F.col("v").alias("product"), F.col("vix").alias("p")), "product").select(F.col("p").alias("r"), "c", F.col("r").alias("rid")).join(free, ["r", "c"], "left_semi")
+    makers = cut(makers, "boolean")
+    made = lambda block, coef: M._term(makers, block, "active", F.lit(coef), vr=F.col("rid"))
+    p = p.add((M._rows(free, "on_by", "<=", F.lit(0.0)), M._term(free, "on_by", "state", one).unionByName(made("on_by", -1.0))))
+    several = cut(makers.groupBy("r", "c").agg(F.count("*").cast("double").alias("m")), "boolean")
+    p = p.add((M._rows(several, "makes", "<=", F.lit(0.0)), made("makes", 1.0).unionByName(M._term(several, "makes", "state", -F.col("m")))))
+    p = p.add(_rule(at, "forced", "=", F.col("value"), ("state", r, c, one)))
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    error = want.select(F.lit("state").alias("name"), r.alias("vr"), c.alias("vc"), (1 - 2 * F.col("value")).alias("coef"))
+    const = want.select(none("string", "name"), none("long", "vr"), none("long", "vc"), F.col("value").alias("coef"))
+    p = p.minimise(linear(error.unionByName(const)), name="error")
+    size = rx.select(F.lit("selected").alias("name"), r.alias("vr"), zero.alias("vc"), one.alias("coef"))
+    return p.minimise(linear(size), penalty, "reactions"), deps
+
+
 def phonemes(g: NetGraph, perturbed: DataFrame, scores: DataFrame, edge_cost: float = 1e-4) -> tuple[M.Problem, NetGraph]:
     """Least summed score of the vertices that acyclic paths from perturbed(condition, v) to scored sites(condition, v, score)
     select, plus the cost of each edge used in any condition. Each perturbation must reach a site."""
