@@ -61,7 +61,10 @@ def test_gene_scores_feed_the_model(spark):
     assert raw == {("in", 0): 2, ("in", 1): 1, ("one", 0): -3, ("one", 1): 0, ("two", 0): 2, ("two", 1): 1}
     cut_ = {(r.id, r.c): r.score for r in methods.gene_scores(g, samples, low=-1, high=2).collect()}
     assert cut_ == {("in", 0): 1, ("in", 1): 0, ("one", 0): -1, ("one", 1): 0, ("two", 0): 1, ("two", 1): 0}
-    assert optimum(methods.imat(g, bounds, methods.gene_scores(g, samples, low=-1, high=2), scale=None))[1] == pytest.approx(0)
+    wanted = methods.gene_scores(g, samples, low=-1, high=2)
+    assert optimum(methods.imat(g, bounds, wanted, scale=None))[1] == pytest.approx(0)
+    # three reactions carry the flux that two genes want, less than what missing both would cost
+    assert optimum(methods.imat(g, bounds, wanted, scale=None, coupling=0.25))[1] == pytest.approx(0.75)
     assert {r.gene for r in S.unique_genes(g.edges, "gpr", prefix="g2").collect()} == {"g2"}
 
 
